@@ -1 +1 @@
-"""Part of Keystrand; see the README."""
+"""Typed keys and values."""
