@@ -66,8 +66,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
-def parts(column: pa.Array, limit: int = CHUNK_BYTES):
-    """Slices (first row, text column) of at most `limit` bytes or one row; null becomes empty."""
+def parts(column: pa.Array, limit: int = CHUNK_BYTES, rows: int = 1 << 30):
+    """Slices (first row, text column) of at most `limit` bytes or one row, and at most `rows` rows; null becomes empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     column = column.cast(pa.large_binary()).fill_null(b"")
     if not len(column):
@@ -75,7 +75,7 @@ def parts(column: pa.Array, limit: int = CHUNK_BYTES):
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     lo = 0
     while lo < len(column):
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
+        hi = min(lo + rows, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1))
         yield lo, Text(column, offsets, lo, hi)
         lo = hi
 
@@ -151,33 +151,30 @@ def grams(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
 
 
 class Counter:
-    """Counts of 64-bit keys in bounded memory: flushed when too many keys are held."""
+    """Counts 64-bit keys; holds at most about `most` of them, then its user takes the counts so far."""
 
-    def __init__(self, most: int = 2_000_000):
-        self.keys, self.counts, self.waiting, self.most = [], [], 0, most
+    def __init__(self, most: int = 8_000_000):
+        self.keys, self.held, self.most = [], 0, most
 
     def add(self, keys: np.ndarray) -> bool:
-        k, c = np.unique(keys, return_counts=True)
-        self.keys.append(k)
-        self.counts.append(c)
-        self.waiting += len(k)
-        if self.waiting > self.most:
-            self._merge()
-        return self.waiting > self.most // 2
-
-    def _merge(self) -> None:
-        k, inverse = np.unique(np.concatenate(self.keys), return_inverse=True)
-        self.keys, self.counts, self.waiting = [k], [np.bincount(inverse, weights=np.concatenate(self.counts)).astype(np.int64)], len(k)
+        """Whether it is time to take."""
+        self.keys.append(keys)
+        self.held += len(keys)
+        return self.held >= self.most
 
     def take(self, least: int = 1):
-        if self.keys:
-            self._merge()
-            keys, counts = self.keys[0], self.counts[0]
+        """Batches (h, c) of the keys counted at least `least` times; starts anew."""
+        if self.held:
+            keys = np.concatenate(self.keys)
+            keys.sort()
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            counts = np.diff(np.concatenate([first, [len(keys)]]))
+            keys = keys[first]
             if least > 1:
                 keys, counts = keys[counts >= least], counts[counts >= least]
             for lo in range(0, len(keys), 1 << 19):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[lo : lo + (1 << 19)].view(np.int64)), pa.array(counts[lo : lo + (1 << 19)])], ["h", "c"])
-        self.keys, self.counts, self.waiting = [], [], 0
+        self.keys, self.held = [], 0
 
 
 def text_of(column) -> list[str]:

@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from . import _scratch
 from . import _words as W
 
-HEAD = 1 << 16  # words with ids; their weights are broadcast
-MAX_ARCS = 1 << 20
+HEAD = 1 << 15  # words with ids; their weights are broadcast
+MAX_ARCS = 1 << 18
 DISCOUNT = 0.5
 FOLDS, HELD_OUT = 5, 1
 END = np.uint64(0x9E3779B97F4A7C15)  # stands for the hash of the end token
