@@ -78,10 +78,9 @@ def _judge(t: W.Text, max_lost: float) -> tuple[list[np.ndarray], dict]:
     if len(t.raw):
         bad |= filled & (in_line <= SHORT_LINE) & ~_END[t.raw[last]]
     bad |= filled & (in_line >= 10) & (2 * np.bincount(line[covered], minlength=len(lo)) > in_line)
-    hits = [m.start() for m in _PHRASE.finditer(W.LOWER[t.raw].tobytes())]
-    if hits:
-        bad[np.searchsorted(lo, hits, "right") - 1] = True
-        bad &= filled
+    hits = np.array([m.span() for m in _PHRASE.finditer(W.LOWER[t.raw].tobytes())], np.int64).reshape(-1, 2)
+    at = np.searchsorted(lo, hits[:, 0], "right") - 1
+    bad[at[hits[:, 1] <= hi[at]]] = True  # not across two texts
     lost = np.bincount(of[bad], weights=in_line[bad], minlength=t.n).astype(np.int64)
 
     failed = (n_words < MIN_WORDS) | (100 * n_repeat > MAX_REPEATED * n_words)

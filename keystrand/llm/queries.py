@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, line_dedup, mixing, ngram_join, ngram_lm, quality, secrets, token_count, token_store
+from . import decontaminate, html, line_dedup, mixing, ngram_join, ngram_lm, oracles, quality, secrets, token_count, token_store
 
 TOKENIZERS = os.environ.get("KEYSTRAND_TOKENIZERS")  # a folder; unset: that of the installed package
 
@@ -72,4 +72,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_html, op3_token_counts, op4_mixing, op5_secrets, op6_token_ids, op7_lm_score, op8_ngram_join, op9_line_dedup, op10_quality, pipeline)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op1_decontaminate": oracles.DECONTAMINATION, "op8_ngram_join": oracles.JOIN, "op10_quality": oracles.QUALITY}
