@@ -1,6 +1,6 @@
 """Jaccard join of documents on word shingles by T-occurrence search (DivideSkip).
 
-A document's set is its distinct k-word shingles (64-bit hashes).  Two sets of a
+A document's set is its distinct k-word shingles (52-bit hashes).  Two sets of a
 and b shingles link when their intersection reaches T = ceil(t (a + b) / (1 + t)).
 
 * Divide.  The inverted lists of shingles that many sets hold are long, all
@@ -16,9 +16,10 @@ and b shingles link when their intersection reaches T = ceil(t (a + b) / (1 + t)
   pairs first; pairs within one component are never listed.  A proposed pair is
   verified by binary-probing all shingles of the smaller set in the sorted
   larger one, and links if T is reached.
-* Rounds.  Verified links are contracted to components, refused pairs are
-  remembered, and lists that still hold several components propose again, each
-  member against all that are outside the list's largest component.  The end is
+* Rounds.  Verified links are contracted to components and refused pairs are
+  remembered.  A list of one block all of whose proposals link is settled.  The
+  others propose again: each member its nearest partners in other components,
+  against all that are outside the list's largest component.  The end is
   reached when no list proposes a pair: then every two linked sets share a
   component.  No pair is capped or sampled away.
 
@@ -48,13 +49,16 @@ SHINGLE, PERCENT = 3, 90
 LONG = 64  # sets that hold a shingle, from which on its list is long
 MOST_LONG = 2_000_000  # long lists that are broadcast (16 MB); beyond, the longest
 BLOCK, PIVOTS = 512, 32
+TRIES = 8  # partners that a member proposes in a later round
 BITS = 1024
+#: Hashes are this wide, so that a row of a block, the kind of list and the hash fit 64 bits.
+HASH_BITS, ROWS = 52, 2048
 
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
-def shingle_sets(t: W.Text, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash), ascending and distinct."""
+def shingles(t: W.Text, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of all shingles, repeated ones too."""
     row, start, stop = t.lower().words(W.NOT_SPACE)
     h = t.hashes(start, stop)
     at, g = W.grams(h, row, k)
@@ -68,11 +72,39 @@ def shingle_sets(t: W.Text, k: int) -> tuple[np.ndarray, np.ndarray]:
         np.add.at(whole, row[short], h[short] * W.GRAM[place])
         rows = np.unique(row[short])
         r, g = np.concatenate([r, rows]), np.concatenate([g, W.mix(whole[rows] + count[rows].astype(np.uint64) * _SALT)])
-    order = np.lexsort((g, r))
-    r, g = r[order], g[order]
-    new = np.ones(len(r), bool)
-    new[1:] = (r[1:] != r[:-1]) | (g[1:] != g[:-1])
-    return r[new], g[new]
+    return r, g >> np.uint64(64 - HASH_BITS)
+
+
+def shingle_sets(t: W.Text, k: int, long: LongLists | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of distinct shingles, ascending by row, then short lists first, then by hash.
+
+    Row, list kind and hash are sorted as one number.
+    """
+    r, g = shingles(t, k)
+    key = r.astype(np.uint64) << np.uint64(HASH_BITS + 1) | g
+    if long is not None:
+        key |= long.holds(g).astype(np.uint64) << np.uint64(HASH_BITS)
+    key.sort()
+    if len(key):
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+    return (key >> np.uint64(HASH_BITS + 1)).astype(np.int64), key & np.uint64((1 << HASH_BITS) - 1)
+
+
+class LongLists:
+    """The hashes of long lists, with a table of their upper bits in front."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.sort(hashes)
+        self.table = np.zeros(1 << 20, bool)
+        self.table[self.hashes >> np.uint64(HASH_BITS - 20)] = True
+
+    def holds(self, g: np.ndarray) -> np.ndarray:
+        out = self.table[g >> np.uint64(HASH_BITS - 20)]
+        some = np.flatnonzero(out)
+        if len(some):
+            at = np.minimum(np.searchsorted(self.hashes, g[some]), len(self.hashes) - 1)
+            out[some] = self.hashes[at] == g[some]
+        return out
 
 
 def _names(r: np.ndarray, g: np.ndarray, n: int) -> tuple[np.ndarray, list[bytes]]:
@@ -87,7 +119,7 @@ def needed(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-def _long_lists(docs: DataFrame, k: int, long: int) -> np.ndarray:
+def _long_lists(docs: DataFrame, k: int, long: int) -> LongLists:
     """Hashes of shingles that about `long` sets or more hold.
 
     Tasks count their own sets and report what occurs twice at least, so single shingles are not
@@ -95,9 +127,9 @@ def _long_lists(docs: DataFrame, k: int, long: int) -> np.ndarray:
     """
 
     def run(batches):
-        counter, seen = W.Counter(6_000_000), set()
+        counter, seen = W.Counter(), set()
         for b in batches:
-            for _, t in W.parts(b.column(1)):
+            for _, t in W.parts(b.column(1), rows=ROWS):
                 r, g = shingle_sets(t, k)
                 _, names = _names(r, g, t.n)
                 new = np.zeros(t.n, bool)
@@ -112,26 +144,23 @@ def _long_lists(docs: DataFrame, k: int, long: int) -> np.ndarray:
         yield from counter.take(2)
 
     counts = docs.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= long)
-    return np.sort(counts.orderBy(F.desc("c"), "h").limit(MOST_LONG).select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64))
+    return LongLists(counts.orderBy(F.desc("c"), "h").limit(MOST_LONG).select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64))
 
 
-def _sketches(docs: DataFrame, id_kind: str, k: int, percent: int, long: np.ndarray) -> DataFrame:
+def _sketches(docs: DataFrame, id_kind: str, k: int, percent: int, long: LongLists) -> DataFrame:
     """id, name, size, the lists to merge and the parity bitmap of each document."""
     sent = docs.sparkSession.sparkContext.broadcast(long)
 
     def run(batches):
         long = sent.value
         for b in batches:
-            for lo, t in W.parts(b.column(1)):
-                r, g = shingle_sets(t, k)
+            for lo, t in W.parts(b.column(1), rows=ROWS):
+                r, g = shingle_sets(t, k, long)
                 bounds, names = _names(r, g, t.n)
                 n = np.diff(bounds)
-                at = np.minimum(np.searchsorted(long, g), max(0, len(long) - 1))
-                late = long[at] == g if len(long) else np.zeros(len(g), bool)
-                order = np.argsort(2 * r + late, kind="stable")
                 take = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
                 inner = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
-                lists = g[order][np.repeat(bounds[:-1], take) + inner]
+                lists = g[np.repeat(bounds[:-1], take) + inner]
                 spot = (W.mix(g ^ _SALT) & np.uint64(BITS - 1)).astype(np.int64)
                 parity = np.bincount(r * BITS + spot, minlength=t.n * BITS).astype(np.uint8) & 1
                 maps = np.packbits(parity.reshape(t.n, BITS), axis=1)
@@ -143,76 +172,101 @@ def _sketches(docs: DataFrame, id_kind: str, k: int, percent: int, long: np.ndar
     return docs.mapInArrow(run, f"id {id_kind}, name binary, n long, lists array<long>, map binary")
 
 
-def forest(ids: np.ndarray, sizes: np.ndarray, maps: np.ndarray, comps: np.ndarray, refused: list, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest over the pairs that may link and are not of one component, nearest first (Prim).
+def block_pairs(sizes: np.ndarray, maps: np.ndarray, comps: np.ndarray, groups: np.ndarray, percent: int, at_once: int = 1 << 20):
+    """(i, j, distance) arrays of the pairs of one group each that may link and lie in different components.
 
-    Steps within a component are free and are not given.
+    groups: bounds of the groups; pairs of all groups are enumerated together, `at_once` at a time.
+    """
+    m = np.diff(groups)
+    last = np.repeat(groups[1:], m)
+    mates = last - np.arange(len(sizes)) - 1  # members after each in its group
+    total = np.concatenate([[0], np.cumsum(mates)])
+    lo = 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + at_once, "right")) - 1)
+        n = mates[lo:hi]
+        i = np.repeat(np.arange(lo, hi), n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        sum_, least_size = sizes[i] + sizes[j], np.minimum(sizes[i], sizes[j])
+        least = needed(sum_, 0, percent)
+        keep = np.flatnonzero((least_size >= least) & (comps[i] != comps[j]))
+        i, j, room = i[keep], j[keep], (sum_ - 2 * least)[keep]
+        apart = np.bitwise_count(maps[i] ^ maps[j]).sum(axis=1, dtype=np.int64)
+        keep = apart <= room
+        yield i[keep], j[keep], apart[keep]
+        lo = hi
+
+
+def _propose(members: DataFrame, id_kind: str, percent: int, later: bool) -> DataFrame:
+    """(h, a, b), a < b: the pairs that the blocks (h, i, j) propose.
+
+    In the first round a spanning forest of each block, later each member's nearest TRIES partners.
     """
-    m = len(ids)
-    far = np.int64(1 << 40)
-    at = {x: i for i, x in enumerate(ids.tolist())}
-    best, parent = np.full(m, far), np.full(m, -1)
-    todo = np.ones(m, bool)
-    out = []
-    for _ in range(m):
-        i = int(np.argmin(np.where(todo, best, far + 1)))
-        if 0 <= best[i] < far:
-            out.append((int(parent[i]), i))
-        todo[i] = False
-        apart = np.bitwise_count(maps ^ maps[i]).sum(axis=1, dtype=np.int64)
-        total = sizes + sizes[i]
-        least = needed(total, 0, percent)
-        apart[(apart > total - 2 * least) | (np.minimum(sizes, sizes[i]) < least)] = far
-        for x in refused[i] or ():
-            if x in at:
-                apart[at[x]] = far
-        apart[comps == comps[i]] = -1
-        closer = todo & (apart < best)
-        best[closer] = apart[closer]
-        parent[closer] = i
-    return out
-
-
-def _propose(members: DataFrame, id_kind: str, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b, that the blocks (h, block) propose."""
 
     def groups(batches):
         held = None
         for b in batches:
-            table = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])]).combine_chunks()
+            table = pa.Table.from_batches([b])
+            if held is not None:
+                table = pa.concat_tables([held, table]).combine_chunks()
             if not len(table):
                 continue
             h, x, y = (table.column(c).to_numpy() for c in ("h", "i", "j"))
-            edge = np.flatnonzero((h[1:] != h[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
-            cuts = [0, *edge.tolist()]
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                yield table.slice(lo, hi - lo)
-            held = table.slice(cuts[-1])
-        if held is not None:
-            yield held
+            cuts = np.flatnonzero((h[1:] != h[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
+            if len(cuts):  # the last group may go on in the next batch
+                yield table.slice(0, cuts[-1]), np.concatenate([[0], cuts])
+                held = table.slice(cuts[-1])
+            else:
+                held = table
+        if held is not None and len(held):
+            yield held, np.array([0, len(held)])
 
     def run(batches):
-        out: list[tuple] = []
-        kind = None
-        for g in groups(batches):
-            kind = g.schema.field("id").type
-            ids = g.column("id").to_numpy()
-            if len(ids) > 1:
-                _, first = np.unique(ids, return_index=True)
-                g = g.take(pa.array(first))
-                ids = ids[first]
-            if len(ids) < 2:
-                continue
+        for g, bounds in groups(batches):
+            ids, h = g.column("id").to_numpy(), g.column("h").to_numpy()
+            sizes, comps = g.column("n").to_numpy(), g.column("comp").to_numpy()
             maps = np.frombuffer(b"".join(g.column("map").to_pylist()), np.uint64).reshape(len(ids), -1)
-            for a, b in forest(ids, g.column("n").to_numpy(), maps, g.column("comp").to_numpy(), g.column("refused").to_pylist(), percent):
-                out.append((min(ids[a], ids[b]), max(ids[a], ids[b])))
-            if len(out) > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in zip(*out, strict=True)], ["a", "b"])
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in zip(*out, strict=True)], ["a", "b"])
-
-    return members.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "id").mapInArrow(run, f"a {id_kind}, b {id_kind}").dropDuplicates()
+            got = [x for x in block_pairs(sizes, maps, comps, bounds, percent) if len(x[0])]
+            if not got:
+                continue
+            i, j, apart = (np.concatenate(c) for c in zip(*got, strict=True))
+            if later:
+                refused = g.column("refused").to_pylist()
+                fresh = np.array([not (refused[a] and ids[b] in refused[a]) for a, b in zip(i.tolist(), j.tolist(), strict=True)], bool)
+                i, j, apart = i[fresh], j[fresh], apart[fresh]
+                chosen = nearest(i, j, apart, TRIES)
+            else:
+                chosen = forest(ids, bounds, i, j, apart)
+            i, j = i[chosen], j[chosen]
+            yield pa.RecordBatch.from_arrays([pa.array(h[i]), pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], ["h", "a", "b"])
+
+    return members.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "id").mapInArrow(run, f"h long, a {id_kind}, b {id_kind}")
+
+
+def nearest(i: np.ndarray, j: np.ndarray, apart: np.ndarray, tries: int) -> np.ndarray:
+    """Which pairs are among the `tries` nearest of one of their members."""
+    chosen = np.zeros(len(i), bool)
+    for one in (i, j):
+        order = np.lexsort((apart, one))
+        rank = np.arange(len(order)) - np.searchsorted(one[order], one[order])
+        chosen[order[rank < tries]] = True
+    return chosen
+
+
+def forest(ids: np.ndarray, bounds: np.ndarray, i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Indices of pairs that make a spanning forest of each block, nearest pairs first; ties by id."""
+    root = list(range(len(ids)))
+    picked = []
+    for k in np.lexsort((ids[j], ids[i], apart)).tolist():
+        a, b = int(i[k]), int(j[k])
+        while root[a] != a:
+            root[a] = a = root[root[a]]
+        while root[b] != b:
+            root[b] = b = root[root[b]]
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            picked.append(k)
+    return np.array(picked, np.int64)
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, id_kind: str, k: int, percent: int) -> DataFrame:
@@ -220,7 +274,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, id_kind: str, k: int, percent: in
 
     def sets(batches):
         for b in batches:
-            for lo, t in W.parts(b.column(1)):
+            for lo, t in W.parts(b.column(1), rows=ROWS):
                 r, g = shingle_sets(t, k)
                 bounds = np.searchsorted(r, np.arange(t.n + 1)).tolist()
                 data = g.tobytes()
@@ -279,9 +333,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     size = posting.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
     shared = _scratch.write(posting.join(size, "h").distinct(), "postings")
     facts = member.select("id", "n", "map")
-    comps, refused, links = None, None, None
+    comps, refused, links, active = None, None, None, None
     while True:
-        if comps is None:
+        if active is None:
             # First round: blocks of each list, and pivots in all of them.
             n_blocks = F.ceil(F.col("m") / block).cast("int")
             own = F.pmod(F.xxhash64("id"), n_blocks.cast("long")).cast("int")
@@ -289,8 +343,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
             dealt = shared.withColumn("i", F.explode(F.when(pivot, F.sequence(F.lit(0), n_blocks - 1)).otherwise(F.array(own)))).select("h", "id", "i", F.lit(0).alias("j"))
             dealt = dealt.join(facts, "id").withColumn("comp", F.col("id")).withColumn("refused", F.lit(None).cast(f"array<{id_kind}>"))
         else:
-            # Later rounds: each list's members against those outside its largest component.
-            held = shared.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+            # Later rounds: the members of lists that are not settled against those outside the list's largest component.
+            held = shared.join(active, "h", "left_semi").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
             part = held.groupBy("h", "comp").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), F.max("c").alias("most"))
             left = held.join(part, "h").where(F.col("most") < F.col("m"))
             n_blocks, n_out = F.ceil(F.col("m") / block).cast("int"), F.ceil((F.col("m") - F.col("most")) / block).cast("int")
@@ -300,11 +354,22 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
             columns = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda i: F.struct(i.alias("i"), own_out.alias("j")))
             at = F.explode(F.array_distinct(F.when(F.col("comp") == F.col("top"), rows).otherwise(F.concat(rows, columns))))
             dealt = left.select("h", "id", "comp", at.alias("at")).select("h", "id", "comp", "at.i", "at.j").join(facts, "id").join(refused, "id", "left")
-        pairs = _scratch.write(_propose(dealt.select("h", "i", "j", "id", "n", "map", "comp", "refused"), id_kind, percent), "pairs")
-        if pairs.isEmpty():
+        proposed = _scratch.write(_propose(dealt.select("h", "i", "j", "id", "n", "map", "comp", "refused"), id_kind, percent, active is not None), "pairs")
+        pairs = proposed.select("a", "b").distinct()
+        if proposed.isEmpty():
             break
         verified = _verify(docs, pairs, id_kind, k, percent)
         links = verified if links is None else links.union(verified)
+        # Unsettled: in the first round lists with a refused pair or of several blocks, later all that proposed.
+        if active is None:
+            wrong = proposed.join(verified.where("not linked"), ["a", "b"], "left_semi").select("h")
+            active = wrong.union(shared.where(F.col("m") > block).select("h"))
+        else:
+            active = proposed.select("h")
+        active = _scratch.write(active.distinct(), "active")
+        if active.isEmpty():
+            comps = _scratch.write(components(links.where("linked")), "components")
+            break
         no = links.where("not linked")
         refused = no.select(F.col("a").alias("id"), F.col("b").alias("x")).union(no.select("b", "a")).groupBy("id").agg(F.collect_set("x").alias("refused"))
         comps = _scratch.write(components(links.where("linked")), "components")
