@@ -50,7 +50,7 @@ LONG = 64  # sets that hold a shingle, from which on its list is long
 MOST_LONG = 2_000_000  # long lists that are broadcast (16 MB); beyond, the longest
 BLOCK, PIVOTS = 512, 32
 TRIES = 8  # partners that a member proposes in a later round
-BITS = 1024
+BITS = 1024  # least width of a parity bitmap
 #: Hashes are this wide, so that a row of a block, the kind of list and the hash fit 64 bits.
 HASH_BITS, ROWS = 52, 2048
 
@@ -119,6 +119,50 @@ def needed(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
+def map_bits(n: np.ndarray, percent: int) -> np.ndarray:
+    """Width of the bitmap of a set of n: a power of two, 2.4 times the greatest symmetric difference of a link or more."""
+    want = 2.4 * n * 2 * (100 - percent) / (100 + percent)
+    return np.maximum(BITS, 1 << np.ceil(np.log2(np.maximum(1, want))).astype(np.int64))
+
+
+def parity_maps(r: np.ndarray, g: np.ndarray, n: np.ndarray, percent: int) -> list[bytes]:
+    """For each set, whether the number of elements at each place is odd. The distance of two maps bounds the symmetric difference from below."""
+    bits = map_bits(n, percent)
+    out: list[bytes] = [b""] * len(n)
+    spot = W.mix(g ^ _SALT)
+    for b in np.unique(bits).tolist():
+        rows = np.flatnonzero(bits == b)
+        number = np.full(len(n), -1)
+        number[rows] = np.arange(len(rows))
+        mine = number[r] >= 0
+        place = number[r[mine]] * b + (spot[mine] & np.uint64(b - 1)).astype(np.int64)
+        odd = np.bincount(place, minlength=len(rows) * b).astype(np.uint8) & 1
+        for i, x in zip(rows.tolist(), np.packbits(odd.reshape(-1, b), axis=1), strict=True):
+            out[i] = x.tobytes()
+    return out
+
+
+def folded(maps: list[bytes]) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Width of each map in bytes, and for each width the maps that are as wide or wider, folded to it (numbers of rows, words).
+
+    Two halves of a map, one laid over the other by exclusive or, are the map of half the width.
+    """
+    width = np.fromiter(map(len, maps), np.int64, len(maps))
+    out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    rows, words = np.zeros(0, np.int64), np.zeros((0, 0), np.uint64)
+    for w in sorted(set(width.tolist()), reverse=True):
+        while len(rows) and words.shape[1] * 8 > w:
+            half = words.shape[1] // 2
+            words = words[:, :half] ^ words[:, half:]
+        own = np.flatnonzero(width == w)
+        data = np.frombuffer(b"".join(maps[i] for i in own.tolist()), np.uint64).reshape(len(own), -1)
+        rows, words = np.concatenate([rows, own]), np.concatenate([words.reshape(len(rows), w // 8), data])
+        number = np.full(len(maps), -1)
+        number[rows] = np.arange(len(rows))
+        out[w] = (number, words)
+    return width, out
+
+
 def _long_lists(docs: DataFrame, k: int, long: int) -> LongLists:
     """Hashes of shingles that about `long` sets or more hold.
 
@@ -161,22 +205,21 @@ def _sketches(docs: DataFrame, id_kind: str, k: int, percent: int, long: LongLis
                 take = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
                 inner = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
                 lists = g[np.repeat(bounds[:-1], take) + inner]
-                spot = (W.mix(g ^ _SALT) & np.uint64(BITS - 1)).astype(np.int64)
-                parity = np.bincount(r * BITS + spot, minlength=t.n * BITS).astype(np.uint8) & 1
-                maps = np.packbits(parity.reshape(t.n, BITS), axis=1)
+                maps = parity_maps(r, g, n, percent)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, t.n), pa.array(names, pa.binary()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]), pa.int32()), pa.array(lists.view(np.int64))), pa.array([x.tobytes() for x in maps], pa.binary())],
+                    [b.column(0).slice(lo, t.n), pa.array(names, pa.binary()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]), pa.int32()), pa.array(lists.view(np.int64))), pa.array(maps, pa.binary())],
                     ["id", "name", "n", "lists", "map"],
                 )
 
     return docs.mapInArrow(run, f"id {id_kind}, name binary, n long, lists array<long>, map binary")
 
 
-def block_pairs(sizes: np.ndarray, maps: np.ndarray, comps: np.ndarray, groups: np.ndarray, percent: int, at_once: int = 1 << 20):
+def block_pairs(sizes: np.ndarray, maps: list[bytes], comps: np.ndarray, groups: np.ndarray, percent: int, at_once: int = 1 << 20):
     """(i, j, distance) arrays of the pairs of one group each that may link and lie in different components.
 
     groups: bounds of the groups; pairs of all groups are enumerated together, `at_once` at a time.
     """
+    width, by_width = folded(maps)
     m = np.diff(groups)
     last = np.repeat(groups[1:], m)
     mates = last - np.arange(len(sizes)) - 1  # members after each in its group
@@ -191,7 +234,11 @@ def block_pairs(sizes: np.ndarray, maps: np.ndarray, comps: np.ndarray, groups:
         least = needed(sum_, 0, percent)
         keep = np.flatnonzero((least_size >= least) & (comps[i] != comps[j]))
         i, j, room = i[keep], j[keep], (sum_ - 2 * least)[keep]
-        apart = np.bitwise_count(maps[i] ^ maps[j]).sum(axis=1, dtype=np.int64)
+        apart = np.zeros(len(i), np.int64)
+        narrow = np.minimum(width[i], width[j])
+        for w, (number, words) in by_width.items():
+            at = np.flatnonzero(narrow == w)
+            apart[at] = np.bitwise_count(words[number[i[at]]] ^ words[number[j[at]]]).sum(axis=1, dtype=np.int64)
         keep = apart <= room
         yield i[keep], j[keep], apart[keep]
         lo = hi
@@ -225,7 +272,7 @@ def _propose(members: DataFrame, id_kind: str, percent: int, later: bool) -> Dat
         for g, bounds in groups(batches):
             ids, h = g.column("id").to_numpy(), g.column("h").to_numpy()
             sizes, comps = g.column("n").to_numpy(), g.column("comp").to_numpy()
-            maps = np.frombuffer(b"".join(g.column("map").to_pylist()), np.uint64).reshape(len(ids), -1)
+            maps = g.column("map").to_pylist()
             got = [x for x in block_pairs(sizes, maps, comps, bounds, percent) if len(x[0])]
             if not got:
                 continue
