@@ -53,6 +53,18 @@ def drop(df: DataFrame) -> None:
     delete(df.sparkSession, df._keystrand_path)
 
 
+def mark() -> int:
+    return len(_written)
+
+
+def release(since: int, *keep: DataFrame) -> None:
+    """Deletes the tables written since a mark, but for those to keep; nothing may read them any more."""
+    kept = {df._keystrand_path for df in keep}
+    for spark, path in [x for x in _written[since:] if x[1] not in kept]:
+        delete(spark, path)
+    _written[since:] = [x for x in _written[since:] if x[1] in kept]
+
+
 def by_ids(df: DataFrame, id_col: str, ids: DataFrame, how: str, most: int = 4_000_000) -> DataFrame:
     """df left_semi or left_anti joined with ids (one column named like id_col).
 

@@ -7,8 +7,10 @@ that begin within `WINDOW_WORDS` words of a line, those of least hash are anchor
 So nothing shorter than GRAM_WORDS words is ever matched, and two runs of equal
 lines of GRAM_WORDS + WINDOW_WORDS words always have an anchor in common.
 
-Every anchor is joined with its first occurrence, by (id, place).  Along the
-diagonal of the two places lines are compared both ways, and the longest run of
+The first anchor of a hash in a document is joined with the hash's first
+occurrence of all, by (id, place), and further ones with the one before them in
+the document, so that a document that repeats itself has few diagonals.  Along
+the diagonal of the two places lines are compared both ways, and the longest run of
 equal lines around the anchor is deleted from the later place.  A deleted line
 always has an equal line at an earlier place, so one copy of each stays.
 
@@ -56,11 +58,14 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, th, pos, w): the lines to delete, th being xxhash64 of the text."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     lines = _scratch.write(_anchors(_lines(docs), gram, window), "lines")
-    anchors = lines.where("anchor").select("g", "id", "th", "i")
+    own = Window.partitionBy("id", "th", "g").orderBy("i")
+    anchors = lines.where("anchor").select("g", "id", "th", "i", F.lag("i").over(own).alias("prev"))
     first = anchors.groupBy("g").agg(F.min(F.struct("id", "th", "i")).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = anchors.join(first, "g").where(~F.struct("id", "th", "i").eqNullSafe(F.col("f")))
-    # A diagonal: a later document, the first one and the distance of the two places. lo: the anchors on it.
-    diagonals = later.groupBy("id", "th", F.col("f.id").alias("id0"), F.col("f.th").alias("th0"), (F.col("f.i") - F.col("i")).alias("d")).agg(F.collect_set("i").alias("at"))
+    again = anchors.where("prev is not null").select("id", "th", F.col("id").alias("id0"), F.col("th").alias("th0"), (F.col("prev") - F.col("i")).alias("d"), "i")
+    later = anchors.where("prev is null").join(first, "g").where(~F.struct("id", "th", "i").eqNullSafe(F.col("f")))
+    later = later.select("id", "th", F.col("f.id").alias("id0"), F.col("f.th").alias("th0"), (F.col("f.i") - F.col("i")).alias("d"), "i")
+    # A diagonal: a later document, an earlier one (or itself) and the distance of the two places; `at` are the anchors on it.
+    diagonals = later.union(again).groupBy("id", "th", "id0", "th0", "d").agg(F.collect_set("i").alias("at"))
     mine = lines.select("id", "th", "i", "h", "pos", "w").alias("m")
     there = lines.select(F.col("id").alias("id0"), F.col("th").alias("th0"), F.col("i").alias("i0"), F.col("h").alias("h")).alias("t")
     dg = diagonals.alias("g")

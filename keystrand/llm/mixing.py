@@ -178,6 +178,8 @@ def rates(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, float] = TARGETS, least: float = 0.5) -> DataFrame:
     """The rows of docs, all columns, whose rate is `least` at least."""
+    since = _scratch.mark()
     scored = _scratch.write(posteriors(docs, labels, id_col, text_col), "scored")
     gone = _scratch.write(scored.withColumn("rate", _rate(fit_rates(scored, targets))).where(F.col("rate") < least).select(id_col).distinct(), "left-out")
+    _scratch.release(since, gone)
     return _scratch.by_ids(docs, id_col, gone, "left_anti").select(docs.columns)

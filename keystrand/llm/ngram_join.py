@@ -371,6 +371,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT, long: int = LONG, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
     """One row for each row of docs: its id, n_shingles and component_id, the smallest id that links reach."""
+    since = _scratch.mark()
     id_kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     every = _scratch.write(_sketches(docs, id_kind, k, percent, _long_lists(docs, k, long)), "sketches")
@@ -420,6 +421,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
         no = links.where("not linked")
         refused = no.select(F.col("a").alias("id"), F.col("b").alias("x")).union(no.select("b", "a")).groupBy("id").agg(F.collect_set("x").alias("refused"))
         comps = _scratch.write(components(links.where("linked")), "components")
+    _scratch.release(since, every, member, *([comps] if comps is not None else []))
     out = every.join(member.select("name", F.col("id").alias("node")), "name", "left")
     if comps is not None:
         out = out.join(comps.withColumnRenamed("id", "node"), "node", "left")
@@ -431,6 +433,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """docs, all columns, with one document of each component: that with the smallest id."""
+    since = _scratch.mark()
     found = join(docs, id_col, text_col, k, percent)
     gone = _scratch.write(found.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct(), "removed")
+    _scratch.release(since, gone)
     return _scratch.by_ids(docs, id_col, gone, "left_anti").select(docs.columns)
