@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 # Text that is handled at once; a single longer text is still taken whole.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _WEIGHT = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

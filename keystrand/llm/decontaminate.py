@@ -15,7 +15,9 @@ broadcast does not grow.
 
 Edge cases: null texts and items have no words; an item without words is never
 found; repeated items each count; an empty benchmark flags nothing; an empty
-documents table gives an empty table; other columns are left alone.
+documents table gives an empty table; other columns are left alone.  Repeated
+rows are reported row by row; when the benchmark takes several blocks, rows of
+one id are reported as one.
 """
 
 from __future__ import annotations
@@ -218,8 +220,7 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     sent = [spark.sparkContext.broadcast(Benchmark(i, t, window)) for i, t in blocks(benchmark, item_col, item_text_col, block_bytes)]
     if len(sent) == 1:
         return _pass(docs, sent[0], id_col, text_col, False)
-    # Several blocks: the covered places of a document are united over the passes. Rows are told
-    # apart by id and by a running number among the rows of one id that have the same text.
+    # Several blocks: the covered places of a document are united over the passes.
     out = None
     for b in sent:
         one = _pass(docs, b, id_col, text_col, True)
