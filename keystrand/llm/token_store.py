@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import os
 import uuid
 import zlib
 
@@ -37,73 +38,111 @@ END_ID = 1
 MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK = 128, 1024, 8192
 _ROLL = 16  # ids under the rolling hash
 _TABLE = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 1 << 16, dtype=np.uint64)
-_MEMO = 300_000  # distinct words that a task remembers
+_MEMO = 3_000_000  # distinct words that a worker remembers
+
+
+class Memo:
+    """Ids of words by the words' 64-bit hashes, in flat arrays; emptied when full."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.flat = np.zeros(0, np.uint32)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each hash, and whether it is held."""
+        if not len(self.hashes):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return at, self.hashes[at] == h
+
+    def add(self, h: np.ndarray, ids: list[list[int]]) -> None:
+        """h ascending, none of them held."""
+        size = np.fromiter(map(len, ids), np.int32, len(ids))
+        flat = np.fromiter((x for i in ids for x in i), np.uint32, int(size.sum()))
+        place = np.searchsorted(self.hashes, h)
+        self.hashes = np.insert(self.hashes, place, h)
+        self.at = np.insert(self.at, place, len(self.flat) + np.cumsum(size) - size)
+        self.size = np.insert(self.size, place, size)
+        self.flat = np.concatenate([self.flat, flat])
 
 
 class Encoder:
     """Ids of texts; words between ASCII white space are encoded once while they are remembered.
 
-    The tokenizer must split at ASCII white space and drop it, so that a text's ids are
-    those of its words; `check` compares whole texts with that, and texts are encoded whole if it fails.
+    The tokenizer must split at ASCII white space and drop it, take ASCII letters in either case for
+    the same and split a full stop or comma from letters before it, so that a text's ids are those of
+    its words; this is tried with a probe, and texts are encoded whole if it fails.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = _MEMO):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks already run side by side
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        probe = ["Ab, cd.\n\tEf's gh\x0b12  Ünï <|x|>.", " a\r\nb "]
-        self.by_word = all(self.tokenizer.encode(p, add_special_tokens=False).ids == [i for w in _split(p) for i in self.tokenizer.encode(w, add_special_tokens=False).ids] for p in probe)
-        self.memo: dict[bytes, np.ndarray] = {}
-        self.stems: dict[str, list[int]] = {}
+        self.memo = Memo(most)
+        probe = ["Ab, cd.\n\tEf's gh\x0b12  Ünï <|x|>. it.", " a\r\nb ", "A.B,C d,. x12."]
+        try:
+            self.by_word = True
+            for text, (ids, _) in ((p, self.encode(t)) for p in probe for _, t in W.parts(pa.array([p]))):
+                self.by_word &= ids.tolist() == [*self._many([text])[0], END_ID]
+        finally:
+            self.memo.clear()
 
     def _many(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, raw: list[bytes]) -> None:
-        """Adds words to the memo. A full stop or comma after a letter is a token run of its own."""
-        cut = []
-        for w in raw:
-            s = w.decode()
-            if len(s) > 1 and s[-1] in ".," and s[-2].isalpha():
-                cut.append((s[:-1], s[-1]))
-            else:
-                cut.append((s, ""))
-        new = list({x for c in cut for x in c if x and x not in self.stems})
-        self.stems.update(zip(new, self._many(new), strict=True))
-        for w, (stem, tail) in zip(raw, cut, strict=True):
-            ids = self.stems[stem]
-            self.memo[w] = np.array(ids + self.stems[tail] if tail else ids, np.uint32)
-
     def encode(self, t: W.Text) -> tuple[np.ndarray, np.ndarray]:
         """All ids, with END_ID after each text, and the bounds of the texts."""
         if not self.by_word:
             raw = t.raw.tobytes()
             each = [np.array([*x, END_ID], np.uint32) for x in self._many([raw[t.off[i] : t.off[i + 1]].decode() for i in range(t.n)])]
             return np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
+        if b"<|" not in t.raw.tobytes():  # special tokens are told apart by case
+            t = t.lower()
         row, start, stop = t.words(W.NOT_SPACE)
-        _, first, which = np.unique(t.hashes(start, stop), return_index=True, return_inverse=True)
-        raw = t.raw.tobytes()
-        distinct = [raw[a:b] for a, b in zip(start[first].tolist(), stop[first].tolist(), strict=True)]
-        if len(self.memo) + len(distinct) > _MEMO:
+        if len(row):
+            # A full stop or comma after an ASCII letter is a piece of its own.
+            tail = (stop - start > 1) & _TAIL[t.bytes[stop - 1]] & _LETTER[t.bytes[stop - 2]]
+            twice = 1 + tail
+            row, end, begin = np.repeat(row, twice), np.repeat(stop, twice), np.repeat(start, twice)
+            second = np.cumsum(twice)[tail] - 1
+            begin[second] = end[second] - 1
+            end[second - 1] -= 1
+            start, stop = begin, end
+        h, first, which = np.unique(t.hashes(start, stop), return_index=True, return_inverse=True)
+        if len(self.memo.hashes) + len(h) > self.memo.most:
             self.memo.clear()
-            self.stems.clear()
-        self._words([w for w in distinct if w not in self.memo])
-        known = [self.memo[w] for w in distinct]
-        size = np.array([len(x) for x in known] or [0])
-        flat = np.concatenate([*known, np.zeros(0, np.uint32)])
-        at = np.cumsum(size) - size
+        _, held = self.memo.find(h)
+        data, new = t.bytes.tobytes(), np.flatnonzero(~held)
+        words = [data[a:b].decode() for a, b in zip(start[first[new]].tolist(), stop[first[new]].tolist(), strict=True)]
+        if words:
+            self.memo.add(h[new], self._many(words))
+        place, _ = self.memo.find(h)
+        size, at = self.memo.size[place].astype(np.int64), self.memo.at[place]
         count = size[which] if len(which) else np.zeros(0, np.int64)
         n = np.bincount(row, weights=count, minlength=t.n).astype(np.int64) + 1
         bounds = np.concatenate([[0], np.cumsum(n)])
         out = np.full(bounds[-1], END_ID, np.uint32)
         if len(which):
-            inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            out[np.arange(count.sum()) + np.repeat(row, count)] = flat[np.repeat(at[which], count) + inner]
+            every = np.arange(count.sum())
+            inner = every - np.repeat(np.cumsum(count) - count, count)
+            out[every + np.repeat(row, count)] = self.memo.flat[np.repeat(at[which], count) + inner]
         return out, bounds
 
 
-def _split(text: str) -> list[str]:
-    return text.replace("\t", " ").replace("\n", " ").replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").split(" ")
+_TAIL, _LETTER = W.byte_set(".,"), np.array([0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A for b in range(256)])
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The process's encoder for a tokenizer: tasks of one Python worker share its memory."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def cuts(ids: np.ndarray, bounds: np.ndarray) -> list[list[int]]:
@@ -161,10 +200,10 @@ def _encode(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame
     def run(batches):
         import zstandard
 
-        encoder, squeeze, seen = Encoder(path), zstandard.ZstdCompressor(level=1), set()
+        encode, squeeze, seen = encoder(path).encode, zstandard.ZstdCompressor(level=1), set()
         for b in batches:
             for lo, t in W.parts(b.column(1)):
-                ids, bounds = encoder.encode(t)
+                ids, bounds = encode(t)
                 doc_ids = b.column(0).slice(lo, t.n).to_pylist()
                 rows: list[tuple] = []
                 if len(seen) > 1_000_000:
