@@ -523,3 +523,11 @@ def test_parity_maps_bound_the_difference():
             assert apart <= len(np.setxor1d(sets[i], sets[j]))
     pairs = [(i, j) for a, b, _ in ngram_join.block_pairs(n, maps, np.arange(len(n)), np.array([0, len(n)]), 90) for i, j in zip(a.tolist(), b.tolist())]
     assert pairs == [(3, 6)]
+
+
+def test_document_that_repeats_itself(spark):
+    line = " ".join(f"z{i}" for i in range(30)) + "."
+    other = " ".join(f"y{i}" for i in range(30)) + "."
+    rows = [(1, "\n".join([line] * 200)), (2, "\n".join([line, other] * 100)), (3, "\n".join([other, line] * 3))]
+    out = {r["doc_id"]: r["text"] for r in line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: line, 2: other, 3: ""}
