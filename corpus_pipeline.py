@@ -31,7 +31,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose fitted rate rounds to one or more."""
+    """Documents whose fitted rate is 0.4 or more."""
     return mixing.sample(docs, queries.table(spark, sf_dir, "labels"))
 
 

@@ -2,11 +2,11 @@
 
 Domains are what labels tell apart: toxic (toxic = 1), else low (quality = 0),
 else clean.  A naive Bayes classifier is fitted on a bounded sample of labelled
-documents; its features are the words and a few marks of form (many symbols,
-capitals, repeated words), kept if they are frequent enough in their class and
-far more frequent than outside of it; having none of a class's features counts
-as evidence too.  It gives every document posteriors over
-the domains.
+documents.  Features are the words and a few marks of form (many symbols,
+capitals, repeated words); those frequent enough in a class and far more
+frequent than outside of it are typical of it.  The evidence for a class is
+whether a document has none, one or more of them.  It gives every document
+posteriors over the domains.
 
 Document rates r >= 0 are fitted by projected gradient descent to
 
@@ -44,6 +44,7 @@ DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.98, "low": 0.02, "toxic": 0.0}
 MAX_LABELLED, MAX_FEATURES = 20_000, 256
 LEAST_SHARE, LEAST_DOCS, LIFT = 0.015, 3, 30.0
+STRAY = (0.98, 0.0196, 0.0004)  # shares of documents with 0, 1, more features of a class that is not theirs
 STEP, RIDGE, STEPS = 0.6, 0.01, 40
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SYMBOLS = "#*$%&|<>"
@@ -66,23 +67,16 @@ def _features(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 class Classifier:
-    """Prior log weights; log weights of the domains (clean: 0) for each feature, and for having none of a class's features."""
+    """Prior log weights and, for a class's typical features, log weights of the domains by how many a document has (0, 1, more)."""
 
-    def __init__(self, prior: list[float], weights: dict[str, list[float]], none: list[tuple[list[str], list[float]]] = ()):
-        self.prior, self.weights, self.none = prior, weights, none
+    def __init__(self, prior: list[float], evidence: list[tuple[list[str], list[list[float]]]]):
+        self.prior, self.evidence = prior, evidence
 
     def posteriors(self, words: Column) -> list[Column]:
-        prior = F.array(*map(F.lit, self.prior))
-        if self.weights:
-            names = sorted(self.weights)
-            known = F.array(*map(F.lit, names))
-            table = F.map_from_arrays(known, F.array(*(F.array(*map(F.lit, self.weights[x])) for x in names)))
-            logs = F.aggregate(F.array_intersect(words, known), prior, lambda a, f: F.zip_with(a, F.element_at(table, f), lambda x, y: x + y))
-        else:
-            logs = prior
-        for names, weight in self.none:
-            empty = F.size(_having(words, names)) == 0
-            logs = F.when(empty, F.zip_with(logs, F.array(*map(F.lit, weight)), lambda x, y: x + y)).otherwise(logs)
+        logs = F.array(*map(F.lit, self.prior))
+        for names, table in self.evidence:
+            weights = F.get(F.array(*(F.array(*map(F.lit, w)) for w in table)), F.least(F.size(_having(words, names)), F.lit(2)))
+            logs = F.zip_with(logs, weights, lambda x, y: x + y)
         top = F.array_max(logs)
         odds = F.transform(logs, lambda x: F.exp(x - top))
         total = F.aggregate(odds, F.lit(0.0), lambda a, x: a + x)
@@ -106,25 +100,26 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     prior = [math.log((n + 0.5) / (total + 0.5 * len(DOMAINS))) for n in size] if total else [0.0, -30.0, -30.0]
     counts = rows.select("k", F.explode("words").alias("f")).groupBy("f").agg(*(F.sum(F.when(F.col("k") == k, 1).otherwise(0)).alias(f"n{k}") for k in range(len(DOMAINS))))
     counts = _scratch.write(counts.where(f"n0 + n1 + n2 >= {LEAST_DOCS}"), "features")
-    weights: dict[str, list[float]] = {}
-    chosen: list[list[str]] = []
+    evidence = []
     for k in range(1, len(DOMAINS)):
         mine, rest = F.col(f"n{k}"), F.col("n0") + F.col("n1") + F.col("n2") - F.col(f"n{k}")
         lift = (mine + 0.5) / (size[k] + 1) / ((rest + 0.5) / (total - size[k] + 1))
         best = counts.where((mine >= max(LEAST_DOCS, LEAST_SHARE * size[k])) & (lift >= LIFT)).orderBy(F.desc(mine * F.log(lift)), "f").limit(max_features)
-        chosen.append([])
-        for r in best.collect():
-            chosen[-1].append(r["f"])
-            p = [(r[f"n{j}"] + 0.5) / (size[j] + 1) for j in range(len(DOMAINS))]
-            weights[r["f"]] = [math.log(x / p[0]) for x in p]
-    none = []
-    for names in filter(None, chosen):
-        empty = {r["k"]: r["count"] for r in rows.where(F.size(_having(F.col("words"), names)) == 0).groupBy("k").count().collect()}
-        p = [(empty.get(j, 0) + 0.5) / (size[j] + 1) for j in range(len(DOMAINS))]
-        none.append((names, [math.log(x / p[0]) for x in p]))
+        names = [r["f"] for r in best.select("f").collect()]
+        if not names:
+            continue
+        hits = F.least(F.size(_having(F.col("words"), names)), F.lit(2)).alias("hits")
+        seen = {(r["k"], r["hits"]): r["count"] for r in rows.groupBy("k", hits).count().collect()}
+        table = []
+        for h in range(3):
+            # The features were chosen on the same sample for being rare in the other classes, which are
+            # therefore held to have them a little more often than was seen.
+            p = [(seen.get((j, h), 0) + 0.5) / (size[j] + 1.5) if j == k else (seen.get((j, h), 0) / max(1, size[j]) + STRAY[h]) / 2 for j in range(len(DOMAINS))]
+            table.append([math.log(x / p[0]) for x in p])
+        evidence.append((names, table))
     _scratch.drop(rows)
     _scratch.drop(counts)
-    return Classifier(prior, weights, none)
+    return Classifier(prior, evidence)
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *keep: str) -> DataFrame:
@@ -176,7 +171,7 @@ def rates(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return scored.withColumn("rate", _rate(fit_rates(scored, targets)))
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, float] = TARGETS, least: float = 0.5) -> DataFrame:
+def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, float] = TARGETS, least: float = 0.4) -> DataFrame:
     """The rows of docs, all columns, whose rate is `least` at least."""
     since = _scratch.mark()
     scored = _scratch.write(posteriors(docs, labels, id_col, text_col), "scored")
