@@ -271,6 +271,7 @@ def _propose(members: DataFrame, id_kind: str, percent: int, later: bool) -> Dat
     def run(batches):
         for g, bounds in groups(batches):
             ids, h = g.column("id").to_numpy(), g.column("h").to_numpy()
+            rank = np.unique(ids, return_inverse=True)[1]  # ids may be of any ordered type
             sizes, comps = g.column("n").to_numpy(), g.column("comp").to_numpy()
             maps = g.column("map").to_pylist()
             got = [x for x in block_pairs(sizes, maps, comps, bounds, percent) if len(x[0])]
@@ -283,9 +284,11 @@ def _propose(members: DataFrame, id_kind: str, percent: int, later: bool) -> Dat
                 i, j, apart = i[fresh], j[fresh], apart[fresh]
                 chosen = nearest(i, j, apart, TRIES)
             else:
-                chosen = forest(ids, bounds, i, j, apart)
+                chosen = forest(rank, bounds, i, j, apart)
             i, j = i[chosen], j[chosen]
-            yield pa.RecordBatch.from_arrays([pa.array(h[i]), pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], ["h", "a", "b"])
+            first = rank[i] < rank[j]
+            kind = g.schema.field("id").type
+            yield pa.RecordBatch.from_arrays([pa.array(h[i]), pa.array(ids[np.where(first, i, j)], kind), pa.array(ids[np.where(first, j, i)], kind)], ["h", "a", "b"])
 
     return members.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "id").mapInArrow(run, f"h long, a {id_kind}, b {id_kind}")
 
@@ -300,11 +303,11 @@ def nearest(i: np.ndarray, j: np.ndarray, apart: np.ndarray, tries: int) -> np.n
     return chosen
 
 
-def forest(ids: np.ndarray, bounds: np.ndarray, i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> np.ndarray:
-    """Indices of pairs that make a spanning forest of each block, nearest pairs first; ties by id."""
-    root = list(range(len(ids)))
+def forest(rank: np.ndarray, bounds: np.ndarray, i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Indices of pairs that make a spanning forest of each block, nearest pairs first; ties by the ids' rank."""
+    root = list(range(len(rank)))
     picked = []
-    for k in np.lexsort((ids[j], ids[i], apart)).tolist():
+    for k in np.lexsort((rank[j], rank[i], apart)).tolist():
         a, b = int(i[k]), int(j[k])
         while root[a] != a:
             root[a] = a = root[root[a]]
@@ -376,7 +379,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     every = _scratch.write(_sketches(docs, id_kind, k, percent, _long_lists(docs, k, long)), "sketches")
     # One member for each set; its id is the smallest of its copies.
-    member = _scratch.write(every.where("n > 0").groupBy("name").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("lists").alias("lists"), F.first("map").alias("map")), "members")
+    member = _scratch.write(every.where("n > 0 and id is not null").groupBy("name").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("lists").alias("lists"), F.first("map").alias("map")), "members")
     posting = member.select(F.explode("lists").alias("h"), "id")
     size = posting.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
     shared = _scratch.write(posting.join(size, "h").distinct(), "postings")
@@ -428,7 +431,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
         label = F.coalesce("comp", "node", "id")
     else:
         label = F.coalesce("node", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), label.alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), label).alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

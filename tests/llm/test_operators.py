@@ -531,3 +531,22 @@ def test_document_that_repeats_itself(spark):
     rows = [(1, "\n".join([line] * 200)), (2, "\n".join([line, other] * 100)), (3, "\n".join([other, line] * 3))]
     out = {r["doc_id"]: r["text"] for r in line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out == {1: line, 2: other, 3: ""}
+
+
+def test_null_ids_and_text_ids(spark):
+    rows = [(None, BASE), (None, BASE), (4, BASE), (5, BASE.replace("Word7 ", "other ")), (6, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(None, " ".join(f"word{i}" for i in range(20))), (1, None)], "item_id long, text string")
+    assert decontaminate.report(df, bench).where("contaminated").count() == 4
+    assert decontaminate.matches(df, bench).count() == 4
+    assert quality.score(df).where("kept").count() == 4 and secrets.scan(df).count() == 6
+    assert token_store.round_trip(df, queries.tokenizer("word_bpe_49k.json")).count() == 6
+    assert ngram_lm.score(df).count() == 6 and token_count.count(df, queries.tokenizer("piece_bpe_32k.model")).count() == 6
+    got = sorted(((r["doc_id"], r["component_id"]) for r in ngram_join.join(df).collect()), key=str)
+    assert got == [(4, 4), (5, 4), (6, 6), (None, None), (None, None), (None, None)]
+    assert ngram_join.deduplicate(df).count() == 5 and line_dedup.deduplicate(df).count() == 6
+    labels = spark.createDataFrame([(4, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    assert mixing.rates(df, labels).count() == 6 and mixing.sample(df, labels).count() == 6
+    named = df.where("doc_id is not null").withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id")))
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.join(named).collect()} == {"d4": "d4", "d5": "d4", "d6": "d6"}
+    assert token_store.round_trip(named, queries.tokenizer("word_bpe_49k.json")).count() == 3
