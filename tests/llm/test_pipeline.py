@@ -1,0 +1,174 @@
+"""The pipeline on the smallest tables against plain Python, stage by stage."""
+
+import collections
+import math
+import re
+import zlib
+
+import pytest
+
+import corpus_pipeline
+from keystrand.llm import mixing, quality, queries
+
+DIR = "/root/testdata/sf0.001"
+SPACE = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = {i: i + 32 for i in range(65, 91)}
+
+
+def quality_kept(x):
+    w = SPACE.findall(x)
+    grams = collections.Counter(zip(w, w[1:], w[2:]))
+    covered = {i + k for i in range(len(w) - 2) for k in range(3) if grams[tuple(w[i : i + 3])] > 1}
+    if len(w) < 50 or 100 * len(covered) > 50 * len(w):
+        return False
+    at = lost = 0
+    for line in x.split("\n"):
+        v = SPACE.findall(line)
+        n, up, small = len(v), len(re.findall("[A-Z]", line)), len(re.findall("[a-z]", line))
+        bad = n and (
+            10 * len(re.findall(r"[#*$%&|<>]", line)) > n
+            or (up + small >= 10 and 2 * up > up + small)
+            or (n <= quality.SHORT_LINE and v[-1][-1] < "\x80" and v[-1][-1] not in quality.TERMINAL)
+            or (n >= 10 and 2 * sum(i in covered for i in range(at, at + n)) > n)
+            or any(p.decode() in line.translate(LOWER) for p in quality.BOILERPLATE)
+        )
+        lost += n if bad else 0
+        at += n
+    return lost <= quality.MAX_LOST * len(w)
+
+
+def one_of_each(rows, k=5, percent=80):
+    sets = []
+    for i, x in rows:
+        w = SPACE.findall(x.translate(LOWER))
+        sets.append((i, {tuple(w[a : a + k]) for a in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())))
+    label = {i: i for i, _ in sets}
+
+    def find(a):
+        while label[a] != a:
+            a = label[a]
+        return a
+
+    for a, (i, s) in enumerate(sets):
+        for j, t in sets[:a]:
+            if s and t and 100 * len(s & t) >= percent * len(s | t):
+                x, y = sorted((find(i), find(j)))
+                label[y] = x
+    return [(i, x) for i, x in rows if find(i) == i]
+
+
+def clean_of(rows, items):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    windows = collections.defaultdict(set)
+    for x in items:
+        b = word.findall(x.translate(LOWER))
+        n = min(10, len(b))
+        if n:
+            windows[n] |= {tuple(b[i : i + n]) for i in range(len(b) - n + 1)}
+    out = []
+    for i, x in rows:
+        w = word.findall(x.translate(LOWER))
+        if not any(tuple(w[a : a + n]) in s for n, s in windows.items() for a in range(len(w) - n + 1)):
+            out.append((i, x))
+    return out
+
+
+def features(x):
+    every = [w for w in re.split(r"[\W\d_]+", x.lower()) if w]
+    n, words = len(every), set(every)
+    cap, sym = len(re.findall("[A-Z]", x)), len(re.findall(r"[#*$%&|<>]", x))
+    return n, words | {m for m, on in (("#symbols", 5 * sym > n), ("#capitals", 4 * cap > len(x)), ("#repeats", n >= 20 and 4 * len(words) < n)) if on}
+
+
+def mixed(rows, labels):
+    """The same model and descent in plain floating point."""
+    known = {}
+    for i, q, t in labels:
+        known[i] = max(known.get(i, 0), 2 if t == 1 else 1 if q == 0 else 0)
+    have = {i: features(x) for i, x in rows}
+    size = [sum(known.get(i) == k for i in have) for k in range(3)]
+    total = sum(size)
+    prior = [math.log((n + 0.5) / (total + 1.5)) for n in size]
+    counts = collections.defaultdict(lambda: [0, 0, 0])
+    for i, (_, f) in have.items():
+        if i in known:
+            for w in f:
+                counts[w][known[i]] += 1
+    evidence = []
+    for k in (1, 2):
+        scored = []
+        for w, c in counts.items():
+            lift = (c[k] + 0.5) / (size[k] + 1) / ((sum(c) - c[k] + 0.5) / (total - size[k] + 1))
+            if sum(c) >= mixing.LEAST_DOCS and c[k] >= max(mixing.LEAST_DOCS, mixing.LEAST_SHARE * size[k]) and lift >= mixing.LIFT:
+                scored.append((-c[k] * math.log(lift), w.encode()))
+        names = {w.decode() for _, w in sorted(scored)[: mixing.MAX_FEATURES]}
+        if names:
+            seen = collections.Counter((known[i], min(2, len(f & names))) for i, (_, f) in have.items() if i in known)
+            table = []
+            for h in range(3):
+                p = [(seen[j, h] + 0.5) / (size[j] + 1.5) if j == k else (seen[j, h] / max(1, size[j]) + mixing.STRAY[h]) / 2 for j in range(3)]
+                table.append([math.log(v / p[0]) for v in p])
+            evidence.append((names, table))
+    post = {}
+    for i, (n, f) in have.items():
+        logs = list(prior)
+        for names, table in evidence:
+            logs = [a + b for a, b in zip(logs, table[min(2, len(f & names))])]
+        odds = [math.exp(v - max(logs)) for v in logs]
+        post[i] = n, [round(v / sum(odds), 6) for v in odds]
+    rate = dict.fromkeys(post, 1.0)
+    mass = [sum(n * p[k] for n, p in post.values()) for k in range(3)]
+    goal = [mass[0] / 0.98 * s for s in (0.98, 0.02, 0.0)]
+    for _ in range(mixing.STEPS):
+        now = [sum(n * rate[i] * p[k] for i, (n, p) in post.items()) for k in range(3)]
+        slope = [(a - b) / m if m > 0 else 0.0 for a, b, m in zip(now, goal, mass)]
+        if max(map(abs, slope)) < 1e-4:
+            break
+        rate = {i: max(0.0, r - mixing.STEP * (sum(e * v for e, v in zip(slope, post[i][1])) + mixing.RIDGE * (r - 1))) for i, r in rate.items()}
+    return [(i, x) for i, x in rows if rate[i] >= 0.4]
+
+
+def test_pipeline(spark):
+    from tokenizers import Tokenizer
+
+    read = lambda t, *c: [tuple(r) for r in queries.table(spark, DIR, t).select(*c).collect()]
+    rows = sorted(read("documents", "doc_id", "text"))
+    want = [[(i, x) for i, x in rows if quality_kept(x)]]
+    want.append(one_of_each(want[-1]))
+    want.append(clean_of(want[-1], [x for (x,) in read("benchmark", "text")]))
+    want.append(mixed(want[-1], read("labels", "doc_id", "quality", "toxic")))
+    docs = queries.table(spark, DIR, "documents")
+    columns = docs.columns
+    for (name, stage), expected in zip(corpus_pipeline.STAGES[:-1], want):
+        docs = stage(spark, docs, DIR)
+        assert docs.columns == columns
+        assert sorted((r["doc_id"], r["text"]) for r in docs.collect()) == expected, name
+    tokenizer, at, last = Tokenizer.from_file(queries.tokenizer("word_bpe_49k.json")), 0, []
+    for i, x in want[-1]:
+        ids = [*tokenizer.encode(x, add_special_tokens=False).ids, 1]
+        last.append((i, at, len(ids), zlib.crc32(b"".join(v.to_bytes(4, "little") for v in ids))))
+        at += len(ids)
+    assert sorted(tuple(r) for r in corpus_pipeline.run(spark, DIR).select("doc_id", "start", "n_tokens", "ids_crc32").collect()) == last
+
+
+def test_stages_take_empty_tables(spark):
+    docs = queries.table(spark, DIR, "documents").where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, DIR)
+        assert out.count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql(spark, name):
+    import glob
+    import os
+
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for f in glob.glob(f"{DIR}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    got = con.execute(queries.ORACLE_SQL[name])
+    names = [c[0] for c in got.description]
+    df = queries.QUERIES[name](spark, DIR)
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(tuple(r) for r in df.select(*names).collect()) == sorted(got.fetchall())
