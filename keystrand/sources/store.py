@@ -20,6 +20,7 @@ import json
 import time
 import uuid
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,14 @@ from keystrand.operators.resolve import drop_cleared
 FORMAT = 1
 
 
+@dataclass(frozen=True)
+class Filter:
+    """A compaction filter: verdict(key, value) is keep, remove or replace; replacement(key, value) the new value."""
+
+    verdict: Callable[[Column, Column], Column]
+    replacement: Callable[[Column, Column], Column] | None = None
+
+
 class Files:
     """The few file operations that commits need, through Hadoop's file systems."""
 
@@ -85,10 +94,12 @@ class Files:
 class Database:
     """A handle to a database; opening one that exists recovers its state from the manifest."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, temporary: bool = False, filters: Callable[[str], Filter | None] | None = None):
+        """temporary: close() deletes all files. filters: names a compaction filter for a keyspace's name, or None."""
         self.spark, self.files = spark, Files(spark, root)
         self.root = self.files.root
         self.poisoned = False
+        self.temporary, self.filters = temporary, filters
         if not self.files.create("format.json", json.dumps({"format": FORMAT})):
             found = json.loads(self.files.read("format.json")).get("format")
             if found != FORMAT:
@@ -96,6 +107,16 @@ class Database:
         self._commits: list[dict] = []
         self.refresh()
 
+    def close(self) -> None:
+        if self.temporary:
+            self.files.delete("")
+
+    def __enter__(self) -> Database:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
     # State: the fold of all commits ------------------------------------------------
 
     def refresh(self) -> None:
@@ -167,8 +188,18 @@ class Database:
         return self.files.size("data")
 
     def journal_count(self) -> int:
+        """Commits, each a file of the manifest."""
         return len(self._commits)
 
+    def stats(self) -> DataFrame:
+        """keyspace, id, commits, files and bytes on disk, and the time and number of compactions, one row for each keyspace."""
+        rows = []
+        for k in self._catalogue().values():
+            files = self._live_files(k["id"])
+            packed = [c["took"] for c in self._commits for f in c.get("compacted", []) if f["keyspace"] == k["id"]]
+            rows.append((k["name"], k["id"], sum(any(f["keyspace"] == k["id"] for f in c.get("files", [])) for c in self._commits), len(files), sum(self.files.size(f["path"]) for f in files), len(packed), float(sum(packed))))
+        return self.spark.createDataFrame(rows, "keyspace string, id long, commits long, files long, bytes long, compactions long, compaction_seconds double")
+
     # Snapshots and leases -----------------------------------------------------------------
 
     def snapshot(self, seconds: float = 3600.0) -> Snapshot:
@@ -276,6 +307,22 @@ class Keyspace:
     def is_empty(self, at: Snapshot | None = None) -> bool:
         return read.scan(self.log(_instant(at)), columns=()).isEmpty()
 
+    def move_to(self, other: Keyspace, keys: list, at: Snapshot | None = None) -> int | None:
+        """Moves items to another keyspace in one commit; absent keys are left out."""
+        batch = self.db.batch()
+        for key in keys:
+            value = self.get(key, at)
+            if value is not None:
+                batch.remove(self, key).insert(other, key, value)
+        return batch.commit()
+
+    def is_kv_separated(self) -> bool:
+        return bool(self.entry["options"].get("kv_separation"))
+
+    def options(self) -> dict:
+        """The options given at creation; they never change."""
+        return dict(self.entry["options"])
+
     def disk_space(self) -> int:
         return sum(self.db.files.size(f["path"]) for f in self.db._live_files(self.id))
 
@@ -327,9 +374,13 @@ class Keyspace:
     def major_compact(self, verdict: Callable[[Column, Column], Column] | None = None, replacement: Callable[[Column, Column], Column] | None = None) -> None:
         """Rewrites the keyspace without versions that no lease can see, through an optional filter.
 
-        The filter judges (key, value) of live items below the watermark: keep, remove or replace.
+        The filter judges (key, value) of live items below the watermark: keep, remove or replace; without
+        one the database's own for this keyspace applies.
         """
         self.check()
+        began = time.time()
+        if verdict is None and self.db.filters is not None and (named := self.db.filters(self.name)) is not None:
+            verdict, replacement = named.verdict, named.replacement
         mark = self.db.watermark()
         old = self.db._live_files(self.id)
         rows = maintain.compact(self.log(), mark)
@@ -342,7 +393,7 @@ class Keyspace:
         rows.repartitionByRange("key", "seqno").sortWithinPartitions("key", F.desc("seqno")).write.parquet(f"{self.db.root}/{path}")
         # The rewritten file holds old seqnos: it takes the place of the first file, so that snapshots open it.
         first = min((f["seqno"] for f in old), default=0)
-        self.db._commit(self.db.seqno, files=[], replaced=[f["path"] for f in old], compacted=[{"keyspace": self.id, "path": path, "seqno": first}])
+        self.db._commit(self.db.seqno, files=[], replaced=[f["path"] for f in old], compacted=[{"keyspace": self.id, "path": path, "seqno": first}], took=time.time() - began)
 
 
 class Snapshot:
@@ -356,6 +407,10 @@ class Snapshot:
     def seqno(self) -> int:
         return self.instant
 
+    def clone(self, seconds: float = 3600.0) -> Snapshot:
+        """Another lease of the same instant."""
+        return Snapshot(self.db, self.instant, seconds)
+
     def close(self) -> None:
         self.db.files.delete(self.lease)
 

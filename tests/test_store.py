@@ -215,3 +215,24 @@ def test_feed_state_equals_batch(db, spark, tmp_path):
     t.remove("b")
     got = feed.maintain_state(feed.changes(spark, t, 2), "current", f"file://{tmp_path}/cp")
     assert {r["key"]: r["value"] for r in got.collect()} == {"a": "3"}
+
+
+def test_filters_by_keyspace_stats_and_temporary(spark, tmp_path):
+    from keystrand.sources.store import Filter
+
+    keep_a = Filter(lambda k, v: F.when(~k.startswith("a"), "remove"))
+    with Database(spark, f"file://{tmp_path}/tmp", temporary=True, filters=lambda name: keep_a if name == "my_items" else None) as db:
+        mine, other = text(db, "my_items"), db.keyspace("my_items_imposter", key="string", value="string", kv_separation=True)
+        assert other.is_kv_separated() and other.options() == {"kv_separation": True} and not mine.is_kv_separated()
+        for t in (mine, other):
+            db.batch().insert(t, "a", "1").insert(t, "abc", "2").insert(t, "b", "3").commit()
+            t.major_compact()
+        assert set(dict(rows_of(mine.iter()))) == {"a", "abc"} and set(dict(rows_of(other.iter()))) == {"a", "abc", "b"}
+        mine.move_to(other, ["abc", "zzz"])
+        assert dict(rows_of(mine.iter())) == {"a": "1"} and other.get("abc") == "2"
+        stats = {r["keyspace"]: r for r in db.stats().collect()}
+        assert stats["my_items"]["compactions"] == 1 and stats["my_items"]["bytes"] > 0 and stats["my_items"]["commits"] == 2
+        with db.snapshot() as s, s.clone() as c:
+            assert c.instant == s.instant and len(db.files.list("leases")) == 2
+        assert db.files.list("leases") == []
+    assert not os.path.exists(tmp_path / "tmp" / "manifest")
