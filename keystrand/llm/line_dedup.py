@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from . import _scratch
 
 GRAM_WORDS, WINDOW_WORDS = 25, 25
+MOST_BROADCAST = 32 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -83,8 +84,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Columns of docs with these names are replaced.
     """
+    since = _scratch.mark()
     gone = repeated_lines(docs, id_col, text_col, gram, window).groupBy("id", "th").agg(F.collect_list("pos").alias("_gone"), F.count("*").alias("_n"), F.sum("w").alias("_w"))
     gone = _scratch.write(gone, "repeated")
+    _scratch.release(since, gone)
+    # The table of lines to delete is small beside the texts: up to MOST_BROADCAST bytes of it are sent to
+    # them, so that no text is shuffled; a larger one meets them in a shuffle join.
+    if (gone.agg(F.sum(48 + 4 * F.col("_n"))).first()[0] or 0) <= MOST_BROADCAST:
+        gone = F.broadcast(gone)
     kept = docs.drop("n_lines_removed", "n_words_removed")
     joined = kept.alias("k").join(gone.alias("r"), F.col(f"k.{id_col}").eqNullSafe(F.col("r.id")) & (F.xxhash64(F.col(f"k.{text_col}")) == F.col("r.th")), "left")
     parts = F.split(F.col(f"k.{text_col}"), "\n", -1)
