@@ -4,6 +4,7 @@ Layout under the root, on any file system that Spark reaches:
 
   format.json                     format version
   manifest/00000000000000000042   one file for each commit, created once and never changed
+  checkpoints/                    all commits up to a number in one file
   data/<keyspace id>/<commit>/    Parquet files of a commit, sorted by key
   leases/<name>                   instants that open snapshots hold
   lock                            held by a single writer
@@ -31,6 +32,9 @@ from keystrand.operators import maintain, read
 from keystrand.operators.resolve import drop_cleared
 
 FORMAT = 1
+CHECKPOINT = 50
+#: Row groups are skipped by the keys' order and, for point reads, by bloom filters.
+WRITE = {"compression": "zstd", "parquet.bloom.filter.enabled#key": "true"}
 
 
 @dataclass(frozen=True)
@@ -120,7 +124,12 @@ class Database:
     # State: the fold of all commits ------------------------------------------------
 
     def refresh(self) -> None:
-        """Reads commits made since; a half-written draft is not among them."""
+        """Reads commits made since; a half-written draft is not among them.
+
+        Every CHECKPOINT commits a file with all commits so far is written, so that opening reads few files.
+        """
+        if not self._commits and (made := self.files.list("checkpoints")):
+            self._commits = json.loads(self.files.read(f"checkpoints/{made[-1]}"))
         for name in self.files.list("manifest")[len(self._commits) :]:
             self._commits.append(json.loads(self.files.read(f"manifest/{name}")))
 
@@ -158,6 +167,8 @@ class Database:
         if not made:
             raise errors.Conflict("another writer made this commit first")
         self.refresh()
+        if len(self._commits) % CHECKPOINT == 0:
+            self.files.create(f"checkpoints/{len(self._commits):020d}", json.dumps(self._commits))
         return seqno
 
     # Keyspaces ------------------------------------------------------------------------
@@ -346,7 +357,7 @@ class Keyspace:
         seqno = self.db.seqno
         rows = items.select("key", F.lit(seqno).cast("long").alias("seqno"), F.lit(0).alias("batch_ord"), F.lit(kind).alias("kind"), "value")
         path = f"data/{self.id}/{uuid.uuid4().hex}"
-        rows.repartitionByRange("key").sortWithinPartitions("key").write.parquet(f"{self.db.root}/{path}")
+        rows.repartitionByRange("key").sortWithinPartitions("key").write.options(**WRITE).parquet(f"{self.db.root}/{path}")
         if not self.db.spark.read.parquet(f"{self.db.root}/{path}").groupBy("key").count().where("count > 1").isEmpty():
             raise ValueError("an ingestion holds each key once")
         self.db._commit(seqno, files=[{"keyspace": self.id, "path": path}])
@@ -390,7 +401,7 @@ class Keyspace:
             rows = maintain.apply_filter(rows, judged, replacement(F.col("key"), F.col("value")) if replacement else None)
         rows = rows.select("key", "seqno", F.lit(0).alias("batch_ord"), "kind", "value")
         path = f"data/{self.id}/{uuid.uuid4().hex}"
-        rows.repartitionByRange("key", "seqno").sortWithinPartitions("key", F.desc("seqno")).write.parquet(f"{self.db.root}/{path}")
+        rows.repartitionByRange("key", "seqno").sortWithinPartitions("key", F.desc("seqno")).write.options(**WRITE).parquet(f"{self.db.root}/{path}")
         # The rewritten file holds old seqnos: it takes the place of the first file, so that snapshots open it.
         first = min((f["seqno"] for f in old), default=0)
         self.db._commit(self.db.seqno, files=[], replaced=[f["path"] for f in old], compacted=[{"keyspace": self.id, "path": path, "seqno": first}], took=time.time() - began)
@@ -471,7 +482,7 @@ class WriteBatch:
                     df = df.unionByName(items.select("key", F.lit(seqno).cast("long").alias("seqno"), F.lit(len(self.rows)).alias("batch_ord"), F.lit(VALUE).alias("kind"), "value"))
             df = df if any(f[0].id == id_ for f in self.frames) else df.coalesce(1)
             path = f"data/{id_}/{uuid.uuid4().hex}"
-            df.sortWithinPartitions("key").write.parquet(f"{self.db.root}/{path}")
+            df.sortWithinPartitions("key").write.options(**WRITE).parquet(f"{self.db.root}/{path}")
             files.append({"keyspace": id_, "path": path})
         return self.db._commit(seqno, files=files, **({} if touched is None else {"touched": touched}))
 

@@ -236,3 +236,15 @@ def test_filters_by_keyspace_stats_and_temporary(spark, tmp_path):
             assert c.instant == s.instant and len(db.files.list("leases")) == 2
         assert db.files.list("leases") == []
     assert not os.path.exists(tmp_path / "tmp" / "manifest")
+
+
+def test_checkpoints_of_the_manifest(db, spark, monkeypatch):
+    from keystrand.sources import store
+
+    monkeypatch.setattr(store, "CHECKPOINT", 3)
+    t = text(db)
+    for n in range(6):
+        t.insert("k", str(n))
+    assert len(db.files.list("checkpoints")) == 2
+    again = Database(spark, db.root)
+    assert again._commits == db._commits and again.seqno == db.seqno and text(again).get("k") == "5"
