@@ -174,8 +174,9 @@ class Scanner:
             if query:
                 rows = self.candidates(query, postings, t.n)
             elif kind == "hex":
-                # Long runs of hexadecimal digits, on bytes: a full scan.
-                rows = np.unique(np.searchsorted(t.off, [m.start() for m in _HEX.finditer(raw)], "right") - 1)
+                # Long runs of hexadecimal digits, on bytes: a full scan. A run may go over the end of a text.
+                ends = np.searchsorted(t.off, [x for m in _HEX.finditer(raw) for x in (m.start(), m.end() - 1)], "right") - 1
+                rows = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in ends.reshape(-1, 2)] or [ends]))
             else:
                 rows = np.arange(t.n)
             for d in map(int, rows):

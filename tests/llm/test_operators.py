@@ -236,27 +236,39 @@ def test_language_model(docs, empty):
         got.setdefault(r["doc_id"], []).append(r)
     held, toks, c, n, base = plain_lm(each(docs), 0, 0)
     assert sum(map(len, got.values())) == len(toks)
-    pairs, starts = collections.Counter(), 0
+    pairs, triples, starts = collections.Counter(), collections.Counter(), 0
     for i, t in toks:
         if not held[i]:
             starts += 1
             pairs.update(zip([None, *t], t))
-    arcs = {k: x for k, x in pairs.items() if x > 1}
-    context = {**c, None: starts}
-    mass, below = collections.Counter(), collections.Counter()
-    for (h, w), x in arcs.items():
-        mass[h] += (x - ngram_lm.DISCOUNT) / context[h]
-        below[h] += 10 ** base(w)
+    pairs = {k: x for k, x in pairs.items() if x > 1}
+    for i, t in toks:
+        if not held[i]:
+            triples.update(x for x in zip([None, *t], t, t[1:]) if x[:2] in pairs)
+    triples = {k: x for k, x in triples.items() if x > 1}
+    context = {**{(w,): x for w, x in c.items()}, (None,): starts, **pairs}
+    arcs = {k: math.log10((x - ngram_lm.DISCOUNT) / context[k[:-1]]) for k, x in (pairs | triples).items()}
+
+    def weight(h, w):
+        """By the recursion that the failure arcs unroll."""
+        if (*h, w) in arcs:
+            return arcs[*h, w]
+        return backoff(h) + weight(h[1:], w) if h else base(w)
+
+    def backoff(h):
+        mine = [k for k in arcs if k[:-1] == h]
+        if not mine:
+            return 0.0
+        return math.log10((1 - sum(10 ** arcs[k] for k in mine)) / (1 - sum(10 ** weight(h[1:], k[-1]) for k in mine)))
+
+    cache = {}
+    plain_backoff = backoff
+    backoff = lambda h: cache[h] if h in cache else cache.setdefault(h, plain_backoff(h))
     for i, t in toks:
         r = got[i][0]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(t), sum(c[w] > 0 for w in t), n)
         assert r["base_score"] == pytest.approx(sum(map(base, t)), rel=1e-9)
-        want = 0.0
-        for h, w in zip([None, *t], t):
-            if (h, w) in arcs:
-                want += math.log10((arcs[h, w] - ngram_lm.DISCOUNT) / context[h])
-            else:
-                want += base(w) + (math.log10((1 - mass[h]) / (1 - below[h])) if mass[h] else 0)
+        want = sum(weight((a, b) if (a, b) in pairs else (b,), w) for a, b, w in zip([0, None, *t], [None, *t], t))
         assert r["score"] == pytest.approx(want, rel=1e-6)
     assert ngram_lm.score(empty).count() == 0
 
@@ -275,15 +287,21 @@ def test_language_model_with_a_small_head(docs):
 def test_contexts_add_up_to_one(docs):
     import numpy as np
 
-    a, counts = ngram_lm.fit(docs.select("doc_id", "text"))
+    a, _ = ngram_lm.fit(docs.select("doc_id", "text"))
     rest = 0.5 / a.scale  # the share of unknown words
-    for context in [0, 3, a.n + 1]:
-        row = np.zeros(a.n, np.int64)
-        total = 0.0
-        for w in range(a.n):
-            step, _ = a.traverse(row[:1], np.array([w])) if context == a.n + 1 else a.traverse(row[:2], np.array([context, w]))
-            total += 10 ** step[-1]
-        assert total + rest * 10 ** a.failure[context] == pytest.approx(1.0, rel=1e-6)
+
+    def total(before):
+        words = np.array([[*before, w] for w in range(a.n)])
+        row = np.repeat(np.arange(a.n), words.shape[1])
+        return (10 ** a.traverse(row, words.ravel()).reshape(words.shape)[:, -1]).sum()
+
+    m = a.n + 2
+    assert total([]) + rest * 10 ** a.failure[a.n + 1] == pytest.approx(1.0, rel=1e-6)
+    assert total([a.n]) + rest == pytest.approx(1.0, rel=1e-6)
+    assert len(a.triple) > 5
+    for k in sorted(set((a.triple // m)[:: max(1, len(a.triple) // 7)].tolist())):
+        h, w = divmod(int(a.pair[k]), m)
+        assert total([w] if h == a.n + 1 else [h, w]) + rest * 10 ** (a.pair_failure[k] + a.failure[w]) == pytest.approx(1.0, rel=1e-6)
 
 
 # --- token counts ------------------------------------------------------------------------------
@@ -550,3 +568,19 @@ def test_null_ids_and_text_ids(spark):
     named = df.where("doc_id is not null").withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id")))
     assert {r["doc_id"]: r["component_id"] for r in ngram_join.join(named).collect()} == {"d4": "d4", "d5": "d4", "d6": "d6"}
     assert token_store.round_trip(named, queries.tokenizer("word_bpe_49k.json")).count() == 3
+
+
+def test_texts_do_not_run_into_each_other():
+    """Blocks hold texts end to end: nothing may be found across two of them, or missed because of the one before."""
+    import pyarrow as pa
+
+    from keystrand.llm import _words as W
+
+    texts = ["ends in abc", "d" * 24, "", "0" * 12, "1" * 12, "f" * 30, "of one two three four five six seven all rights ", "reserved " * 60, "pass", "word=abcdef", "AK", "IA0123456789ABCDEF"]
+    (_, t), = W.parts(pa.array(texts))
+    found = secrets.Scanner().scan(t)
+    assert [[x[2] for x in f] for f in found] == [["hex"] if x in ("d" * 24, "f" * 30) else [] for x in texts]
+    counts, seen = quality._judge(t, 0.5)
+    assert not seen["bad"][6] and counts[0].tolist() == [len(SPACE.findall(x)) for x in texts]
+    r, g = ngram_join.shingles(t, 3)
+    assert set(r.tolist()) == {i for i, x in enumerate(texts) if x}
