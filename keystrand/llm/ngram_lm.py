@@ -3,11 +3,12 @@
 Training counts cover every token of the training documents.  Unigrams of all
 words are counted exactly; the `head` most frequent words have ids, and pairs
 of them (and of the text start and end) are counted over all training text.
-The pairs at or above the least count that keeps the automaton within
-`max_arcs` become arcs.  The automaton's states are the contexts (a head word,
-the text start, or nothing); an arc carries log10 of the discounted pair
-probability, and a failure arc carries the context's backoff weight to the
-empty context, whose arcs are the smoothed unigrams.  One traversal from left
+The pairs at or above the least count that keeps them within `max_arcs` become
+arcs, and in the same way the triples that extend such a pair.  The automaton's
+states are the contexts (a pair that is an arc, a head word, the text start, or
+nothing); an arc carries log10 of the discounted probability, and a failure
+arc carries the context's backoff weight to the next shorter context, at last
+to the empty one, whose arcs are the smoothed unigrams.  One traversal from left
 to right carries the state and adds up weights.
 
 Only head words' weights and the arcs are broadcast, both of bounded size.  The
@@ -15,9 +16,9 @@ counts of all other words stay a distributed table: a document's other words
 are joined with it by hash and summed up per document.
 
 Probabilities: unigram p(w) = (c + 0.5) / (N + 0.5 (V + 1)), where one share
-stands for all unknown words; pair p(w | h) = (c(hw) - D) / c(h) for an arc,
-else backoff(h) p(w), with backoff(h) such that a context's probabilities add
-up to one.
+stands for all unknown words; p(w | h) = (c(hw) - D) / c(h) for an arc, else
+backoff(h) p(w | h without its first word), with backoff(h) such that a
+context's probabilities add up to one.
 
 Words are identified by 64-bit hashes.
 
@@ -86,55 +87,114 @@ def _counted(docs: DataFrame, keys) -> DataFrame:
     return docs.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+class Words:
+    """Ids of the head words: 0 .. n-1 by ascending hash (the end token is one of them), n for any other word, n + 1 for the text start as a context."""
+
+    def __init__(self, head: np.ndarray):
+        self.head, self.n = head, len(head)
+
+    def ids(self, h: np.ndarray) -> np.ndarray:
+        at, held = _find(self.head, h)
+        return np.where(held, at, self.n)
+
+    def pairs(self, row: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """context * (n + 2) + word of every step; the context is the word before."""
+        context = np.empty(len(word), np.int64)
+        context[1:] = word[:-1]
+        context[_starts(row)] = self.n + 1
+        return context * (self.n + 2) + word
+
+
+def _starts(row: np.ndarray) -> np.ndarray:
+    first = np.ones(len(row), bool)
+    first[1:] = row[1:] != row[:-1]
+    return first
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each wanted key in ascending keys, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
 class Automaton:
     """States with arcs and failure arcs, as arrays.
 
-    Word ids: 0 .. n-1 the head words by ascending hash (the end token is one of them); n: any other
-    word; context n + 1: the text start.  `arc` holds context * (n + 2) + word, ascending.
+    States are the empty context, contexts of one word (`pair` holds their arcs, context * (n + 2) + word,
+    ascending) and contexts of two words that are themselves an arc (`triple` holds theirs, number of
+    the arc * (n + 2) + word).  A failure arc leads to the state of the context's last word, or to the
+    empty context, and carries the backoff weight.
     """
 
-    def __init__(self, head: np.ndarray, count: np.ndarray, total: int, kinds: int, starts: int, arc: np.ndarray, arc_count: np.ndarray):
-        order = np.argsort(head)
-        self.head, self.count = head[order], count[order]
-        self.n = len(head)
-        self.total, self.kinds = total, kinds
+    def __init__(self, words: Words, count: np.ndarray, total: int, kinds: int, starts: int, pair: np.ndarray, pair_count: np.ndarray, triple: np.ndarray, triple_count: np.ndarray):
+        self.words, self.n, self.total = words, words.n, total
         self.scale = total + 0.5 * (kinds + 1)
-        self.unigram = np.log10((self.count + 0.5) / self.scale)
-        order = np.argsort(arc)
-        self.arc = arc[order]
-        context, word = self.arc // (self.n + 2), self.arc % (self.n + 2)
-        context_count = np.concatenate([self.count, [1, max(1, starts)]]).astype(float)
-        p = (arc_count[order] - DISCOUNT) / context_count[context]
-        self.weight = np.log10(p)
-        mass = np.bincount(context, weights=p, minlength=self.n + 2)
-        below = np.bincount(context, weights=10 ** self.unigram[word], minlength=self.n + 2) if len(word) else np.zeros(self.n + 2)
-        self.failure = np.log10(np.maximum(1e-12, 1 - mass) / np.maximum(1e-12, 1 - below))
-        self.failure[mass == 0] = 0.0
-
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        if not self.n:
-            return np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.head, h), self.n - 1)
-        return np.where(self.head[at] == h, at, self.n)
-
-    def traverse(self, row: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Weight of each step, and whether the word's unigram is still to be added.
-
-        The state before a word is the word before it (order two), so all steps are taken at once.
+        self.unigram = np.log10((count + 0.5) / self.scale)
+        m = self.n + 2
+        self.pair, pair_count = pair, pair_count.astype(float)
+        context, word = pair // m, pair % m
+        p = (pair_count - DISCOUNT) / np.concatenate([count, [1, max(1, starts)]])[context]
+        self.pair_weight = np.log10(p)
+        self.failure = self._backoff(context, p, 10 ** self.unigram[word], m)
+        self.triple = triple
+        context, word = triple // m, triple % m
+        p = (triple_count - DISCOUNT) / pair_count[context]
+        self.triple_weight = np.log10(p)
+        last = pair[context] % m
+        at, held = _find(pair, last * m + word)
+        lower = np.where(held, self.pair_weight[at] if len(pair) else 0.0, self.failure[last] + self.unigram[word])
+        self.pair_failure = self._backoff(context, p, 10**lower, len(pair))
+
+    @staticmethod
+    def _backoff(context: np.ndarray, p: np.ndarray, lower: np.ndarray, n: int) -> np.ndarray:
+        """log10 of what a context leaves over what its arcs' words have in the state below."""
+        mass, below = np.bincount(context, weights=p, minlength=n), np.bincount(context, weights=lower, minlength=n)
+        out = np.log10(np.maximum(1e-12, 1 - mass) / np.maximum(1e-12, 1 - below))
+        out[mass == 0] = 0.0
+        return out
+
+    def traverse(self, row: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """log10 weight of each step, all but the unigrams of words outside the head.
+
+        The state before a word is settled by the two words before it, so all steps of the walk from
+        left to right are taken at once.
         """
-        state = np.empty(len(word), np.int64)
-        state[1:] = word[:-1]
-        first = np.ones(len(word), bool)
-        first[1:] = row[1:] != row[:-1]
-        state[first] = self.n + 1
-        key = state * (self.n + 2) + word
-        at = np.minimum(np.searchsorted(self.arc, key), max(0, len(self.arc) - 1))
-        taken = (self.arc[at] == key) & (word < self.n) if len(self.arc) else np.zeros(len(word), bool)
-        step = np.where(taken, self.weight[at] if len(self.arc) else 0.0, self.failure[state])
-        open_ = ~taken
-        known = open_ & (word < self.n)
+        m = self.n + 2
+        pair = self.words.pairs(row, word)
+        at, two = _find(self.pair, pair)
+        two &= word < self.n
+        state = np.full(len(word), -1)  # the arc that the step before took, if it took one
+        state[1:] = np.where(two, at, -1)[:-1]
+        state[_starts(row)] = -1
+        deep = state >= 0
+        spot, three = _find(self.triple, state * m + word)
+        three &= deep & (word < self.n)
+        step = np.zeros(len(word))
+        step[three] = self.triple_weight[spot[three]]
+        step[deep & ~three] = self.pair_failure[state[deep & ~three]]
+        shallow = two & ~three
+        step[shallow] += self.pair_weight[at[shallow]]
+        rest = ~two & ~three
+        step[rest] += self.failure[pair[rest] // m]
+        known = rest & (word < self.n)
         step[known] += self.unigram[word[known]]
-        return step, open_ & (word >= self.n)
+        return step
+
+
+def _kept(counted: DataFrame, name: str, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (ascending) and counts of n-grams, from the least count, 2 at least, that leaves at most `most` of them."""
+    table = _scratch.write(counted.where("c > 1"), name)
+    least, held = 2, 0
+    for r in table.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).toLocalIterator():
+        if held + r["n"] > most:
+            least = r["c"] + 1
+            break
+        held += r["n"]
+    kept = table.where(F.col("c") >= least).orderBy("h").toPandas()
+    _scratch.drop(table)
+    return kept["h"].to_numpy(np.int64), kept["c"].to_numpy(np.int64)
 
 
 def fit(docs: DataFrame, head: int = HEAD, max_arcs: int = MAX_ARCS) -> tuple[Automaton, DataFrame]:
@@ -144,38 +204,32 @@ def fit(docs: DataFrame, head: int = HEAD, max_arcs: int = MAX_ARCS) -> tuple[Au
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     # The most frequent words; ties by hash. Bounded by `head`.
     top = counts.orderBy(F.desc("c"), "h").limit(head).toPandas()
-    words = top["h"].to_numpy(np.int64).view(np.uint64)
-    known = np.sort(words)
-    n = len(known)
-    sent = spark.sparkContext.broadcast(known)
+    hashes, count = top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
+    order = np.argsort(hashes)
+    words, count = Words(hashes[order]), count[order]
+    sent = spark.sparkContext.broadcast(words)
 
     def pairs(row, h):
-        k = sent.value
-        at = np.minimum(np.searchsorted(k, h), max(0, len(k) - 1))
-        word = np.where(k[at] == h, at, n) if len(k) else np.zeros(len(h), np.int64)
-        state = np.empty(len(word), np.int64)
-        state[1:] = word[:-1]
-        first = np.ones(len(word), bool)
-        first[1:] = row[1:] != row[:-1]
-        state[first] = n + 1
-        key = state * (n + 2) + word
-        return key[(state != n) & (word != n)]
-
-    arcs = _scratch.write(_counted(docs, pairs).where("c > 1"), "pairs")
-    # The least count that keeps the automaton within its bound, from the counts of counts.
-    least, size = 2, arcs.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).limit(max_arcs).collect()
-    held = 0
-    for r in size:
-        if held + r["n"] > max_arcs:
-            least = r["c"] + 1
-            break
-        held += r["n"]
-    kept = arcs.where(F.col("c") >= least).toPandas()
-    _scratch.drop(arcs)
-    end = known == END
-    count = top.set_index("h")["c"].reindex(known.view(np.int64)).to_numpy(np.int64)
+        w = sent.value
+        word = w.ids(h)
+        key = w.pairs(row, word)
+        return key[(key // (w.n + 2) != w.n) & (word != w.n)]
+
+    pair, pair_count = _kept(_counted(docs, pairs), "pairs", max_arcs)
+    arcs = spark.sparkContext.broadcast(pair)
+
+    def triples(row, h):
+        w = sent.value
+        word = w.ids(h)
+        at, held = _find(arcs.value, w.pairs(row, word))
+        state = np.where(held, at, -1)[:-1]
+        good = (state >= 0) & (row[1:] == row[:-1]) & (word[1:] != w.n)
+        return state[good] * (w.n + 2) + word[1:][good]
+
+    triple, triple_count = _kept(_counted(docs, triples), "triples", max_arcs)
+    end = words.head == END
     starts = int(count[end][0]) if end.any() else 0
-    return Automaton(known, count, int(total), int(kinds), starts, kept["h"].to_numpy(np.int64), kept["c"].to_numpy(np.int64)), counts
+    return Automaton(words, count, int(total), int(kinds), starts, pair, pair_count, triple, triple_count), counts
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, max_arcs: int = MAX_ARCS) -> DataFrame:
@@ -195,8 +249,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head:
         for b in batches:
             for lo, t in W.parts(b.column(1)):
                 row, h = _tokens(t)
-                word = a.ids(h)
-                step, missing = a.traverse(row, word)
+                word = a.words.ids(h)
+                step = a.traverse(row, word)
                 in_head = word < a.n
                 base = np.bincount(row[in_head], weights=a.unigram[word[in_head]], minlength=t.n)
                 total = np.bincount(row, weights=step, minlength=t.n)
@@ -217,7 +271,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head:
                     [pa.array(uids), ids, pa.array(held_out(ids.to_pylist())), pa.array(n_tokens), pa.array(np.bincount(row[in_head], minlength=t.n)), pa.array(base), pa.array(total), pa.array(np.split(k[cut].view(np.int64), np.searchsorted(r[cut], np.arange(1, t.n))), pa.list_(pa.int64())), pa.array(np.split(n.astype(np.int32), np.searchsorted(r[cut], np.arange(1, t.n))), pa.list_(pa.int32()))],
                     ["uid", id_col, "held_out", "n_tokens", "known", "base", "total", "hs", "ns"],
                 )
-                del missing
 
     passed = _scratch.write(docs.mapInArrow(run, f"uid long, `{id_col}` {kind}, held_out boolean, n_tokens long, known long, base double, total double, hs array<long>, ns array<int>"), "scored")
     other = passed.select("uid", F.explode(F.arrays_zip("hs", "ns")).alias("x")).select("uid", F.col("x.hs").alias("h"), F.col("x.ns").alias("n"))
