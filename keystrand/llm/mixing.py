@@ -46,24 +46,22 @@ MAX_LABELLED, MAX_FEATURES = 20_000, 256
 LEAST_SHARE, LEAST_DOCS, LIFT = 0.015, 3, 30.0
 STRAY = (0.98, 0.0196, 0.0004)  # shares of documents with 0, 1, more features of a class that is not theirs
 STEP, RIDGE, STEPS = 0.6, 0.01, 40
-CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-SYMBOLS = "#*$%&|<>"
-
-
-def _count_of(text: Column, characters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+CAPITALS, SYMBOLS = "[A-Z]", "[#*$%&|<>]"
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"  # words are runs of letters and of whatever is not ASCII
 
 
 def _features(docs: DataFrame, *keep: str) -> DataFrame:
     """docs(text) with n_tokens and `words`: distinct words in small letters, and marks."""
     text = F.coalesce("text", F.lit(""))
-    out = docs.select(*keep, F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "").alias("all"), _count_of(text, SYMBOLS).alias("sym"), _count_of(text, CAPITALS).alias("cap"), F.length(text).alias("len"))
-    out = out.select(*keep, F.size("all").cast("long").alias("n_tokens"), F.array_distinct("all").alias("words"), "sym", "cap", "len")
+    out = docs.select(*keep, F.split(F.lower(text), BETWEEN).alias("all"), F.regexp_count(text, F.lit(SYMBOLS)).alias("sym"), F.regexp_count(text, F.lit(CAPITALS)).alias("cap"), F.length(text).alias("len"))
+    # Splitting leaves an empty piece at an end that is no word.
+    empty = F.when(F.get("all", F.lit(0)) == "", 1).otherwise(0) + F.when((F.size("all") > 1) & (F.element_at("all", -1) == ""), 1).otherwise(0)
+    out = out.select(*keep, (F.size("all") - empty).cast("long").alias("n_tokens"), F.array_remove(F.array_distinct("all"), "").alias("words"), "sym", "cap", "len")
     n = F.col("n_tokens")
     marks = F.array(
         F.when(F.col("sym") * 5 > n, F.lit("#symbols")), F.when(F.col("cap") * 4 > F.col("len"), F.lit("#capitals")), F.when((n >= 20) & (F.size("words") * 4 < n), F.lit("#repeats"))
     )
-    return out.select(*keep, "n_tokens", F.concat("words", F.filter(marks, lambda x: x.isNotNull())).alias("words"))
+    return out.select(*keep, "n_tokens", F.concat("words", F.array_compact(marks)).alias("words"))
 
 
 class Classifier:
@@ -72,16 +70,24 @@ class Classifier:
     def __init__(self, prior: list[float], evidence: list[tuple[list[str], list[list[float]]]]):
         self.prior, self.evidence = prior, evidence
 
-    def posteriors(self, words: Column) -> list[Column]:
-        logs = F.array(*map(F.lit, self.prior))
-        for names, table in self.evidence:
-            weights = F.get(F.array(*(F.array(*map(F.lit, w)) for w in table)), F.least(F.size(_having(words, names)), F.lit(2)))
-            logs = F.zip_with(logs, weights, lambda x, y: x + y)
-        top = F.array_max(logs)
-        odds = F.transform(logs, lambda x: F.exp(x - top))
-        total = F.aggregate(odds, F.lit(0.0), lambda a, x: a + x)
-        # Rounded: documents with the same evidence then have equal posteriors.
-        return [F.round(F.get(odds, F.lit(k)) / total, 6) for k in range(len(DOMAINS))]
+    def hits(self, words: Column) -> list[Column]:
+        """0, 1 or 2 (and more) for each class with evidence, from one column of a document's typical features."""
+        own = lambda names: F.filter(words, lambda w: w.isin(names))
+        return [F.least(F.size(own(names)), F.lit(2)) for names, _ in self.evidence]
+
+    def features(self) -> list[str]:
+        return sorted({x for names, _ in self.evidence for x in names})
+
+    def table(self) -> list[list[float]]:
+        """Posteriors for every combination of hits, the first class's hits first."""
+        rows = [self.prior]
+        for _, weights in self.evidence:
+            rows = [[a + b for a, b in zip(r, w, strict=True)] for r in rows for w in weights]
+        out = []
+        for r in rows:
+            odds = [math.exp(x - max(r)) for x in r]
+            out.append([round(x / sum(odds), 6) for x in odds])
+        return out
 
 
 def _having(words: Column, names: list[str]) -> Column:
@@ -127,9 +133,15 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     model = fit(named, labels.select(F.col(id_col).alias("id"), "quality", "toxic"))
     all_ = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(keep)))
-    out = _features(all_, "id", *(f"_{i}" for i in range(len(keep))))
-    p = model.posteriors(F.col("words"))
-    return out.select(F.col("id").alias(id_col), *(F.col(f"_{i}").alias(c) for i, c in enumerate(keep)), "n_tokens", *(x.alias(f"p_{d}") for x, d in zip(p, DOMAINS, strict=True)))
+    kept = ["id", *(f"_{i}" for i in range(len(keep)))]
+    out = _features(all_, *kept).select(*kept, "n_tokens", (_having(F.col("words"), model.features()) if model.evidence else F.array().cast("array<string>")).alias("hits"))
+    place = F.lit(0)
+    for h in model.hits(F.col("hits")):
+        place = place * 3 + h
+    out = out.select(*kept, "n_tokens", place.alias("place"))
+    table = model.table()
+    p = [F.get(F.array(*(F.lit(r[k]) for r in table)), F.col("place")).alias(f"p_{d}") for k, d in enumerate(DOMAINS)]
+    return out.select(F.col("id").alias(id_col), *(F.col(f"_{i}").alias(c) for i, c in enumerate(keep)), "n_tokens", *p)
 
 
 def _rate(history: list[list[float]]) -> Column:

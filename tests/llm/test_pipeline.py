@@ -74,7 +74,7 @@ def clean_of(rows, items):
 
 
 def features(x):
-    every = [w for w in re.split(r"[\W\d_]+", x.lower()) if w]
+    every = [w for w in re.split(mixing.BETWEEN, x.lower()) if w]
     n, words = len(every), set(every)
     cap, sym = len(re.findall("[A-Z]", x)), len(re.findall(r"[#*$%&|<>]", x))
     return n, words | {m for m, on in (("#symbols", 5 * sym > n), ("#capitals", 4 * cap > len(x)), ("#repeats", n >= 20 and 4 * len(words) < n)) if on}
