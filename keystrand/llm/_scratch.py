@@ -79,9 +79,15 @@ _written: list = []
 
 
 @atexit.register
-def _clean() -> None:
+def clear() -> None:
+    """Deletes all tables that are left; call it before a session is stopped in a process that goes on."""
     import contextlib
+    import shutil
 
     for spark, path in _written:
-        with contextlib.suppress(Exception):
+        with contextlib.suppress(Exception):  # the session may have been stopped
             delete(spark, path)
+    _written.clear()
+    for path in _own.values():
+        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+    _own.clear()

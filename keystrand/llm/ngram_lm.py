@@ -68,7 +68,7 @@ def _signed(h: np.ndarray) -> pa.Array:
 def _training(batches):
     """(row, hash) arrays of the training rows of each block."""
     for b in batches:
-        for lo, t in W.parts(b.column(1)):
+        for lo, t in W.parts(b.column(1), 1 << 20):
             row, h = _tokens(t)
             keep = ~held_out(b.column(0).slice(lo, t.n).to_pylist())[row]
             yield row[keep], h[keep]
@@ -247,7 +247,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head:
         context = pyspark.TaskContext.get()
         uid = (context.partitionId() if context else 0) << 33
         for b in batches:
-            for lo, t in W.parts(b.column(1)):
+            for lo, t in W.parts(b.column(1), 1 << 20):
                 row, h = _tokens(t)
                 word = a.words.ids(h)
                 step = a.traverse(row, word)
