@@ -252,8 +252,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head:
                 word = a.words.ids(h)
                 step = a.traverse(row, word)
                 in_head = word < a.n
-                base = np.bincount(row[in_head], weights=a.unigram[word[in_head]], minlength=t.n)
-                total = np.bincount(row, weights=step, minlength=t.n)
+                base = np.bincount(row[in_head], weights=a.unigram[word[in_head]], minlength=t.n).astype(float)
+                total = np.bincount(row, weights=step, minlength=t.n).astype(float)
                 # Other words, once per row with their number; `s` of them lack their unigram in the score (all of them).
                 other = np.flatnonzero(~in_head)
                 pair = np.stack([row[other].astype(np.uint64), h[other]])
@@ -268,7 +268,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head:
                 ids = b.column(0).slice(lo, t.n)
                 n_tokens = np.bincount(row, minlength=t.n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(uids), ids, pa.array(held_out(ids.to_pylist())), pa.array(n_tokens), pa.array(np.bincount(row[in_head], minlength=t.n)), pa.array(base), pa.array(total), pa.array(np.split(k[cut].view(np.int64), np.searchsorted(r[cut], np.arange(1, t.n))), pa.list_(pa.int64())), pa.array(np.split(n.astype(np.int32), np.searchsorted(r[cut], np.arange(1, t.n))), pa.list_(pa.int32()))],
+                    [pa.array(uids), ids, pa.array(held_out(ids.to_pylist())), pa.array(n_tokens), pa.array(np.bincount(row[in_head], minlength=t.n)), pa.array(base, pa.float64()), pa.array(total, pa.float64()), pa.array(np.split(k[cut].view(np.int64), np.searchsorted(r[cut], np.arange(1, t.n))), pa.list_(pa.int64())), pa.array(np.split(n.astype(np.int32), np.searchsorted(r[cut], np.arange(1, t.n))), pa.list_(pa.int32()))],
                     ["uid", id_col, "held_out", "n_tokens", "known", "base", "total", "hs", "ns"],
                 )
 

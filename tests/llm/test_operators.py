@@ -3,10 +3,12 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from keystrand.llm import decontaminate, html, line_dedup, mixing, ngram_join, ngram_lm, quality, queries, secrets, token_count, token_store
@@ -199,7 +201,7 @@ def test_token_store_files(spark, docs, tmp_path):
     # A changed payload is noticed.
     bad = f"file://{tmp_path}/bad"
     spark.read.parquet(f"{root}/recipes").write.parquet(f"{bad}/recipes")
-    chunks.withColumn("payload", F.first("payload").over(__import__("pyspark").sql.Window.orderBy("sha"))).write.parquet(f"{bad}/chunks")
+    chunks.withColumn("payload", F.first("payload").over(Window.orderBy("sha"))).write.parquet(f"{bad}/chunks")
     with pytest.raises(Exception, match="contents it is named for"):
         token_store.digests(spark, bad).collect()
 
@@ -374,8 +376,6 @@ def test_ngram_join(docs, empty, options):
 @pytest.mark.parametrize("options", [{}, {"long": 4, "block": 5, "pivots": 2}])
 def test_ngram_join_of_many_near_copies(spark, options):
     """Chains of links at and around the threshold, in lists far larger than a block."""
-    import random
-
     rng, rows = random.Random(3), []
     for g in range(3):
         base = [f"g{g}w{i}" for i in range(64)]
@@ -394,7 +394,7 @@ def test_ngram_join_of_many_near_copies(spark, options):
 def test_components_of_long_chains(spark):
     n = 300
     order = list(range(n))
-    __import__("random").Random(4).shuffle(order)
+    random.Random(4).shuffle(order)
     edges = [(order[i], order[i + 1]) for i in range(n - 1) if i != 100]
     got = {r["id"]: r["comp"] for r in ngram_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     left, right = min(order[:101]), min(order[101:])
@@ -425,8 +425,6 @@ def test_line_dedup_repeats(spark, docs, empty):
 
 def test_line_dedup_guarantee(spark):
     """Every repeated run of 50 words goes, nothing below 25 words does, and one copy of each line stays."""
-    import random
-
     rng = random.Random(9)
     runs = [[" ".join(f"r{k}l{j}w{i}" for i in range(rng.randrange(1, 30))) for j in range(rng.randrange(1, 12))] for k in range(8)]
     rows = []
@@ -453,8 +451,6 @@ def test_line_dedup_guarantee(spark):
 
 
 def test_mixing(spark, docs, empty):
-    import random
-
     rng, rows, labels = random.Random(2), [], []
     for i in range(300):
         kind = "toxic" if i % 10 == 0 else "low" if i % 10 == 1 else "clean"
@@ -506,8 +502,6 @@ def test_html_repeats_on_pages_without_an_article(spark):
 
 
 def test_repeated_substrings_against_brute_force():
-    import random
-
     rng = random.Random(1)
     streams = [[rng.choice("abcd") for _ in range(rng.randrange(0, 60))] for _ in range(12)]
     pages = [i // 2 for i in range(12)]
@@ -584,3 +578,24 @@ def test_texts_do_not_run_into_each_other():
     assert not seen["bad"][6] and counts[0].tolist() == [len(SPACE.findall(x)) for x in texts]
     r, g = ngram_join.shingles(t, 3)
     assert set(r.tolist()) == {i for i, x in enumerate(texts) if x}
+
+
+def test_language_model_without_training_rows(spark):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5 == 1][:3]
+    df = spark.createDataFrame([(i, "some words here") for i in ids], "doc_id long, text string")
+    out = ngram_lm.score(df).collect()
+    assert [(r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in out] == [(True, 4, 0, 0, 0.0, 0.0)] * 3
+
+
+def test_each_text_alone(spark, docs):
+    """Blocks of a single text, empty ones too, give what all texts together give."""
+    alone = docs.where("kept is not null").repartitionByRange(len(TEXTS), "doc_id")
+    together = docs.where("kept is not null").coalesce(1)
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    tokenizer, pieces = queries.tokenizer("word_bpe_49k.json"), queries.tokenizer("piece_bpe_32k.model")
+    for run in (
+        quality.score, secrets.scan, lambda d: decontaminate.report(d, bench), lambda d: token_store.round_trip(d, tokenizer), lambda d: token_count.count(d, pieces),
+        lambda d: ngram_join.join(d), lambda d: ngram_lm.score(d).select("doc_id", "n_tokens", "n_known", F.round("score", 6), F.round("base_score", 6)),
+    ):
+        a, b = ({r["doc_id"]: tuple(r) for r in run(x).collect()} for x in (alone, together))
+        assert a == b
