@@ -173,7 +173,7 @@ def _long_lists(docs: DataFrame, k: int, long: int) -> LongLists:
     def run(batches):
         counter, seen = W.Counter(), set()
         for b in batches:
-            for _, t in W.parts(b.column(1), rows=ROWS):
+            for _, t in W.parts(b.column(1), 1 << 20, ROWS):
                 r, g = shingle_sets(t, k)
                 _, names = _names(r, g, t.n)
                 new = np.zeros(t.n, bool)
@@ -198,7 +198,7 @@ def _sketches(docs: DataFrame, id_kind: str, k: int, percent: int, long: LongLis
     def run(batches):
         long = sent.value
         for b in batches:
-            for lo, t in W.parts(b.column(1), rows=ROWS):
+            for lo, t in W.parts(b.column(1), 1 << 20, ROWS):
                 r, g = shingle_sets(t, k, long)
                 bounds, names = _names(r, g, t.n)
                 n = np.diff(bounds)
@@ -324,7 +324,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, id_kind: str, k: int, percent: in
 
     def sets(batches):
         for b in batches:
-            for lo, t in W.parts(b.column(1), rows=ROWS):
+            for lo, t in W.parts(b.column(1), 1 << 20, ROWS):
                 r, g = shingle_sets(t, k)
                 bounds = np.searchsorted(r, np.arange(t.n + 1)).tolist()
                 data = g.tobytes()
