@@ -3,11 +3,12 @@
 Texts are encoded once; a rolling hash over the ids cuts each document into
 chunks; a chunk is stored once under the hash of its contents; a document is a
 recipe, the list of its chunks; Merkle roots over chunk hashes (document),
-document roots (recipe file) and file roots (manifest) verify a reconstruction.
+document roots (part of a recipe file), part roots (file) and file roots
+(manifest) verify a reconstruction.
 
 Layout of a store:
   chunks/    sha (16 bytes), n (ids), payload (zstd of little-endian 16- or 32-bit ids), spread by sha
-  recipes/   doc_id, row, start, n_tokens, shas (concatenated), root; ascending by doc_id
+  recipes/   doc_id, start, n_tokens, shas (concatenated), root, file, part; ascending by doc_id
   manifest/  one row for each recipe file: file, first and last document, start, ids, Merkle root
 
 The id stream is the concatenation of the documents in ascending doc_id order;
@@ -36,6 +37,7 @@ from . import _words as W
 
 END_ID = 1
 MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK = 128, 1024, 8192
+PART = 1 << 16  # documents under one Merkle root below that of their file
 _ROLL = 16  # ids under the rolling hash
 _TABLE = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 1 << 16, dtype=np.uint64)
 _MEMO = 3_000_000  # distinct words that a worker remembers
@@ -245,19 +247,25 @@ def save(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", tex
         start += f["n_tokens"]
     kind = staged.schema["doc_id"].dataType.simpleString()
     places = spark.createDataFrame(rows, f"file int, first {kind}, last {kind}, n_docs long, start long, n_tokens long")
-    before = Window.partitionBy("file").orderBy("doc_id", "root").rowsBetween(Window.unboundedPreceding, -1)
-    placed = staged.withColumn("inner", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    order = Window.partitionBy("file").orderBy("doc_id", "root")
+    placed = staged.withColumn("inner", F.coalesce(F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = placed.withColumn("part", F.floor((F.row_number().over(order) - 1) / PART).cast("int"))
     placed = placed.join(F.broadcast(places.select("file", F.col("start").alias("base"))), "file")
-    placed.select("doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "shas", "root", "file").write.option("compression", "zstd").parquet(f"{path}/recipes")
-    roots = spark.read.parquet(f"{path}/recipes").groupBy("file").agg(F.array_sort(F.collect_list(F.struct("start", "root"))).alias("r"))
-    root = spark.createDataFrame(roots.select("file", F.transform("r", lambda x: x["root"]).alias("r")).mapInArrow(_file_roots, "file int, root binary").collect(), "file int, root binary")
+    placed.select("doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "shas", "root", "file", "part").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    # Merkle roots of parts of a file, then of files: no group is larger than PART documents.
+    roots = spark.read.parquet(f"{path}/recipes").groupBy("file", "part").agg(F.array_sort(F.collect_list(F.struct("start", "root"))).alias("r"))
+    roots = roots.select("file", "part", F.transform("r", lambda x: x["root"]).alias("r")).mapInArrow(_part_roots, "file int, part int, root binary")
+    by_file: dict[int, list[bytes]] = {}
+    for f, _, r in sorted((x["file"], x["part"], bytes(x["root"])) for x in roots.collect()):
+        by_file.setdefault(f, []).append(r)
+    root = spark.createDataFrame([(f, merkle(r)) for f, r in by_file.items()], "file int, root binary")
     places.join(F.broadcast(root), "file").coalesce(1).write.parquet(f"{path}/manifest")
     _scratch.drop(staged)
 
 
-def _file_roots(batches):
+def _part_roots(batches):
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([merkle(r) for r in b.column(1).to_pylist()], pa.binary())], ["file", "root"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([merkle(r) for r in b.column(2).to_pylist()], pa.binary())], ["file", "part", "root"])
 
 
 def manifest_root(spark: SparkSession, path: str) -> bytes:

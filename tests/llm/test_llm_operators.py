@@ -599,3 +599,17 @@ def test_each_text_alone(spark, docs):
     ):
         a, b = ({r["doc_id"]: tuple(r) for r in run(x).collect()} for x in (alone, together))
         assert a == b
+
+
+def test_merkle_roots_follow_the_documents(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store, "PART", 4)
+    path, roots = queries.tokenizer("word_bpe_49k.json"), []
+    for k, df in enumerate((docs, docs.repartition(3), docs.where("doc_id <> 3"))):
+        token_store.save(df.coalesce(1) if k == 0 else df, f"file://{tmp_path}/{k}", path)
+        recipes = spark.read.parquet(f"file://{tmp_path}/{k}/recipes").orderBy("start").collect()
+        assert [r["doc_id"] for r in recipes] == sorted(r["doc_id"] for r in recipes)
+        assert spark.read.parquet(f"file://{tmp_path}/{k}/manifest").agg(F.sum("n_docs")).first()[0] == len(recipes)
+        assert max(sum(1 for r in recipes if (r["file"], r["part"]) == (x["file"], x["part"])) for x in recipes) <= 4
+        roots.append(token_store.merkle([bytes(r["root"]) for r in recipes]))
+        assert len(token_store.manifest_root(spark, f"file://{tmp_path}/{k}")) == 16
+    assert roots[0] == roots[1] != roots[2]
