@@ -248,3 +248,23 @@ def test_checkpoints_of_the_manifest(db, spark, monkeypatch):
     assert len(db.files.list("checkpoints")) == 2
     again = Database(spark, db.root)
     assert again._commits == db._commits and again.seqno == db.seqno and text(again).get("k") == "5"
+
+
+def test_windowed_counts_of_a_stream(spark, tmp_path):
+    from keystrand.streaming import feed
+
+    rows = spark.createDataFrame([("2024-01-01 00:00:10",), ("2024-01-01 00:00:50",), ("2024-01-01 00:01:10",)], "s string").select(F.to_timestamp("s").alias("ts"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("ts timestamp").parquet(f"{tmp_path}/in")
+    out = feed.late_counts(stream, "ts", "1 minute", "10 seconds").writeStream.outputMode("update").format("memory").queryName("counts").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    out.awaitTermination()
+    assert sorted(r["n"] for r in spark.table("counts").collect()) == [1, 2]
+
+
+def test_codecs(spark):
+    from keystrand.functions import codecs
+
+    df = spark.createDataFrame([(1994, "id-1", '{"ttl": 5}', "s\0v\0o"), (300, "b", "junk", "x")], "year long, id string, j string, k string")
+    got = df.select(codecs.year_index_key(F.col("year"), F.col("id")).alias("i"), codecs.try_json(F.col("j"), "ttl int")["ttl"].alias("t"), codecs.split_compound(F.col("k"), 1).alias("v"), codecs.encode_json(F.col("id")).alias("e"), codecs.compound(F.col("id"), F.col("k")).alias("c")).collect()
+    assert [bytes(r["i"]) for r in got] == [(1994).to_bytes(8, "big") + b"\0id-1", (300).to_bytes(8, "big") + b"\0b"]
+    assert [r["t"] for r in got] == [5, None] and [r["v"] for r in got] == ["v", None] and got[1]["e"] == '{"id":"b"}' and got[1]["c"] == "b\0x"
