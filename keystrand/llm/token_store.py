@@ -232,8 +232,13 @@ def save(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", tex
     """Writes the store of docs under path, a folder that all executors reach."""
     spark = docs.sparkSession
     raw = _scratch.write(_encode(docs, id_col, text_col, tokenizer), "encoded", compression="none")
-    chunks = raw.where("payload is not null").select("sha", "n", "payload").dropDuplicates(["sha"])
-    chunks.write.option("compression", "none").parquet(f"{path}/chunks")
+    # Most chunks came from one task only and are written without a shuffle; of the others one copy is kept.
+    chunks = raw.where("payload is not null").select("sha", "n", "payload")
+    shared = _scratch.write(chunks.groupBy("sha").agg(F.count("*").alias("c")).where("c > 1").select("sha"), "shared")
+    once = _scratch.by_ids(chunks, "sha", shared, "left_anti", 1_000_000)
+    again = _scratch.by_ids(chunks, "sha", shared, "left_semi", 1_000_000).dropDuplicates(["sha"])
+    once.unionByName(again).write.option("compression", "none").parquet(f"{path}/chunks")
+    _scratch.drop(shared)
     # Recipes in ascending order. The range exchange is written down before places are summed up,
     # so that all that follows sees the same files.
     recipe = raw.where("payload is null").select(F.col(id_col).alias("doc_id"), F.col("n").alias("n_tokens"), F.col("sha").alias("shas"), "root")
