@@ -1,26 +1,28 @@
 """Language-model scores by a weighted backoff automaton.
 
-Training counts cover every token of the training documents.  Unigrams of all
-words are counted exactly; the `head` most frequent words have ids, and pairs
-of them (and of the text start and end) are counted over all training text.
-The pairs at or above the least count that keeps them within `max_arcs` become
-arcs, and in the same way the triples that extend such a pair.  The automaton's
-states are the contexts (a pair that is an arc, a head word, the text start, or
-nothing); an arc carries log10 of the discounted probability, and a failure
-arc carries the context's backoff weight to the next shorter context, at last
-to the empty one, whose arcs are the smoothed unigrams.  One traversal from left
-to right carries the state and adds up weights.
-
-Only head words' weights and the arcs are broadcast, both of bounded size.  The
-counts of all other words stay a distributed table: a document's other words
-are joined with it by hash and summed up per document.
+Training counts cover every token of the training documents.  Words, pairs and
+triples (the text start and end are words in them) are counted exactly in
+distributed tables.  Every pair and every triple that occurs `LEAST` times or
+more is an arc, however large the input is.  The automaton's states are the
+contexts (a pair that is an arc, a word, the text start, or nothing); an arc
+carries log10 of the discounted probability, and a failure arc carries the
+context's backoff weight to the next shorter context, at last to the empty one,
+whose arcs are the smoothed unigrams.
 
 Probabilities: unigram p(w) = (c + 0.5) / (N + 0.5 (V + 1)), where one share
 stands for all unknown words; p(w | h) = (c(hw) - D) / c(h) for an arc, else
 backoff(h) p(w | h without its first word), with backoff(h) such that a
 context's probabilities add up to one.
 
-Words are identified by 64-bit hashes.
+A text's weight is a sum over its n-grams, each taken by itself: a word has its
+unigram weight and its failure arc; a pair that is an arc has what its arc adds
+to the way through the failure arc, and its own failure arc; a triple that is an
+arc has what it adds likewise.  So texts' n-grams are joined with one table of
+values by hash and summed up by text.  Values of the most frequent words and
+arcs are broadcast, `head` and `max_arcs` of them, and need no join; these bounds
+change the cost only, never a score.
+
+Words, n-grams and rows (id and text) are identified by 64-bit hashes.
 
 Edge cases: a null text is empty and consists of its end token; repeated rows
 are scored row by row (and counted in training row by row); without training
@@ -29,6 +31,7 @@ rows all counts are 0; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
@@ -39,11 +42,18 @@ from pyspark.sql import functions as F
 from . import _scratch
 from . import _words as W
 
+LEAST = 2  # occurrences of a pair or triple that make it an arc
 HEAD = 1 << 15  # words with ids; their weights are broadcast
-MAX_ARCS = 1 << 18
+MAX_ARCS = 1 << 18  # pairs, and triples, whose weights are broadcast
+MOST_KEYS = 1_000_000  # n-grams that a task holds before it hands on their counts
+# Triples are counted, and texts scored, a share at a time, so that less of the disk is taken at once.
+TRIPLE_SHARES, TEXT_SHARES = 2, 4
 DISCOUNT = 0.5
 FOLDS, HELD_OUT = 5, 1
 END = np.uint64(0x9E3779B97F4A7C15)  # stands for the hash of the end token
+START = np.uint64(0xC2B2AE3D27D4EB4F)  # and of the text start as a context
+_A, _B = W.GRAM[14], W.GRAM[15]
+_INVERSE = [np.uint64(pow(int(x), -1, 2**64)) for x in (W._C2, W._C1, _B)]
 
 COLUMNS = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -74,19 +84,87 @@ def _training(batches):
             yield row[keep], h[keep]
 
 
-def _counted(docs: DataFrame, keys) -> DataFrame:
-    """Counts of what keys() makes of each block, summed up in the tasks first."""
+def _counted(docs: DataFrame) -> DataFrame:
+    """Counts of the training words, summed up in the tasks first."""
 
     def run(batches):
         counter = W.Counter()
-        for row, h in _training(batches):
-            if counter.add(keys(row, h)):
+        for _, h in _training(batches):
+            if counter.add(h):
                 yield from counter.take()
         yield from counter.take()
 
     return docs.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+def _key(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Hash of a pair (of the hashes of a context and a word), or of a triple (of those of its two pairs)."""
+    return W.mix(x * _A + y * _B)
+
+
+def _second(k: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """y, from _key(x, y) and x: all steps of the hash can be undone."""
+    k = (k ^ (k >> np.uint64(32))) * _INVERSE[0]
+    k = (k ^ (k >> np.uint64(29)) ^ (k >> np.uint64(58))) * _INVERSE[1]
+    return ((k ^ (k >> np.uint64(33))) - x * _A) * _INVERSE[2]
+
+
+def _pairs(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Context and key of the pair at each token."""
+    context = np.empty(len(h), np.uint64)
+    context[1:] = h[:-1]
+    context[_starts(row)] = START
+    return context, _key(context, h)
+
+
+def _triples(row: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the tokens that end a triple, and its key; pair: keys of the pairs at the tokens."""
+    at = np.flatnonzero(~_starts(row))
+    return at, _key(pair[at - 1], pair[at])
+
+
+def _arcs(docs: DataFrame, order: int, share: int = 0, shares: int = 1) -> DataFrame:
+    """(h, x, y, c) of the pairs or triples that are arcs: key, its two halves and count; of those of one share of the keys."""
+
+    def run(batches):
+        keys, first, held = [], [], 0
+
+        def take():
+            k, x = np.concatenate(keys), np.concatenate(first)
+            by = np.argsort(k)
+            k = k[by]
+            new = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            c = np.diff(np.concatenate([new, [len(k)]]))
+            k, x = k[new], x[by[new]]
+            for lo in range(0, len(k), 1 << 18):
+                yield pa.RecordBatch.from_arrays([_signed(k[lo : lo + (1 << 18)]), _signed(x[lo : lo + (1 << 18)]), pa.array(c[lo : lo + (1 << 18)])], ["h", "x", "c"])
+
+        for row, h in _training(batches):
+            x, k = _pairs(row, h)
+            if order == 3:
+                at, triple = _triples(row, k)
+                x, k = k[at - 1], triple
+            if shares > 1:
+                mine = k % np.uint64(shares) == np.uint64(share)
+                x, k = x[mine], k[mine]
+            keys.append(k)
+            first.append(x)
+            held += len(k)
+            if held >= MOST_KEYS:
+                yield from take()
+                keys, first, held = [], [], 0
+        if held:
+            yield from take()
+
+    def halves(batches):
+        for b in batches:
+            h, x = (b.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _signed(_second(h, x)), b.column(2)], ["h", "x", "y", "c"])
+
+    counted = docs.mapInArrow(run, "h long, x long, c long").groupBy("h").agg(F.max("x").alias("x"), F.sum("c").alias("c"))
+    return counted.where(F.col("c") >= LEAST).mapInArrow(halves, "h long, x long, y long, c long")
+
+
 class Words:
     """Ids of the head words: 0 .. n-1 by ascending hash (the end token is one of them), n for any other word, n + 1 for the text start as a context."""
 
@@ -120,164 +198,172 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class Automaton:
-    """States with arcs and failure arcs, as arrays.
+    """The most frequent states with arcs and failure arcs, as arrays.
 
     States are the empty context, contexts of one word (`pair` holds their arcs, context * (n + 2) + word,
     ascending) and contexts of two words that are themselves an arc (`triple` holds theirs, number of
     the arc * (n + 2) + word).  A failure arc leads to the state of the context's last word, or to the
-    empty context, and carries the backoff weight.
+    empty context, and carries the backoff weight.  `pair_gain` and `triple_gain` are what an arc adds to
+    the weight of the way through its state's failure arc.
     """
 
-    def __init__(self, words: Words, count: np.ndarray, total: int, kinds: int, starts: int, pair: np.ndarray, pair_count: np.ndarray, triple: np.ndarray, triple_count: np.ndarray):
-        self.words, self.n, self.total = words, words.n, total
-        self.scale = total + 0.5 * (kinds + 1)
-        self.unigram = np.log10((count + 0.5) / self.scale)
+    def __init__(self, words: Words, scale: float, unigram: np.ndarray, failure: np.ndarray, pairs: tuple, triples: tuple):
+        """pairs: key, context, gain and failure of arcs; triples: key, key of the first pair, gain. Those not made of words with ids are left out."""
+        self.words, self.n, self.scale, self.failure = words, words.n, scale, failure
+        self.unigram = np.concatenate([unigram, [0.0]])
         m = self.n + 2
-        self.pair, pair_count = pair, pair_count.astype(float)
-        context, word = pair // m, pair % m
-        p = (pair_count - DISCOUNT) / np.concatenate([count, [1, max(1, starts)]])[context]
-        self.pair_weight = np.log10(p)
-        self.failure = self._backoff(context, p, 10 ** self.unigram[word], m)
-        self.triple = triple
-        context, word = triple // m, triple % m
-        p = (triple_count - DISCOUNT) / pair_count[context]
-        self.triple_weight = np.log10(p)
-        last = pair[context] % m
-        at, held = _find(pair, last * m + word)
-        lower = np.where(held, self.pair_weight[at] if len(pair) else 0.0, self.failure[last] + self.unigram[word])
-        self.pair_failure = self._backoff(context, p, 10**lower, len(pair))
-
-    @staticmethod
-    def _backoff(context: np.ndarray, p: np.ndarray, lower: np.ndarray, n: int) -> np.ndarray:
-        """log10 of what a context leaves over what its arcs' words have in the state below."""
-        mass, below = np.bincount(context, weights=p, minlength=n), np.bincount(context, weights=lower, minlength=n)
-        out = np.log10(np.maximum(1e-12, 1 - mass) / np.maximum(1e-12, 1 - below))
-        out[mass == 0] = 0.0
-        return out
-
-    def traverse(self, row: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """log10 weight of each step, all but the unigrams of words outside the head.
-
-        The state before a word is settled by the two words before it, so all steps of the walk from
-        left to right are taken at once.
-        """
+        key, context, gain, back = pairs
+        second = _second(key, context)
+        code = np.where(context == START, self.n + 1, words.ids(context)) * m + words.ids(second)
+        own = np.flatnonzero((code // m != self.n) & (code % m != self.n))
+        own = own[np.argsort(code[own])]
+        self.pair, self.pair_gain, self.pair_failure = code[own], gain[own], back[own]
+        by_key = own[np.argsort(key[own])]
+        place = np.empty(len(key), np.int64)
+        place[own] = np.arange(len(own))
+        key3, first, gain3 = triples
+        at, held = _find(key[by_key], first)
+        key3, first, gain3, at = key3[held], first[held], gain3[held], by_key[at[held]]
+        word = words.ids(_second(_second(key3, first), second[at]))
+        code, good = place[at] * m + word, word != self.n
+        order = np.argsort(code[good])
+        self.triple, self.triple_gain = code[good][order], gain3[good][order]
+
+    def steps(self, row: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 weight of each step as far as it is held here, and whether its pair and its triple are."""
         m = self.n + 2
         pair = self.words.pairs(row, word)
         at, two = _find(self.pair, pair)
-        two &= word < self.n
         state = np.full(len(word), -1)  # the arc that the step before took, if it took one
         state[1:] = np.where(two, at, -1)[:-1]
         state[_starts(row)] = -1
         deep = state >= 0
         spot, three = _find(self.triple, state * m + word)
         three &= deep & (word < self.n)
-        step = np.zeros(len(word))
-        step[three] = self.triple_weight[spot[three]]
-        step[deep & ~three] = self.pair_failure[state[deep & ~three]]
-        shallow = two & ~three
-        step[shallow] += self.pair_weight[at[shallow]]
-        rest = ~two & ~three
-        step[rest] += self.failure[pair[rest] // m]
-        known = rest & (word < self.n)
-        step[known] += self.unigram[word[known]]
-        return step
-
-
-def _kept(counted: DataFrame, name: str, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (ascending) and counts of n-grams, from the least count, 2 at least, that leaves at most `most` of them."""
-    table = _scratch.write(counted.where("c > 1"), name)
-    least, held = 2, 0
+        step = self.unigram[word] + self.failure[pair // m]
+        step[two] += self.pair_gain[at[two]]
+        step[deep] += self.pair_failure[state[deep]]
+        step[three] += self.triple_gain[spot[three]]
+        return step, two, three
+
+    def traverse(self, row: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return self.steps(row, word)[0]
+
+
+def _frequent(table: DataFrame, most: int, *columns: str) -> list[np.ndarray]:
+    """Columns of the rows with the largest counts, at most `most` of them."""
+    least, held = LEAST, 0
     for r in table.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).toLocalIterator():
         if held + r["n"] > most:
             least = r["c"] + 1
             break
         held += r["n"]
-    kept = table.where(F.col("c") >= least).orderBy("h").toPandas()
-    _scratch.drop(table)
-    return kept["h"].to_numpy(np.int64), kept["c"].to_numpy(np.int64)
+    rows = table.where(F.col("c") >= least).select(*columns).toPandas()
+    return [rows[c].to_numpy(np.int64).view(np.uint64) if c in ("h", "x") else rows[c].to_numpy(float) for c in columns]
 
 
-def fit(docs: DataFrame, head: int = HEAD, max_arcs: int = MAX_ARCS) -> tuple[Automaton, DataFrame]:
-    """The automaton and the table (h, c) of all training words' counts; docs: (id, text)."""
-    spark = docs.sparkSession
-    counts = _scratch.write(_counted(docs, lambda row, h: h), "unigrams")
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """A table; the shuffle files that made it can go at once."""
+    out = _scratch.write(df, name)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
+def _backoff(arcs: DataFrame) -> DataFrame:
+    """(x, f): log10 of what a context leaves over what its arcs' words have in the state below; arcs has p and low."""
+    rest = lambda c: F.greatest(F.lit(1e-12), 1 - F.sum(c))
+    return arcs.groupBy("x").agg(F.log10(rest("p") / rest("low")).alias("f"))
+
+
+def _model(docs: DataFrame, head: int, max_arcs: int) -> tuple[Automaton, DataFrame, int]:
+    """The most frequent part, the table (h, v, u, known) of all values, and the number of training tokens."""
+    counts = _written(_counted(docs), "unigrams")
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    end = counts.where(F.col("h") == int(END.view(np.int64))).first()
+    scale, starts = total + 0.5 * (kinds + 1), end["c"] if end else 1
+
+    arcs = _written(_arcs(docs, 2), "pairs")
+    pairs = arcs.join(counts.select(F.col("h").alias("x"), F.col("c").alias("cx")), "x", "left").join(counts.select(F.col("h").alias("y"), F.col("c").alias("cy")), "y")
+    pairs = _written(pairs.select("h", "x", "c", ((F.col("c") - DISCOUNT) / F.coalesce("cx", F.lit(starts))).alias("p"), ((F.col("cy") + 0.5) / scale).alias("low")), "pairs")
+    _scratch.drop(arcs)
+    failure = _written(_backoff(pairs), "failure")
+    parts = [_written(_arcs(docs, 3, k, TRIPLE_SHARES), "triples") for k in range(TRIPLE_SHARES)]
+    # A triple's two pairs occur as often as it does at least, so both are arcs.
+    triples = functools.reduce(DataFrame.unionAll, parts).join(pairs.select(F.col("h").alias("x"), F.col("c").alias("cx")), "x").join(pairs.select(F.col("h").alias("y"), F.col("p").alias("low")), "y")
+    triples = _written(triples.select("h", "x", "c", ((F.col("c") - DISCOUNT) / F.col("cx")).alias("p"), "low"), "triples")
+    for part in parts:
+        _scratch.drop(part)
+    pair_failure = _written(_backoff(triples), "failure")
+
+    gain = (F.log10("p") - F.col("f") - F.log10("low")).alias("gain")
+    unigram = F.log10((F.col("c") + 0.5) / scale)
+    words = _written(counts.join(failure.withColumnRenamed("x", "h"), "h", "left").select("h", "c", unigram.alias("u"), F.coalesce("f", F.lit(0.0)).alias("f")), "words")
+    before = pairs, triples, counts
+    pairs = pairs.join(failure, "x").select("h", "x", "c", gain).join(pair_failure.withColumnRenamed("x", "h"), "h", "left")
+    pairs = _written(pairs.select("h", "x", "c", "gain", F.coalesce("f", F.lit(0.0)).alias("f")), "pairs")
+    triples = _written(triples.join(pair_failure, "x").select("h", "x", "c", gain), "triples")
+    for table in before:
+        _scratch.drop(table)
+
     # The most frequent words; ties by hash. Bounded by `head`.
-    top = counts.orderBy(F.desc("c"), "h").limit(head).toPandas()
-    hashes, count = top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
-    order = np.argsort(hashes)
-    words, count = Words(hashes[order]), count[order]
-    sent = spark.sparkContext.broadcast(words)
-
-    def pairs(row, h):
-        w = sent.value
-        word = w.ids(h)
-        key = w.pairs(row, word)
-        return key[(key // (w.n + 2) != w.n) & (word != w.n)]
-
-    pair, pair_count = _kept(_counted(docs, pairs), "pairs", max_arcs)
-    arcs = spark.sparkContext.broadcast(pair)
-
-    def triples(row, h):
-        w = sent.value
-        word = w.ids(h)
-        at, held = _find(arcs.value, w.pairs(row, word))
-        state = np.where(held, at, -1)[:-1]
-        good = (state >= 0) & (row[1:] == row[:-1]) & (word[1:] != w.n)
-        return state[good] * (w.n + 2) + word[1:][good]
-
-    triple, triple_count = _kept(_counted(docs, triples), "triples", max_arcs)
-    end = words.head == END
-    starts = int(count[end][0]) if end.any() else 0
-    return Automaton(words, count, int(total), int(kinds), starts, pair, pair_count, triple, triple_count), counts
+    top = words.orderBy(F.desc("c"), "h").limit(head).toPandas().sort_values("h", key=lambda h: h.to_numpy(np.int64).view(np.uint64))
+    start = failure.where(F.col("x") == int(START.view(np.int64))).first()
+    back = np.concatenate([top["f"].to_numpy(float), [0.0, start["f"] if start else 0.0]])
+    automaton = Automaton(Words(top["h"].to_numpy(np.int64).view(np.uint64)), scale, top["u"].to_numpy(float), back, _frequent(pairs, max_arcs, "h", "x", "gain", "f"), _frequent(triples, max_arcs, "h", "x", "gain"))
+    zero, no = F.lit(0.0).alias("u"), F.lit(0).alias("known")
+    values = words.select("h", (F.col("u") + F.col("f")).alias("v"), "u", F.lit(1).alias("known"))
+    values = values.unionAll(pairs.select("h", (F.col("gain") + F.col("f")).alias("v"), zero, no)).unionAll(triples.select("h", F.col("gain").alias("v"), zero, no))
+    return automaton, values, int(total)
+
+
+def fit(docs: DataFrame, head: int = HEAD, max_arcs: int = MAX_ARCS) -> tuple[Automaton, DataFrame]:
+    """The automaton's most frequent part and the table (h, v, u, known) of the values of all n-grams; docs: (id, text)."""
+    return _model(docs, head, max_arcs)[:2]
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, max_arcs: int = MAX_ARCS) -> DataFrame:
     """One row for each row of docs, scored by a model of those that are not held out."""
     docs = docs.select(id_col, text_col)
     spark = docs.sparkSession
-    automaton, counts = fit(docs, head, max_arcs)
+    automaton, values, total = _model(docs, head, max_arcs)
     sent = spark.sparkContext.broadcast(automaton)
     kind = docs.schema[id_col].dataType.simpleString()
+    uid = F.xxhash64(id_col, text_col).alias("uid")
+    own = pa.struct([("total", pa.float64()), ("base", pa.float64()), ("tokens", pa.int64()), ("known", pa.int64())])
 
     def run(batches):
-        import pyspark
-
         a = sent.value
-        context = pyspark.TaskContext.get()
-        uid = (context.partitionId() if context else 0) << 33
         for b in batches:
+            uids = b.column(0).to_numpy()
             for lo, t in W.parts(b.column(1), 1 << 20):
+                here = uids[lo : lo + t.n]
                 row, h = _tokens(t)
                 word = a.words.ids(h)
-                step = a.traverse(row, word)
-                in_head = word < a.n
-                base = np.bincount(row[in_head], weights=a.unigram[word[in_head]], minlength=t.n).astype(float)
-                total = np.bincount(row, weights=step, minlength=t.n).astype(float)
-                # Other words, once per row with their number; `s` of them lack their unigram in the score (all of them).
-                other = np.flatnonzero(~in_head)
-                pair = np.stack([row[other].astype(np.uint64), h[other]])
-                order = np.lexsort(pair[::-1])
-                r, k = pair[0][order].astype(np.int64), pair[1][order]
-                new = np.ones(len(r), bool)
-                new[1:] = (r[1:] != r[:-1]) | (k[1:] != k[:-1])
-                cut = np.flatnonzero(new)
-                n = np.diff(np.concatenate([cut, [len(r)]]))
-                uids = uid + np.arange(t.n)
-                uid += t.n
-                ids = b.column(0).slice(lo, t.n)
-                n_tokens = np.bincount(row, minlength=t.n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(uids), ids, pa.array(held_out(ids.to_pylist())), pa.array(n_tokens), pa.array(np.bincount(row[in_head], minlength=t.n)), pa.array(base, pa.float64()), pa.array(total, pa.float64()), pa.array(np.split(k[cut].view(np.int64), np.searchsorted(r[cut], np.arange(1, t.n))), pa.list_(pa.int64())), pa.array(np.split(n.astype(np.int32), np.searchsorted(r[cut], np.arange(1, t.n))), pa.list_(pa.int32()))],
-                    ["uid", id_col, "held_out", "n_tokens", "known", "base", "total", "hs", "ns"],
-                )
-
-    passed = _scratch.write(docs.mapInArrow(run, f"uid long, `{id_col}` {kind}, held_out boolean, n_tokens long, known long, base double, total double, hs array<long>, ns array<int>"), "scored")
-    other = passed.select("uid", F.explode(F.arrays_zip("hs", "ns")).alias("x")).select("uid", F.col("x.hs").alias("h"), F.col("x.ns").alias("n"))
-    # Words with one count share a term; per document only (count, how many) is summed up.
-    joined = other.join(counts, "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    term = F.log10((F.col("c") + 0.5) / F.lit(automaton.scale))
-    sums = joined.groupBy("uid").agg(F.sum(F.col("n") * term).alias("s"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k"))
-    out = passed.drop("hs", "ns").join(sums, "uid", "left")
-    s, k = F.coalesce("s", F.lit(0.0)), F.coalesce("k", F.lit(0))
-    return out.select(id_col, "held_out", "n_tokens", (F.col("known") + k).alias("n_known"), F.lit(automaton.total).cast("long").alias("train_tokens"), (F.col("base") + s).alias("base_score"), (F.col("total") + s).alias("score"))
+                step, two, three = a.steps(row, word)
+                sums = [np.bincount(row, weights=x, minlength=t.n).astype(float) for x in (step, a.unigram[word])] + [np.bincount(row[x], minlength=t.n) for x in (word >= 0, word < a.n)]
+                # A row for what the text has by itself; its hash only deals it out.
+                yield pa.RecordBatch.from_arrays([pa.array(here), pa.array(here), pa.StructArray.from_arrays([pa.array(x) for x in sums], fields=list(own))], ["uid", "h", "own"])
+                # Rows for the n-grams whose values are not held here.
+                _, pair = _pairs(row, h)
+                at, triple = _triples(row, pair)
+                rest, other = np.flatnonzero(word == a.n), ~three[at]
+                keys = np.concatenate([h[rest], pair[~two], triple[other]])
+                rows = here[np.concatenate([row[rest], row[~two], row[at[other]]])]
+                for k in range(0, len(keys), 1 << 18):
+                    some = keys[k : k + (1 << 18)]
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[k : k + (1 << 18)]), _signed(some), pa.nulls(len(some), own)], ["uid", "h", "own"])
+
+    def ids(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(held_out(b.column(1).to_pylist()))], ["uid", id_col, "held_out"])
+
+    def sums(some: DataFrame) -> DataFrame:
+        grams = some.select(uid, text_col).mapInArrow(run, "uid long, h long, own struct<total:double,base:double,tokens:long,known:long>")
+        met = grams.alias("g").join(values.alias("v").hint("merge"), (F.col("g.h") == F.col("v.h")) & F.col("g.own").isNull(), "left").where("g.own is not null or v.v is not null")
+        return met.groupBy("g.uid").agg(*(F.sum(F.coalesce(f"own.{o}", f"v.{v}")).alias(o) for o, v in (("total", "v"), ("base", "u"), ("known", "known"))), F.sum("own.tokens").alias("tokens"), F.count("own").alias("m"))
+    parts = [_written(sums(docs.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(TEXT_SHARES)) == k)), "sums") for k in range(TEXT_SHARES)]
+    # Rows with equal id and text have met each other's n-grams too.
+    out = docs.select(uid, id_col).mapInArrow(ids, f"uid long, `{id_col}` {kind}, held_out boolean").join(functools.reduce(DataFrame.unionAll, parts), "uid")
+    n, known = (F.expr(f"{c} div m") for c in ("tokens", "known"))
+    unknown = (n - known) * F.log10(F.lit(0.5 / automaton.scale))
+    return out.select(id_col, "held_out", n.alias("n_tokens"), known.alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") / F.col("m") + unknown).alias("base_score"), (F.col("total") / F.col("m") + unknown).alias("score"))

@@ -286,6 +286,16 @@ def test_language_model_with_a_small_head(docs):
         assert r["base_score"] == pytest.approx(want[r["doc_id"]], rel=1e-9)
 
 
+def test_language_model_does_not_depend_on_what_is_broadcast(docs):
+    """Arcs of rare words, and those beyond the broadcast ones, count like any other."""
+    full = {(r["doc_id"], r["n_tokens"]): r["score"] for r in ngram_lm.score(docs).collect()}
+    for head, arcs in ((5, 3), (0, 0), (40, 1000)):
+        got = ngram_lm.score(docs, head=head, max_arcs=arcs).collect()
+        assert len(got) == len(TEXTS) + 1
+        for r in got:
+            assert r["score"] == pytest.approx(full[r["doc_id"], r["n_tokens"]], rel=1e-9)
+
+
 def test_contexts_add_up_to_one(docs):
     import numpy as np
 
