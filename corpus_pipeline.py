@@ -31,8 +31,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose fitted rate is 0.4 or more."""
-    return mixing.sample(docs, queries.table(spark, sf_dir, "labels"))
+    """Documents as often as their fitted rates say, clean ones once."""
+    return mixing.draw(docs, queries.table(spark, sf_dir, "labels"))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

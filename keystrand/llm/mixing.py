@@ -46,6 +46,8 @@ MAX_LABELLED, MAX_FEATURES = 20_000, 256
 LEAST_SHARE, LEAST_DOCS, LIFT = 0.015, 3, 30.0
 STRAY = (0.98, 0.0196, 0.0004)  # shares of documents with 0, 1, more features of a class that is not theirs
 STEP, RIDGE, STEPS = 0.6, 0.01, 40
+CLEAN = 0.9  # posterior from which draw() takes a document once
+MOST_BROADCAST = 4_000_000  # rows of 16 bytes
 CAPITALS, SYMBOLS = "[A-Z]", "[#*$%&|<>]"
 BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"  # words are runs of letters and of whatever is not ASCII
 
@@ -183,8 +185,29 @@ def rates(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return scored.withColumn("rate", _rate(fit_rates(scored, targets)))
 
 
+def draw(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, float] = TARGETS) -> DataFrame:
+    """The rows of docs, all columns, each as often as its rate says.
+
+    A rate's whole part is a number of copies; a hash of id and text decides about one more, with the
+    odds of the rest, so that the expected tokens are those of the rates.  Clean documents, whose rates
+    are near 1, are taken once (unless the clean target is 0).
+    """
+    since = _scratch.mark()
+    key = F.xxhash64(id_col, text_col)
+    scored = _scratch.write(posteriors(docs.select(id_col, text_col, key.alias("_key")), labels, id_col, text_col, "_key"), "scored")
+    rate = _rate(fit_rates(scored, targets))
+    if targets.get("clean", 0.0) > 0:
+        rate = F.when(F.col("p_clean") >= CLEAN, F.lit(1.0)).otherwise(rate)
+    copies = F.floor(rate + F.pmod(F.xxhash64(F.lit("copies"), "_key"), F.lit(1 << 32)) / (1 << 32)).cast("int").alias("_copies")
+    other = _scratch.write(scored.select("_key", copies).where("_copies <> 1").distinct(), "copies")
+    _scratch.release(since, other)
+    other = F.broadcast(other) if other.count() <= MOST_BROADCAST else other.hint("merge")
+    out = docs.withColumn("_key", key).join(other, "_key", "left")
+    return out.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.coalesce("_copies", F.lit(1)))).alias("_copy")).select(docs.columns)
+
+
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, float] = TARGETS, least: float = 0.4) -> DataFrame:
-    """The rows of docs, all columns, whose rate is `least` at least."""
+    """The rows of docs, all columns, whose rate is `least` at least, once each: a filter that does not meet the targets, as draw() does."""
     since = _scratch.mark()
     scored = _scratch.write(posteriors(docs, labels, id_col, text_col), "scored")
     gone = _scratch.write(scored.withColumn("rate", _rate(fit_rates(scored, targets))).where(F.col("rate") < least).select(id_col).distinct(), "left-out")

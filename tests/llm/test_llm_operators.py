@@ -488,6 +488,27 @@ def test_mixing(spark, docs, empty):
     assert mixing.rates(docs, lb).count() == docs.count()
 
 
+@pytest.mark.parametrize("every", [10, 100])
+def test_mixing_stage_meets_the_targets(spark, tmp_path, every):
+    """One text in ten is low: about a fifth of them stay; one in a hundred: each is there more than once."""
+    import corpus_pipeline
+
+    rng, rows = random.Random(3), []
+    for i in range(2000):
+        w = [f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(60)]
+        rows.append((i, (" | " if i % every == 1 else " ").join(w), "kept"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    spark.createDataFrame([(i, int(i % every != 1), 0) for i, _, _ in rows], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    got = corpus_pipeline.mix(spark, df, f"file://{tmp_path}")
+    assert got.columns == df.columns
+    times = collections.Counter(r["doc_id"] for r in got.collect())
+    assert times == collections.Counter(r["doc_id"] for r in corpus_pipeline.mix(spark, df.repartition(3), f"file://{tmp_path}").collect())
+    assert {times[i] for i, _, _ in rows if i % every != 1} == {1}
+    # A domain's tokens are those of its share in the posteriors, as in the fit.
+    tokens = [(times[r["doc_id"]] * r["n_tokens"], r["p_low"]) for r in mixing.rates(df, spark.read.parquet(f"file://{tmp_path}/labels.parquet")).collect()]
+    assert sum(n * p for n, p in tokens) / sum(n for n, _ in tokens) == pytest.approx(0.02, rel=0.4)
+
+
 # --- html ---------------------------------------------------------------------------------------------------------
 
 
