@@ -532,6 +532,17 @@ def test_html_repeats_on_pages_without_an_article(spark):
     assert {r["page_id"]: r["text"] for r in html.extract(df).collect()} == {i: f"own text {i} of page" for i in range(10)}
 
 
+def test_html_repeats_on_few_pages_of_a_large_host(spark):
+    """A notice on 3 of 6,000 pages of a host, most of which have an article; and a short block on 3."""
+    shared = " ".join(f"boiler{i}" for i in range(12))
+    rows = [(i, f"http://h.example/{i}", f"<div>{shared}</div><p>read more</p><div>own text {i} of page</div>" if i % 2000 == 0 else f"<article>a{i}</article>") for i in range(6000)]
+    rows += [(7000 + i, f"http://other.example/{i}", f"<div>{shared}</div>") for i in range(2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+    assert len(got) == 6002 and got[7000] == got[7001] == shared and got[1] == "a1"
+    assert {got[i] for i in (0, 2000, 4000)} == {f"own text {i} of page" for i in (0, 2000, 4000)}
+
+
 def test_repeated_substrings_against_brute_force():
     rng = random.Random(1)
     streams = [[rng.choice("abcd") for _ in range(rng.randrange(0, 60))] for _ in range(12)]
