@@ -1,61 +1,66 @@
 """Language-model scores by a weighted backoff automaton.
 
-Training counts cover every token of the training documents.  Words, pairs and
-triples (the text start and end are words in them) are counted exactly in
-distributed tables.  Every pair and every triple that occurs `LEAST` times or
-more is an arc, however large the input is.  The automaton's states are the
-contexts (a pair that is an arc, a word, the text start, or nothing); an arc
-carries log10 of the discounted probability, and a failure arc carries the
-context's backoff weight to the next shorter context, at last to the empty one,
-whose arcs are the smoothed unigrams.
-
-Probabilities: unigram p(w) = (c + 0.5) / (N + 0.5 (V + 1)), where one share
-stands for all unknown words; p(w | h) = (c(hw) - D) / c(h) for an arc, else
-backoff(h) p(w | h without its first word), with backoff(h) such that a
-context's probabilities add up to one.
-
-A text's weight is a sum over its n-grams, each taken by itself: a word has its
-unigram weight and its failure arc; a pair that is an arc has what its arc adds
-to the way through the failure arc, and its own failure arc; a triple that is an
-arc has what it adds likewise.  So texts' n-grams are joined with one table of
-values by hash and summed up by text.  Values of the most frequent words and
-arcs are broadcast, `head` and `max_arcs` of them, and need no join; these bounds
-change the cost only, never a score.
-
-Words, n-grams and rows (id and text) are identified by 64-bit hashes.
-
-Edge cases: a null text is empty and consists of its end token; repeated rows
-are scored row by row (and counted in training row by row); without training
-rows all counts are 0; an empty table gives an empty table.
+Every word, pair and triple of the training tokens is counted exactly (the text
+start and end are words in pairs and triples), and every one of them is an arc:
+there is no least count, and no bound on their number.  The automaton's states are
+the contexts seen in training (a pair, a word, the text start, or nothing).  With
+hierarchical Dirichlet smoothing
+
+    p(w)     = (c(w) + 0.5) / (N + 0.5 (V + 1)), one share standing for all unknown words
+    p(w | h) = (c(hw) + K p(w | h')) / (c(h) + K), h' being h without its first word
+
+an arc carries log10 p(w | h), and a state's failure arc, which leads to h',
+carries log10 K / (c(h) + K).  The probabilities of a state add up to one.  K is
+`PRIOR` for contexts of one and of two words.
+
+The model is never in one place.  Texts are cut once into blocks of about
+`BLOCK_TOKENS` tokens, a written table.  Each block asks for the totals of its own
+n-grams: it deals its sorted distinct keys and their counts out to buckets of the
+key space, a bucket sums up what all blocks say of a key, and answers each block
+in the order of its keys.  Pairs and words are asked for first, then those triples
+whose two pairs occur twice or more in all texts (the count of any other follows
+from its own text: it is 1 there if the text is for training, else 0).  With the
+answers a block builds the part of the automaton that its texts can reach, and
+traverses them from left to right: the state of a step is the pair that the step
+before has taken, if it is one of the model, else its word.
+
+What is shuffled grows with the tokens; a key is held once for each block it is in,
+so a frequent one makes no task larger.  Memory of a task is some 200 bytes for
+each token of a block; a single longer text is a block of its own.
+
+Words and n-grams are identified by 64-bit hashes.
+
+Edge cases: a null text is empty and consists of its end token; an id is taken as
+text for its fold, null as "None"; repeated rows are scored row by row (and counted
+in training row by row); without training rows all counts are 0; a text of any
+length is scored whole; columns other than the two named are not looked at; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import functools
+import os
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import _scratch
 from . import _words as W
 
-LEAST = 2  # occurrences of a pair or triple that make it an arc
-HEAD = 1 << 15  # words with ids; their weights are broadcast
-MAX_ARCS = 1 << 18  # pairs, and triples, whose weights are broadcast
-MOST_KEYS = 1_000_000  # n-grams that a task holds before it hands on their counts
-# Triples are counted, and texts scored, a share at a time, so that less of the disk is taken at once.
-TRIPLE_SHARES, TEXT_SHARES = 2, 4
-DISCOUNT = 0.5
+PRIOR = (64.0, 16.0)  # for contexts of one and of two words
+BLOCK_TOKENS = 1 << 20
+BUCKET_KEYS = 1 << 20  # keys of a bucket, counted once for each block they are in
 FOLDS, HELD_OUT = 5, 1
 END = np.uint64(0x9E3779B97F4A7C15)  # stands for the hash of the end token
 START = np.uint64(0xC2B2AE3D27D4EB4F)  # and of the text start as a context
 _A, _B = W.GRAM[14], W.GRAM[15]
-_INVERSE = [np.uint64(pow(int(x), -1, 2**64)) for x in (W._C2, W._C1, _B)]
 
 COLUMNS = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_ANSWERS = "block long, ord int, bucket int, answer binary, kinds long"
 
 
 def held_out(ids: list) -> np.ndarray:
@@ -71,299 +76,273 @@ def _tokens(t: W.Text) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(t.n), n + 1), out
 
 
-def _signed(h: np.ndarray) -> pa.Array:
-    return pa.array(h.view(np.int64))
+def key(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Hash of a pair (of the hashes of a context and a word), or of a triple (of those of its two pairs)."""
+    return W.mix(x * _A + y * _B)
 
 
-def _training(batches):
-    """(row, hash) arrays of the training rows of each block."""
-    for b in batches:
-        for lo, t in W.parts(b.column(1), 1 << 20):
-            row, h = _tokens(t)
-            keep = ~held_out(b.column(0).slice(lo, t.n).to_pylist())[row]
-            yield row[keep], h[keep]
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct keys and how often each occurs."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(np.concatenate([first, [len(keys)]]))
 
 
-def _counted(docs: DataFrame) -> DataFrame:
-    """Counts of the training words, summed up in the tasks first."""
+def pack(x: np.ndarray) -> bytes:
+    """Counts, a byte each; those of 255 and more follow in eight bytes."""
+    return np.minimum(x, 255).astype(np.uint8).tobytes() + x[x >= 255].astype("<i8").tobytes()
 
-    def run(batches):
-        counter = W.Counter()
-        for _, h in _training(batches):
-            if counter.add(h):
-                yield from counter.take()
-        yield from counter.take()
-
-    return docs.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
+def unpack(data: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, "<i8", offset=n)
+    return out
 
-def _key(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Hash of a pair (of the hashes of a context and a word), or of a triple (of those of its two pairs)."""
-    return W.mix(x * _A + y * _B)
 
+class Block:
+    """The tokens of some texts: `vocab` are the distinct hashes, ascending, `word` the place of each token's in them."""
 
-def _second(k: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """y, from _key(x, y) and x: all steps of the hash can be undone."""
-    k = (k ^ (k >> np.uint64(32))) * _INVERSE[0]
-    k = (k ^ (k >> np.uint64(29)) ^ (k >> np.uint64(58))) * _INVERSE[1]
-    return ((k ^ (k >> np.uint64(33))) - x * _A) * _INVERSE[2]
+    def __init__(self, ids: list, sizes: np.ndarray, vocab: np.ndarray, word: np.ndarray):
+        self.ids, self.n, self.vocab, self.word = ids, len(ids), vocab, word
+        self.held = held_out(ids)
+        self.row = np.repeat(np.arange(self.n), sizes)
+        self.train = ~self.held[self.row]
+        self.first = np.ones(len(word), bool)  # tokens that begin a text
+        self.first[1:] = self.row[1:] != self.row[:-1]
+        h = vocab[word]
+        context = np.empty(len(h), np.uint64)
+        context[1:] = h[:-1]
+        context[self.first] = START
+        self.pair = key(context, h)
 
+    def counts(self) -> np.ndarray:
+        """Occurrences of each word."""
+        return np.bincount(self.word, minlength=len(self.vocab))
 
-def _pairs(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Context and key of the pair at each token."""
-    context = np.empty(len(h), np.uint64)
-    context[1:] = h[:-1]
-    context[_starts(row)] = START
-    return context, _key(context, h)
+    def triples(self, twice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the tokens that end a triple both of whose pairs are marked, and its key."""
+        at = np.flatnonzero(twice[1:] & twice[:-1] & ~self.first[1:]) + 1
+        return at, key(self.pair[at - 1], self.pair[at])
 
 
-def _triples(row: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the tokens that end a triple, and its key; pair: keys of the pairs at the tokens."""
-    at = np.flatnonzero(~_starts(row))
-    return at, _key(pair[at - 1], pair[at])
+class Automaton:
+    """The states, arcs and failure arcs that a block's texts can reach.
 
+    State 0 is the empty context, a state of one word (or of the start, the last of them) or a pair has the count of
+    its context; `pair` are the keys of the pairs, ascending, with their counts.
+    """
 
-def _arcs(docs: DataFrame, order: int, share: int = 0, shares: int = 1) -> DataFrame:
-    """(h, x, y, c) of the pairs or triples that are arcs: key, its two halves and count; of those of one share of the keys."""
+    def __init__(self, total: int, kinds: int, starts: int, words: np.ndarray, prior: tuple = PRIOR):
+        """words: training counts of the block's words."""
+        self.scale, self.prior = total + 0.5 * (kinds + 1), prior
+        self.known = words > 0
+        self.unigram = np.log10((words + 0.5) / self.scale)
+        self.context = np.concatenate([words, [starts]])  # of contexts of one word, the text start last
+
+    def step(self, low: np.ndarray, count: np.ndarray, context: np.ndarray, order: int) -> np.ndarray:
+        """log10 weight of the way from a state with this context count: its arc if there is one, else the failure arc and `low`, the weight from the next state."""
+        k = self.prior[order]
+        failure = np.log10(k / (context + k))
+        arc = np.log10((count + k * 10.0**low) / (context + k))
+        return np.where(count > 0, arc, failure + low)
+
+    def traverse(self, b: Block, pairs: np.ndarray, at: np.ndarray, triples: np.ndarray) -> np.ndarray:
+        """Weight of each step; pairs: training counts at all tokens; triples: those at the tokens `at`, whose state is a pair."""
+        out = self.unigram[b.word]
+        word = np.empty(len(b.word), np.int64)  # the state of one word: the token before
+        word[1:] = b.word[:-1]
+        word[b.first] = len(self.context) - 1
+        out = self.step(out, pairs, self.context[word], 0)
+        out[at] = self.step(out[at], triples, pairs[at - 1], 1)
+        return out
+
+
+def blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Texts as blocks of tokens; docs: (id, text)."""
+    kind = docs.schema[0].dataType.simpleString()
 
     def run(batches):
-        keys, first, held = [], [], 0
+        held, size = [], 0
 
         def take():
-            k, x = np.concatenate(keys), np.concatenate(first)
-            by = np.argsort(k)
-            k = k[by]
-            new = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            c = np.diff(np.concatenate([new, [len(k)]]))
-            k, x = k[new], x[by[new]]
-            for lo in range(0, len(k), 1 << 18):
-                yield pa.RecordBatch.from_arrays([_signed(k[lo : lo + (1 << 18)]), _signed(x[lo : lo + (1 << 18)]), pa.array(c[lo : lo + (1 << 18)])], ["h", "x", "c"])
-
-        for row, h in _training(batches):
-            x, k = _pairs(row, h)
-            if order == 3:
-                at, triple = _triples(row, k)
-                x, k = k[at - 1], triple
-            if shares > 1:
-                mine = k % np.uint64(shares) == np.uint64(share)
-                x, k = x[mine], k[mine]
-            keys.append(k)
-            first.append(x)
-            held += len(k)
-            if held >= MOST_KEYS:
-                yield from take()
-                keys, first, held = [], [], 0
-        if held:
-            yield from take()
+            ids = pa.concat_arrays([x[0] for x in held])
+            sizes, h = (np.concatenate([x[k] for x in held]) for k in (1, 2))
+            vocab, _ = distinct(h)
+            train = ~held_out(ids.to_pylist())
+            columns = [
+                pa.array([int.from_bytes(os.urandom(8), "big") >> 1]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+                *(pa.array([x.tobytes()], pa.binary()) for x in (sizes.astype("<i8"), vocab, np.searchsorted(vocab, h).astype("<u4"))),
+                pa.array([int(sizes[train].sum())]), pa.array([int(train.sum())]), pa.array([len(h)]),
+            ]
+            return pa.RecordBatch.from_arrays(columns, ["block", "ids", "sizes", "vocab", "words", "train_tokens", "train_docs", "n"])
 
-    def halves(batches):
         for b in batches:
-            h, x = (b.column(i).to_numpy().view(np.uint64) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _signed(_second(h, x)), b.column(2)], ["h", "x", "y", "c"])
-
-    counted = docs.mapInArrow(run, "h long, x long, c long").groupBy("h").agg(F.max("x").alias("x"), F.sum("c").alias("c"))
-    return counted.where(F.col("c") >= LEAST).mapInArrow(halves, "h long, x long, y long, c long")
+            for lo, t in W.parts(b.column(1), 1 << 20):
+                row, h = _tokens(t)
+                held.append((b.column(0).slice(lo, t.n), np.bincount(row, minlength=t.n), h))
+                size += len(h)
+                if size >= block_tokens:
+                    yield take()
+                    held, size = [], 0
+        if held:
+            yield take()
 
+    return docs.mapInArrow(W.lean(run), f"block long, ids array<{kind}>, sizes binary, vocab binary, words binary, train_tokens long, train_docs long, n long")
 
-class Words:
-    """Ids of the head words: 0 .. n-1 by ascending hash (the end token is one of them), n for any other word, n + 1 for the text start as a context."""
 
-    def __init__(self, head: np.ndarray):
-        self.head, self.n = head, len(head)
+def _block(r: dict) -> Block:
+    return Block(r["ids"], np.frombuffer(r["sizes"], "<i8"), np.frombuffer(r["vocab"], np.uint64), np.frombuffer(r["words"], "<u4").astype(np.int64))
 
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        at, held = _find(self.head, h)
-        return np.where(held, at, self.n)
 
-    def pairs(self, row: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """context * (n + 2) + word of every step; the context is the word before."""
-        context = np.empty(len(word), np.int64)
-        context[1:] = word[:-1]
-        context[_starts(row)] = self.n + 1
-        return context * (self.n + 2) + word
+def _rows(batches, *names: str):
+    for b in batches:
+        columns = [b.column(b.schema.get_field_index(n)) for n in names]
+        for i in range(b.num_rows):
+            yield {n: c[i].as_py() for n, c in zip(names, columns, strict=True)}
+
+
+def _groups(rows, *names: str):
+    """Runs of rows that agree in the named columns."""
+    held: list[dict] = []
+    for r in rows:
+        if held and any(held[0][n] != r[n] for n in names):
+            yield held
+            held = []
+        held.append(r)
+    if held:
+        yield held
+
+
+_ASKED = "block long, ord int, bucket int, keys binary, every binary, held binary"
+
+
+def _ask(block: int, order: int, keys: np.ndarray, every: np.ndarray, held: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Rows of what a block asks for, one for each bucket that has keys of it; keys ascend, and so do the buckets."""
+    edges = np.array([-(-(k << 32) // buckets) << 32 for k in range(1, buckets)], np.uint64)
+    cut = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+    some = np.flatnonzero(np.diff(cut))
+    slices = [slice(*x) for x in zip(cut[some].tolist(), cut[some + 1].tolist(), strict=True)]
+    data = [[keys[s].tobytes() for s in slices], [pack(every[s]) for s in slices], [pack(held[s]) for s in slices]]
+    n = len(some)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.full(n, order), pa.int32()), pa.array(some, pa.int32()), *(pa.array(x, pa.binary()) for x in data)], [c.split()[0] for c in _ASKED.split(", ")])
+
+
+def _counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, their occurrences and those outside of training."""
+    found, every = distinct(keys)
+    held = np.bincount(np.searchsorted(found, keys[~train]), minlength=len(found))
+    return found, every, held
+
+
+def _sum_up(batches):
+    """The answers of each bucket: 2 c + (1 if it occurs twice or more in all texts) for each key of a block, in the order of its keys; c: occurrences in training."""
+    names = [c.split()[0] for c in _ANSWERS.split(", ")]
+    for rows in _groups(_rows(batches, "block", "ord", "bucket", "keys", "every", "held"), "ord", "bucket"):
+        size = [len(r["keys"]) // 8 for r in rows]
+        keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows])
+        every, held = (np.concatenate([unpack(r[c], n) for r, n in zip(rows, size, strict=True)]) for c in ("every", "held"))
+        by = np.argsort(keys)
+        keys = keys[by]
+        new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        every, held = np.add.reduceat(every[by], new), np.add.reduceat(held[by], new)
+        train = every - held
+        answer = np.empty(len(keys), np.int64)
+        answer[by] = np.repeat(2 * train + (every > 1), np.diff(np.concatenate([new, [len(keys)]])))
+        cut = np.cumsum([0, *size]).tolist()
+        kinds = np.zeros(len(rows), np.int64)
+        kinds[0] = (train > 0).sum()
+        n = len(rows)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r["block"] for r in rows]), pa.array([rows[0]["ord"]] * n, pa.int32()), pa.array([rows[0]["bucket"]] * n, pa.int32()), pa.array([pack(answer[a:z]) for a, z in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.array(kinds)], names
+        )
+
+
+def _answers(asked: DataFrame) -> DataFrame:
+    dealt = asked.repartition("ord", "bucket").sortWithinPartitions("ord", "bucket")
+    out = _scratch.write(dealt.mapInArrow(W.lean(_sum_up), _ANSWERS), "answers")
+    asked.sparkSession.sparkContext._jvm.System.gc()  # the shuffle files of what was asked can go
+    return out
 
 
-def _starts(row: np.ndarray) -> np.ndarray:
-    first = np.ones(len(row), bool)
-    first[1:] = row[1:] != row[:-1]
-    return first
+def _met(table: DataFrame, *answers: DataFrame) -> DataFrame:
+    """Each block, then the answers to it, by order and bucket."""
+    none = [F.lit(None).cast(t).alias(c) for c, t in table.select("ids", "sizes", "vocab", "words").dtypes]
+    out = table.select("block", F.lit(0).alias("ord"), F.lit(0).alias("bucket"), "ids", "sizes", "vocab", "words", F.lit(None).cast("binary").alias("answer"))
+    for a in answers:
+        out = out.unionAll(a.select("block", "ord", "bucket", *none, "answer"))
+    return out.repartition("block").sortWithinPartitions("block", "ord", "bucket")
 
 
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place of each wanted key in ascending keys, and whether it is there."""
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
+def _answered(batches):
+    """(block, its answers by order) of each block."""
+    for rows in _groups(_rows(batches, "block", "ord", "ids", "sizes", "vocab", "words", "answer"), "block"):
+        parts: dict[int, list[bytes]] = {}
+        for r in rows[1:]:
+            parts.setdefault(r["ord"], []).append(r["answer"])
+        yield rows[0]["block"], _block(rows[0]), parts
 
 
-class Automaton:
-    """The most frequent states with arcs and failure arcs, as arrays.
+def _values(parts: list[bytes], cuts: np.ndarray) -> np.ndarray:
+    """Answers of all buckets; cuts: how many keys each bucket that has any was asked for."""
+    return np.concatenate([unpack(p, n) for p, n in zip(parts, cuts.tolist(), strict=True)] or [np.zeros(0, np.int64)])
 
-    States are the empty context, contexts of one word (`pair` holds their arcs, context * (n + 2) + word,
-    ascending) and contexts of two words that are themselves an arc (`triple` holds theirs, number of
-    the arc * (n + 2) + word).  A failure arc leads to the state of the context's last word, or to the
-    empty context, and carries the backoff weight.  `pair_gain` and `triple_gain` are what an arc adds to
-    the weight of the way through its state's failure arc.
-    """
 
-    def __init__(self, words: Words, scale: float, unigram: np.ndarray, failure: np.ndarray, pairs: tuple, triples: tuple):
-        """pairs: key, context, gain and failure of arcs; triples: key, key of the first pair, gain. Those not made of words with ids are left out."""
-        self.words, self.n, self.scale, self.failure = words, words.n, scale, failure
-        self.unigram = np.concatenate([unigram, [0.0]])
-        m = self.n + 2
-        key, context, gain, back = pairs
-        second = _second(key, context)
-        code = np.where(context == START, self.n + 1, words.ids(context)) * m + words.ids(second)
-        own = np.flatnonzero((code // m != self.n) & (code % m != self.n))
-        own = own[np.argsort(code[own])]
-        self.pair, self.pair_gain, self.pair_failure = code[own], gain[own], back[own]
-        by_key = own[np.argsort(key[own])]
-        place = np.empty(len(key), np.int64)
-        place[own] = np.arange(len(own))
-        key3, first, gain3 = triples
-        at, held = _find(key[by_key], first)
-        key3, first, gain3, at = key3[held], first[held], gain3[held], by_key[at[held]]
-        word = words.ids(_second(_second(key3, first), second[at]))
-        code, good = place[at] * m + word, word != self.n
-        order = np.argsort(code[good])
-        self.triple, self.triple_gain = code[good][order], gain3[good][order]
-
-    def steps(self, row: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """log10 weight of each step as far as it is held here, and whether its pair and its triple are."""
-        m = self.n + 2
-        pair = self.words.pairs(row, word)
-        at, two = _find(self.pair, pair)
-        state = np.full(len(word), -1)  # the arc that the step before took, if it took one
-        state[1:] = np.where(two, at, -1)[:-1]
-        state[_starts(row)] = -1
-        deep = state >= 0
-        spot, three = _find(self.triple, state * m + word)
-        three &= deep & (word < self.n)
-        step = self.unigram[word] + self.failure[pair // m]
-        step[two] += self.pair_gain[at[two]]
-        step[deep] += self.pair_failure[state[deep]]
-        step[three] += self.triple_gain[spot[three]]
-        return step, two, three
-
-    def traverse(self, row: np.ndarray, word: np.ndarray) -> np.ndarray:
-        return self.steps(row, word)[0]
-
-
-def _frequent(table: DataFrame, most: int, *columns: str) -> list[np.ndarray]:
-    """Columns of the rows with the largest counts, at most `most` of them."""
-    least, held = LEAST, 0
-    for r in table.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).toLocalIterator():
-        if held + r["n"] > most:
-            least = r["c"] + 1
-            break
-        held += r["n"]
-    rows = table.where(F.col("c") >= least).select(*columns).toPandas()
-    return [rows[c].to_numpy(np.int64).view(np.uint64) if c in ("h", "x") else rows[c].to_numpy(float) for c in columns]
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """A table; the shuffle files that made it can go at once."""
-    out = _scratch.write(df, name)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+def _sizes(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Keys in each bucket that has any."""
+    which = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    return distinct(which)[1]
 
 
-def _backoff(arcs: DataFrame) -> DataFrame:
-    """(x, f): log10 of what a context leaves over what its arcs' words have in the state below; arcs has p and low."""
-    rest = lambda c: F.greatest(F.lit(1e-12), 1 - F.sum(c))
-    return arcs.groupBy("x").agg(F.log10(rest("p") / rest("low")).alias("f"))
-
-
-def _model(docs: DataFrame, head: int, max_arcs: int) -> tuple[Automaton, DataFrame, int]:
-    """The most frequent part, the table (h, v, u, known) of all values, and the number of training tokens."""
-    counts = _written(_counted(docs), "unigrams")
-    total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    end = counts.where(F.col("h") == int(END.view(np.int64))).first()
-    scale, starts = total + 0.5 * (kinds + 1), end["c"] if end else 1
-
-    arcs = _written(_arcs(docs, 2), "pairs")
-    pairs = arcs.join(counts.select(F.col("h").alias("x"), F.col("c").alias("cx")), "x", "left").join(counts.select(F.col("h").alias("y"), F.col("c").alias("cy")), "y")
-    pairs = _written(pairs.select("h", "x", "c", ((F.col("c") - DISCOUNT) / F.coalesce("cx", F.lit(starts))).alias("p"), ((F.col("cy") + 0.5) / scale).alias("low")), "pairs")
-    _scratch.drop(arcs)
-    failure = _written(_backoff(pairs), "failure")
-    parts = [_written(_arcs(docs, 3, k, TRIPLE_SHARES), "triples") for k in range(TRIPLE_SHARES)]
-    # A triple's two pairs occur as often as it does at least, so both are arcs.
-    triples = functools.reduce(DataFrame.unionAll, parts).join(pairs.select(F.col("h").alias("x"), F.col("c").alias("cx")), "x").join(pairs.select(F.col("h").alias("y"), F.col("p").alias("low")), "y")
-    triples = _written(triples.select("h", "x", "c", ((F.col("c") - DISCOUNT) / F.col("cx")).alias("p"), "low"), "triples")
-    for part in parts:
-        _scratch.drop(part)
-    pair_failure = _written(_backoff(triples), "failure")
-
-    gain = (F.log10("p") - F.col("f") - F.log10("low")).alias("gain")
-    unigram = F.log10((F.col("c") + 0.5) / scale)
-    words = _written(counts.join(failure.withColumnRenamed("x", "h"), "h", "left").select("h", "c", unigram.alias("u"), F.coalesce("f", F.lit(0.0)).alias("f")), "words")
-    before = pairs, triples, counts
-    pairs = pairs.join(failure, "x").select("h", "x", "c", gain).join(pair_failure.withColumnRenamed("x", "h"), "h", "left")
-    pairs = _written(pairs.select("h", "x", "c", "gain", F.coalesce("f", F.lit(0.0)).alias("f")), "pairs")
-    triples = _written(triples.join(pair_failure, "x").select("h", "x", "c", gain), "triples")
-    for table in before:
-        _scratch.drop(table)
-
-    # The most frequent words; ties by hash. Bounded by `head`.
-    top = words.orderBy(F.desc("c"), "h").limit(head).toPandas().sort_values("h", key=lambda h: h.to_numpy(np.int64).view(np.uint64))
-    start = failure.where(F.col("x") == int(START.view(np.int64))).first()
-    back = np.concatenate([top["f"].to_numpy(float), [0.0, start["f"] if start else 0.0]])
-    automaton = Automaton(Words(top["h"].to_numpy(np.int64).view(np.uint64)), scale, top["u"].to_numpy(float), back, _frequent(pairs, max_arcs, "h", "x", "gain", "f"), _frequent(triples, max_arcs, "h", "x", "gain"))
-    zero, no = F.lit(0.0).alias("u"), F.lit(0).alias("known")
-    values = words.select("h", (F.col("u") + F.col("f")).alias("v"), "u", F.lit(1).alias("known"))
-    values = values.unionAll(pairs.select("h", (F.col("gain") + F.col("f")).alias("v"), zero, no)).unionAll(triples.select("h", F.col("gain").alias("v"), zero, no))
-    return automaton, values, int(total)
-
-
-def fit(docs: DataFrame, head: int = HEAD, max_arcs: int = MAX_ARCS) -> tuple[Automaton, DataFrame]:
-    """The automaton's most frequent part and the table (h, v, u, known) of the values of all n-grams; docs: (id, text)."""
-    return _model(docs, head, max_arcs)[:2]
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, max_arcs: int = MAX_ARCS) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: tuple = PRIOR, block_tokens: int = BLOCK_TOKENS, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     """One row for each row of docs, scored by a model of those that are not held out."""
-    docs = docs.select(id_col, text_col)
-    spark = docs.sparkSession
-    automaton, values, total = _model(docs, head, max_arcs)
-    sent = spark.sparkContext.broadcast(automaton)
-    kind = docs.schema[id_col].dataType.simpleString()
-    uid = F.xxhash64(id_col, text_col).alias("uid")
-    own = pa.struct([("total", pa.float64()), ("base", pa.float64()), ("tokens", pa.int64()), ("known", pa.int64())])
-
-    def run(batches):
-        a = sent.value
-        for b in batches:
-            uids = b.column(0).to_numpy()
-            for lo, t in W.parts(b.column(1), 1 << 20):
-                here = uids[lo : lo + t.n]
-                row, h = _tokens(t)
-                word = a.words.ids(h)
-                step, two, three = a.steps(row, word)
-                sums = [np.bincount(row, weights=x, minlength=t.n).astype(float) for x in (step, a.unigram[word])] + [np.bincount(row[x], minlength=t.n) for x in (word >= 0, word < a.n)]
-                # A row for what the text has by itself; its hash only deals it out.
-                yield pa.RecordBatch.from_arrays([pa.array(here), pa.array(here), pa.StructArray.from_arrays([pa.array(x) for x in sums], fields=list(own))], ["uid", "h", "own"])
-                # Rows for the n-grams whose values are not held here.
-                _, pair = _pairs(row, h)
-                at, triple = _triples(row, pair)
-                rest, other = np.flatnonzero(word == a.n), ~three[at]
-                keys = np.concatenate([h[rest], pair[~two], triple[other]])
-                rows = here[np.concatenate([row[rest], row[~two], row[at[other]]])]
-                for k in range(0, len(keys), 1 << 18):
-                    some = keys[k : k + (1 << 18)]
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[k : k + (1 << 18)]), _signed(some), pa.nulls(len(some), own)], ["uid", "h", "own"])
-
-    def ids(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(held_out(b.column(1).to_pylist()))], ["uid", id_col, "held_out"])
-
-    def sums(some: DataFrame) -> DataFrame:
-        grams = some.select(uid, text_col).mapInArrow(run, "uid long, h long, own struct<total:double,base:double,tokens:long,known:long>")
-        met = grams.alias("g").join(values.alias("v").hint("merge"), (F.col("g.h") == F.col("v.h")) & F.col("g.own").isNull(), "left").where("g.own is not null or v.v is not null")
-        return met.groupBy("g.uid").agg(*(F.sum(F.coalesce(f"own.{o}", f"v.{v}")).alias(o) for o, v in (("total", "v"), ("base", "u"), ("known", "known"))), F.sum("own.tokens").alias("tokens"), F.count("own").alias("m"))
-    parts = [_written(sums(docs.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(TEXT_SHARES)) == k)), "sums") for k in range(TEXT_SHARES)]
-    # Rows with equal id and text have met each other's n-grams too.
-    out = docs.select(uid, id_col).mapInArrow(ids, f"uid long, `{id_col}` {kind}, held_out boolean").join(functools.reduce(DataFrame.unionAll, parts), "uid")
-    n, known = (F.expr(f"{c} div m") for c in ("tokens", "known"))
-    unknown = (n - known) * F.log10(F.lit(0.5 / automaton.scale))
-    return out.select(id_col, "held_out", n.alias("n_tokens"), known.alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") / F.col("m") + unknown).alias("base_score"), (F.col("total") / F.col("m") + unknown).alias("score"))
+    since = _scratch.mark()
+    kind, arrow_kind = docs.schema[id_col].dataType.simpleString(), to_arrow_type(docs.schema[id_col].dataType)
+    # Pages of the files are small, so that few blocks are in memory at once.
+    table = _scratch.write(blocks(docs.select(id_col, text_col), block_tokens), "blocks", **{"parquet.block.size": 16 << 20})
+    total, starts, tokens = (int(x or 0) for x in table.agg(F.sum("train_tokens"), F.sum("train_docs"), F.sum("n")).first())
+    buckets = max(32, -(-tokens // bucket_keys))
+
+    def ask(batches):
+        for r in _rows(batches, "block", "ids", "sizes", "vocab", "words"):
+            b = _block(r)
+            every = b.counts()
+            yield _ask(r["block"], 1, b.vocab, every, np.bincount(b.word[~b.train], minlength=len(every)), buckets)
+            yield _ask(r["block"], 2, *_counted(b.pair, b.train), buckets)
+
+    first = _answers(table.mapInArrow(W.lean(ask), _ASKED))
+    kinds = int(first.where("ord = 1").agg(F.sum("kinds")).first()[0] or 0)
+
+    def pairs(b, parts):
+        """Training counts of the pairs at all tokens, and whether they occur twice or more at all."""
+        keys, _ = distinct(b.pair)
+        value = _values(parts[2], _sizes(keys, buckets))[np.searchsorted(keys, b.pair)]
+        return value >> 1, (value & 1).astype(bool)
+
+    def ask_triples(batches):
+        for block, b, parts in _answered(batches):
+            at, keys = b.triples(pairs(b, parts)[1])
+            yield _ask(block, 3, *_counted(keys, b.train[at]), buckets)
+
+    second = _answers(_met(table, first).mapInArrow(W.lean(ask_triples), _ASKED))
+
+    def traverse(batches):
+        for _, b, parts in _answered(batches):
+            a = Automaton(total, kinds, starts, _values(parts[1], _sizes(b.vocab, buckets)) >> 1, prior)
+            count, twice = pairs(b, parts)
+            at, keys = b.triples(twice)
+            found, _ = distinct(keys)
+            triple = b.train.astype(np.int64)  # of a triple that is asked for by nobody
+            triple[at] = _values(parts.get(3, []), _sizes(found, buckets))[np.searchsorted(found, keys)] >> 1
+            at = np.flatnonzero(~b.first[1:] & (count[:-1] > 0)) + 1
+            step = a.traverse(b, count, at, triple[at])
+            yield b, a, step
+
+    def result(batches):
+        for b, a, step in traverse(batches):
+            n, known = np.bincount(b.row, minlength=b.n), np.bincount(b.row[a.known[b.word]], minlength=b.n)
+            sums = [np.bincount(b.row, weights=x, minlength=b.n).astype(float) for x in (a.unigram[b.word], step)]
+            yield pa.RecordBatch.from_arrays([pa.array(b.ids, arrow_kind), pa.array(b.held), pa.array(n), pa.array(known), pa.array(np.full(b.n, total)), *map(pa.array, sums)], [id_col, *(c.split()[0] for c in COLUMNS.split(", "))])
+
+    out = _met(table, first, second).mapInArrow(W.lean(result), f"`{id_col}` {kind}, {COLUMNS}")
+    _scratch.release(since, table, first, second)
+    return out

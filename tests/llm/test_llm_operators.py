@@ -223,97 +223,77 @@ def test_cuts_follow_the_contents():
 # --- language model -----------------------------------------------------------------------
 
 
-def plain_lm(rows, head, max_arcs):
+def plain_lm(rows, prior=ngram_lm.PRIOR):
+    """Training counts by n-gram, and p(word | context) by the recursion that the failure arcs unroll."""
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows}
     toks = [(i, [*words(x.translate(LOWER)), "\0end"]) for i, x in rows]
-    c = collections.Counter(w for i, t in toks if not held[i] for w in t)
-    n, v = sum(c.values()), len(c)
-    base = lambda t: math.log10((c[t] + 0.5) / (n + 0.5 * (v + 1)))
-    return held, toks, c, n, base
+    c, starts = collections.Counter(), 0
+    for i, t in toks:
+        if not held[i]:
+            starts += 1
+            c.update((w,) for w in t)
+            c.update(zip([None, *t], t))
+            c.update(zip([None, *t], t, t[1:]))
+    n, v = sum(x for k, x in c.items() if len(k) == 1), sum(len(k) == 1 for k in c)
+
+    def p(h, w):
+        if not h:
+            return (c[w,] + 0.5) / (n + 0.5 * (v + 1))
+        seen = starts if h == (None,) else c[h]
+        k = prior[len(h) - 1]
+        return (c[*h, w] + k * p(h[1:], w)) / (seen + k)
 
+    return held, toks, c, n, p
 
-def test_language_model(docs, empty):
+
+@pytest.mark.parametrize("options", [{}, {"block_tokens": 40, "bucket_keys": 64}, {"prior": (4.0, 1.0), "block_tokens": 1}])
+def test_language_model(docs, empty, options):
     got = {}
-    for r in ngram_lm.score(docs).collect():
+    for r in ngram_lm.score(docs, **options).collect():
         got.setdefault(r["doc_id"], []).append(r)
-    held, toks, c, n, base = plain_lm(each(docs), 0, 0)
+    held, toks, c, n, p = plain_lm(each(docs), options.get("prior", ngram_lm.PRIOR))
     assert sum(map(len, got.values())) == len(toks)
-    pairs, triples, starts = collections.Counter(), collections.Counter(), 0
     for i, t in toks:
-        if not held[i]:
-            starts += 1
-            pairs.update(zip([None, *t], t))
-    pairs = {k: x for k, x in pairs.items() if x > 1}
+        r = next(x for x in got[i] if x["n_tokens"] == len(t))
+        assert (r["held_out"], r["n_known"], r["train_tokens"]) == (held[i], sum(c[w,] > 0 for w in t), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10(p((), w)) for w in t), rel=1e-9)
+        want = sum(math.log10(p((a, b) if k else (b,), w)) for k, (a, b, w) in enumerate(zip([0, None, *t], [None, *t], t)))
+        assert r["score"] == pytest.approx(want, rel=1e-9)
+    assert ngram_lm.score(empty, **options).count() == 0
+
+
+def test_language_model_of_a_table(spark):
+    """All of the smallest table, with the default settings."""
+    df = queries.table(spark, "/root/testdata/sf0.001", "documents")
+    got = {r["doc_id"]: r for r in ngram_lm.score(df).collect()}
+    _, toks, _, _, p = plain_lm([(r["doc_id"], r["text"] or "") for r in df.collect()])
     for i, t in toks:
-        if not held[i]:
-            triples.update(x for x in zip([None, *t], t, t[1:]) if x[:2] in pairs)
-    triples = {k: x for k, x in triples.items() if x > 1}
-    context = {**{(w,): x for w, x in c.items()}, (None,): starts, **pairs}
-    arcs = {k: math.log10((x - ngram_lm.DISCOUNT) / context[k[:-1]]) for k, x in (pairs | triples).items()}
-
-    def weight(h, w):
-        """By the recursion that the failure arcs unroll."""
-        if (*h, w) in arcs:
-            return arcs[*h, w]
-        return backoff(h) + weight(h[1:], w) if h else base(w)
-
-    def backoff(h):
-        mine = [k for k in arcs if k[:-1] == h]
-        if not mine:
-            return 0.0
-        return math.log10((1 - sum(10 ** arcs[k] for k in mine)) / (1 - sum(10 ** weight(h[1:], k[-1]) for k in mine)))
-
-    cache = {}
-    plain_backoff = backoff
-    backoff = lambda h: cache[h] if h in cache else cache.setdefault(h, plain_backoff(h))
-    for i, t in toks:
-        r = got[i][0]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(t), sum(c[w] > 0 for w in t), n)
-        assert r["base_score"] == pytest.approx(sum(map(base, t)), rel=1e-9)
-        want = sum(weight((a, b) if (a, b) in pairs else (b,), w) for a, b, w in zip([0, None, *t], [None, *t], t))
-        assert r["score"] == pytest.approx(want, rel=1e-6)
-    assert ngram_lm.score(empty).count() == 0
-
-
-def test_language_model_with_a_small_head(docs):
-    """Words outside the head are joined; base scores stay exact."""
-    full = by_id(ngram_lm.score(docs), "n_tokens", "n_known")
-    small = ngram_lm.score(docs, head=5, max_arcs=3)
-    assert by_id(small, "n_tokens", "n_known") == full
-    _, toks, _, _, base = plain_lm(each(docs), 0, 0)
-    want = {i: sum(map(base, t)) for i, t in toks}
-    for r in small.collect():
-        assert r["base_score"] == pytest.approx(want[r["doc_id"]], rel=1e-9)
-
-
-def test_language_model_does_not_depend_on_what_is_broadcast(docs):
-    """Arcs of rare words, and those beyond the broadcast ones, count like any other."""
-    full = {(r["doc_id"], r["n_tokens"]): r["score"] for r in ngram_lm.score(docs).collect()}
-    for head, arcs in ((5, 3), (0, 0), (40, 1000)):
-        got = ngram_lm.score(docs, head=head, max_arcs=arcs).collect()
-        assert len(got) == len(TEXTS) + 1
-        for r in got:
-            assert r["score"] == pytest.approx(full[r["doc_id"], r["n_tokens"]], rel=1e-9)
-
-
-def test_contexts_add_up_to_one(docs):
+        want = sum(math.log10(p((a, b) if k else (b,), w)) for k, (a, b, w) in enumerate(zip([0, None, *t], [None, *t], t)))
+        assert got[i]["score"] == pytest.approx(want, rel=1e-9)
+
+
+def test_states_add_up_to_one(docs):
+    _, _, c, _, p = plain_lm(each(docs))
+    vocabulary = [*(k[0] for k in c if len(k) == 1), "\0unknown"]
+    for h in ((), (None,), ("a",), ("a", "b"), (None, "a"), ("same", "line"), ("never", "seen")):
+        assert sum(p(h, w) for w in vocabulary) == pytest.approx(1, rel=1e-9)
+
+
+def test_copies_in_training_score_apart(spark):
+    """A held-out text that the training texts hold too scores far above one that they do not."""
+    rng = random.Random(5)
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 1]
+    rows = {i: " ".join(f"w{rng.randrange(3000)}" for _ in range(200)) for i in range(400)}
+    rows[next(i for i in rows if i not in held)] = rows[held[0]]
+    got = {r["doc_id"]: r["score"] / r["n_tokens"] for r in ngram_lm.score(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()}
+    assert got[held[0]] > max(got[i] for i in held[1:]) + 0.5
+
+
+def test_counts_are_packed():
     import numpy as np
 
-    a, _ = ngram_lm.fit(docs.select("doc_id", "text"))
-    rest = 0.5 / a.scale  # the share of unknown words
-
-    def total(before):
-        words = np.array([[*before, w] for w in range(a.n)])
-        row = np.repeat(np.arange(a.n), words.shape[1])
-        return (10 ** a.traverse(row, words.ravel()).reshape(words.shape)[:, -1]).sum()
-
-    m = a.n + 2
-    assert total([]) + rest * 10 ** a.failure[a.n + 1] == pytest.approx(1.0, rel=1e-6)
-    assert total([a.n]) + rest == pytest.approx(1.0, rel=1e-6)
-    assert len(a.triple) > 5
-    for k in sorted(set((a.triple // m)[:: max(1, len(a.triple) // 7)].tolist())):
-        h, w = divmod(int(a.pair[k]), m)
-        assert total([w] if h == a.n + 1 else [h, w]) + rest * 10 ** (a.pair_failure[k] + a.failure[w]) == pytest.approx(1.0, rel=1e-6)
+    x = np.array([0, 1, 254, 255, 256, 2**40, 3, 255])
+    assert ngram_lm.unpack(ngram_lm.pack(x), len(x)).tolist() == x.tolist()
 
 
 # --- token counts ------------------------------------------------------------------------------
