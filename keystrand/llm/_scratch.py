@@ -9,11 +9,14 @@ folder is taken.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 _own: dict[str, str] = {}
 
@@ -37,9 +40,13 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def write(df: DataFrame, name: str, path: str | None = None, **options) -> DataFrame:
-    """Writes df to the shared folder and reads it back with the same schema."""
+def write(df: DataFrame, name: str, path: str | None = None, small: bool = False, **options) -> DataFrame:
+    """Writes df to the shared folder and reads it back with the same schema.
+
+    small: for what is small beside the work that makes it; it is brought together into as few files as its size asks for.
+    """
     spark = df.sparkSession
+    df = df.hint("rebalance") if small else df
     path = path or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -53,6 +60,18 @@ def drop(df: DataFrame) -> None:
     delete(df.sparkSession, df._keystrand_path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more.
+
+    Spark does so when the driver's garbage is collected; what one collection finds unused is free
+    for good after the next.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
 def mark() -> int:
     return len(_written)
 
@@ -65,14 +84,16 @@ def release(since: int, *keep: DataFrame) -> None:
     _written[since:] = [x for x in _written[since:] if x[1] in kept]
 
 
-def by_ids(df: DataFrame, id_col: str, ids: DataFrame, how: str, most: int = 4_000_000) -> DataFrame:
+def by_ids(df: DataFrame, id_col: str, ids: DataFrame, how: str, most: int = 64 << 20) -> DataFrame:
     """df left_semi or left_anti joined with ids (one column named like id_col).
 
-    ids must be cheap to count (a written table).  Up to `most` of them (32 MB of long ids) are
-    broadcast, so that df is not shuffled; more go through a shuffle join.
+    ids must be cheap to count (a written table).  Up to `most` bytes of them are broadcast, so that
+    df is not shuffled; more go through a shuffle join.
     """
-    few = ids.count() <= most
-    return df.join(F.broadcast(ids) if few else ids.hint("merge"), id_col, how)
+    column = F.col(f"`{id_col}`")
+    wide = isinstance(ids.schema[id_col].dataType, (StringType, BinaryType))
+    size = ids.agg(F.coalesce(F.sum(F.lit(16) + (F.coalesce(F.octet_length(column), F.lit(0)) if wide else F.lit(0))), F.lit(0))).first()[0]
+    return df.join(F.broadcast(ids) if size <= most else ids.hint("merge"), id_col, how)
 
 
 _written: list = []

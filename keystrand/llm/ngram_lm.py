@@ -52,7 +52,7 @@ from . import _scratch
 from . import _words as W
 
 PRIOR = (64.0, 16.0)  # for contexts of one and of two words
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 19
 BUCKET_KEYS = 1 << 20  # keys of a bucket, counted once for each block they are in
 FOLDS, HELD_OUT = 5, 1
 END = np.uint64(0x9E3779B97F4A7C15)  # stands for the hash of the end token
@@ -99,8 +99,40 @@ def unpack(data: bytes, n: int) -> np.ndarray:
     return out
 
 
+_LOW = (1 << 48) - 1
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as six bytes of each one's distance to the one before; larger distances follow in eight bytes."""
+    step = np.diff(keys, prepend=np.uint64(0))
+    return np.minimum(step, np.uint64(_LOW)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() + step[step >= _LOW].astype("<u8").tobytes()
+
+
+def unpack_keys(data: bytes, n: int) -> np.ndarray:
+    step = np.zeros((n, 8), np.uint8)
+    step[:, :6] = np.frombuffer(data, np.uint8, 6 * n).reshape(n, 6)
+    step = step.view("<u8").ravel()
+    step[step == _LOW] = np.frombuffer(data[6 * n :], "<u8")
+    return np.cumsum(step, dtype=np.uint64)
+
+
+def pack_words(word: np.ndarray) -> bytes:
+    """Small numbers, compressed byte by byte of their places."""
+    import zstandard
+
+    planes = np.ascontiguousarray(word.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack_words(data: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
 class Block:
-    """The tokens of some texts: `vocab` are the distinct hashes, ascending, `word` the place of each token's in them."""
+    """The tokens of some texts: `vocab` are the distinct hashes, `word` the place of each token's in them."""
 
     def __init__(self, ids: list, sizes: np.ndarray, vocab: np.ndarray, word: np.ndarray):
         self.ids, self.n, self.vocab, self.word = ids, len(ids), vocab, word
@@ -128,8 +160,8 @@ class Block:
 class Automaton:
     """The states, arcs and failure arcs that a block's texts can reach.
 
-    State 0 is the empty context, a state of one word (or of the start, the last of them) or a pair has the count of
-    its context; `pair` are the keys of the pairs, ascending, with their counts.
+    States are the empty context, one for each word of the block and for the text start (the last of
+    `context`, which holds how often each was seen in training), and one for each pair.
     """
 
     def __init__(self, total: int, kinds: int, starts: int, words: np.ndarray, prior: tuple = PRIOR):
@@ -158,7 +190,7 @@ class Automaton:
 
 
 def blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Texts as blocks of tokens; docs: (id, text)."""
+    """Texts as blocks of tokens, a row for each; docs: (id, text)."""
     kind = docs.schema[0].dataType.simpleString()
 
     def run(batches):
@@ -167,14 +199,16 @@ def blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
         def take():
             ids = pa.concat_arrays([x[0] for x in held])
             sizes, h = (np.concatenate([x[k] for x in held]) for k in (1, 2))
-            vocab, _ = distinct(h)
+            vocab, count = distinct(h)
+            place = np.empty(len(vocab), np.int64)  # frequent words get small numbers
+            place[np.argsort(-count, kind="stable")] = np.arange(len(vocab))
+            words = place[np.searchsorted(vocab, h)]
+            vocab = vocab[np.argsort(place)]
             train = ~held_out(ids.to_pylist())
-            columns = [
-                pa.array([int.from_bytes(os.urandom(8), "big") >> 1]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
-                *(pa.array([x.tobytes()], pa.binary()) for x in (sizes.astype("<i8"), vocab, np.searchsorted(vocab, h).astype("<u4"))),
-                pa.array([int(sizes[train].sum())]), pa.array([int(train.sum())]), pa.array([len(h)]),
-            ]
-            return pa.RecordBatch.from_arrays(columns, ["block", "ids", "sizes", "vocab", "words", "train_tokens", "train_docs", "n"])
+            data = b"".join([np.array([len(sizes), len(vocab)], "<i8").tobytes(), sizes.astype("<i8").tobytes(), vocab.astype("<u8").tobytes(), pack_words(words)])
+            block = int.from_bytes(os.urandom(8), "big") >> 1
+            columns = [pa.array([block]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([data], pa.binary()), *(pa.array([int(x)]) for x in (sizes[train].sum(), train.sum(), len(h)))]
+            return pa.RecordBatch.from_arrays(columns, ["block", "ids", "data", "train_tokens", "train_docs", "n"])
 
         for b in batches:
             for lo, t in W.parts(b.column(1), 1 << 20):
@@ -187,11 +221,13 @@ def blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
         if held:
             yield take()
 
-    return docs.mapInArrow(W.lean(run), f"block long, ids array<{kind}>, sizes binary, vocab binary, words binary, train_tokens long, train_docs long, n long")
+    return docs.mapInArrow(W.lean(run), f"block long, ids array<{kind}>, data binary, train_tokens long, train_docs long, n long")
 
 
 def _block(r: dict) -> Block:
-    return Block(r["ids"], np.frombuffer(r["sizes"], "<i8"), np.frombuffer(r["vocab"], np.uint64), np.frombuffer(r["words"], "<u4").astype(np.int64))
+    data = r["data"]
+    n, m = np.frombuffer(data, "<i8", 2).tolist()
+    return Block(r["ids"], np.frombuffer(data, "<i8", n, 16), np.frombuffer(data, "<u8", m, 16 + 8 * n), unpack_words(data[16 + 8 * (n + m) :]))
 
 
 def _rows(batches, *names: str):
@@ -213,7 +249,7 @@ def _groups(rows, *names: str):
         yield held
 
 
-_ASKED = "block long, ord int, bucket int, keys binary, every binary, held binary"
+_ASKED = "block long, ord int, bucket int, n int, keys binary, every binary, held binary"
 
 
 def _ask(block: int, order: int, keys: np.ndarray, every: np.ndarray, held: np.ndarray, buckets: int) -> pa.RecordBatch:
@@ -222,9 +258,9 @@ def _ask(block: int, order: int, keys: np.ndarray, every: np.ndarray, held: np.n
     cut = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
     some = np.flatnonzero(np.diff(cut))
     slices = [slice(*x) for x in zip(cut[some].tolist(), cut[some + 1].tolist(), strict=True)]
-    data = [[keys[s].tobytes() for s in slices], [pack(every[s]) for s in slices], [pack(held[s]) for s in slices]]
+    data = [[pack_keys(keys[s]) for s in slices], [pack(every[s]) for s in slices], [pack(held[s]) for s in slices]]
     n = len(some)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.full(n, order), pa.int32()), pa.array(some, pa.int32()), *(pa.array(x, pa.binary()) for x in data)], [c.split()[0] for c in _ASKED.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.full(n, order), pa.int32()), pa.array(some, pa.int32()), pa.array(np.diff(cut)[some], pa.int32()), *(pa.array(x, pa.binary()) for x in data)], [c.split()[0] for c in _ASKED.split(", ")])
 
 
 def _counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -237,9 +273,9 @@ def _counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _sum_up(batches):
     """The answers of each bucket: 2 c + (1 if it occurs twice or more in all texts) for each key of a block, in the order of its keys; c: occurrences in training."""
     names = [c.split()[0] for c in _ANSWERS.split(", ")]
-    for rows in _groups(_rows(batches, "block", "ord", "bucket", "keys", "every", "held"), "ord", "bucket"):
-        size = [len(r["keys"]) // 8 for r in rows]
-        keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows])
+    for rows in _groups(_rows(batches, "block", "ord", "bucket", "n", "keys", "every", "held"), "ord", "bucket"):
+        size = [r["n"] for r in rows]
+        keys = np.concatenate([unpack_keys(r["keys"], n) for r, n in zip(rows, size, strict=True)])
         every, held = (np.concatenate([unpack(r[c], n) for r, n in zip(rows, size, strict=True)]) for c in ("every", "held"))
         by = np.argsort(keys)
         keys = keys[by]
@@ -259,26 +295,23 @@ def _sum_up(batches):
 
 def _answers(asked: DataFrame) -> DataFrame:
     dealt = asked.repartition("ord", "bucket").sortWithinPartitions("ord", "bucket")
-    out = _scratch.write(dealt.mapInArrow(W.lean(_sum_up), _ANSWERS), "answers")
-    asked.sparkSession.sparkContext._jvm.System.gc()  # the shuffle files of what was asked can go
-    return out
+    return _scratch.write(dealt.mapInArrow(W.lean(_sum_up), _ANSWERS), "answers", small=True)
 
 
 def _met(table: DataFrame, *answers: DataFrame) -> DataFrame:
     """Each block, then the answers to it, by order and bucket."""
-    none = [F.lit(None).cast(t).alias(c) for c, t in table.select("ids", "sizes", "vocab", "words").dtypes]
-    out = table.select("block", F.lit(0).alias("ord"), F.lit(0).alias("bucket"), "ids", "sizes", "vocab", "words", F.lit(None).cast("binary").alias("answer"))
+    out = table.select("block", F.lit(0).alias("ord"), F.lit(0).alias("bucket"), "ids", "data")
     for a in answers:
-        out = out.unionAll(a.select("block", "ord", "bucket", *none, "answer"))
+        out = out.unionAll(a.select("block", "ord", "bucket", F.lit(None).cast(table.schema["ids"].dataType).alias("ids"), F.col("answer").alias("data")))
     return out.repartition("block").sortWithinPartitions("block", "ord", "bucket")
 
 
 def _answered(batches):
-    """(block, its answers by order) of each block."""
-    for rows in _groups(_rows(batches, "block", "ord", "ids", "sizes", "vocab", "words", "answer"), "block"):
+    """(block, its tokens, its answers by order) of each block."""
+    for rows in _groups(_rows(batches, "block", "ord", "ids", "data"), "block"):
         parts: dict[int, list[bytes]] = {}
         for r in rows[1:]:
-            parts.setdefault(r["ord"], []).append(r["answer"])
+            parts.setdefault(r["ord"], []).append(r["data"])
         yield rows[0]["block"], _block(rows[0]), parts
 
 
@@ -295,21 +328,20 @@ def _sizes(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: tuple = PRIOR, block_tokens: int = BLOCK_TOKENS, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     """One row for each row of docs, scored by a model of those that are not held out."""
-    since = _scratch.mark()
     kind, arrow_kind = docs.schema[id_col].dataType.simpleString(), to_arrow_type(docs.schema[id_col].dataType)
-    # Pages of the files are small, so that few blocks are in memory at once.
     table = _scratch.write(blocks(docs.select(id_col, text_col), block_tokens), "blocks", **{"parquet.block.size": 16 << 20})
     total, starts, tokens = (int(x or 0) for x in table.agg(F.sum("train_tokens"), F.sum("train_docs"), F.sum("n")).first())
     buckets = max(32, -(-tokens // bucket_keys))
 
     def ask(batches):
-        for r in _rows(batches, "block", "ids", "sizes", "vocab", "words"):
-            b = _block(r)
-            every = b.counts()
-            yield _ask(r["block"], 1, b.vocab, every, np.bincount(b.word[~b.train], minlength=len(every)), buckets)
-            yield _ask(r["block"], 2, *_counted(b.pair, b.train), buckets)
+        for r in _rows(batches, "block", "ids", "data"):
+            block, b = r["block"], _block(r)
+            every, by = b.counts(), np.argsort(b.vocab)
+            yield _ask(block, 1, b.vocab[by], every[by], np.bincount(b.word[~b.train], minlength=len(every))[by], buckets)
+            yield _ask(block, 2, *_counted(b.pair, b.train), buckets)
 
     first = _answers(table.mapInArrow(W.lean(ask), _ASKED))
+    _scratch.tidy(docs.sparkSession)
     kinds = int(first.where("ord = 1").agg(F.sum("kinds")).first()[0] or 0)
 
     def pairs(b, parts):
@@ -324,10 +356,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior
             yield _ask(block, 3, *_counted(keys, b.train[at]), buckets)
 
     second = _answers(_met(table, first).mapInArrow(W.lean(ask_triples), _ASKED))
+    _scratch.tidy(docs.sparkSession)
 
     def traverse(batches):
         for _, b, parts in _answered(batches):
-            a = Automaton(total, kinds, starts, _values(parts[1], _sizes(b.vocab, buckets)) >> 1, prior)
+            by, count = np.argsort(b.vocab), np.empty(len(b.vocab), np.int64)
+            count[by] = _values(parts[1], _sizes(b.vocab, buckets)) >> 1
+            a = Automaton(total, kinds, starts, count, prior)
             count, twice = pairs(b, parts)
             at, keys = b.triples(twice)
             found, _ = distinct(keys)
@@ -343,6 +378,4 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior
             sums = [np.bincount(b.row, weights=x, minlength=b.n).astype(float) for x in (a.unigram[b.word], step)]
             yield pa.RecordBatch.from_arrays([pa.array(b.ids, arrow_kind), pa.array(b.held), pa.array(n), pa.array(known), pa.array(np.full(b.n, total)), *map(pa.array, sums)], [id_col, *(c.split()[0] for c in COLUMNS.split(", "))])
 
-    out = _met(table, first, second).mapInArrow(W.lean(result), f"`{id_col}` {kind}, {COLUMNS}")
-    _scratch.release(since, table, first, second)
-    return out
+    return _met(table, first, second).mapInArrow(W.lean(result), f"`{id_col}` {kind}, {COLUMNS}").hint("rebalance")
