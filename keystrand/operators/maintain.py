@@ -5,27 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keystrand.model import VALUE, WEAK
-from keystrand.operators.resolve import newest
+from keystrand.model import CLEAR, VALUE
+from keystrand.operators.resolve import drop_cleared
 
 KEEP, REMOVE, REPLACE = "keep", "remove", "replace"
 
 
 def compact(log: DataFrame, watermark: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """Rows that some reader at an instant >= watermark can see: (by, key, seqno, kind, value).
+    """Rows that some reader at an instant >= watermark can see: (by, key, seqno, batch_ord, kind, value).
 
-    Rows from the watermark on stay as they are, without a shuffle; below it only
-    the newest row of a key stays, unless it is a tombstone.
+    Rows from the watermark on stay as they are, clears and places in a batch included, without a
+    shuffle; below it only the newest row of a key that no clear below it hides stays, unless it is a
+    tombstone.  A log with clears must have keyspace_id.
     """
-    above = log.where(F.col("seqno") >= watermark).select(*by, "key", "seqno", "kind", "value")
-    below = newest(log, watermark, by=by).where(F.col("kind") == VALUE).select(*by, "key", "seqno", "kind", "value")
-    return above.unionByName(below)
+    log = log if "batch_ord" in log.columns else log.withColumn("batch_ord", F.lit(0))
+    columns = (*by, "key", "seqno", "batch_ord", "kind", "value")
+    above = log.where(F.col("seqno") >= watermark).select(*columns)
+    old = drop_cleared(log, watermark) if "keyspace_id" in log.columns else log.where(F.col("seqno") < watermark)
+    best = old.groupBy(*by, "key").agg(F.max(F.struct("seqno", "batch_ord", "kind", "value")).alias("m"))
+    return above.unionByName(best.where(F.col("m.kind") == VALUE).select(*by, "key", "m.*"))
+
+
+def latest(log: DataFrame) -> DataFrame:
+    """The newest row of each key that no clear hides, tombstones too, and the newest clear: enough to go on from with later rows."""
+    clears = log.where(F.col("kind") == CLEAR).orderBy(F.desc("seqno"), F.desc("batch_ord")).limit(1)
+    rows = drop_cleared(log.withColumn("keyspace_id", F.lit(0)))
+    best = rows.groupBy("key").agg(F.max(F.struct("seqno", "batch_ord", "kind", "value")).alias("m")).select("key", "m.*")
+    return best.unionByName(clears.select(*best.columns))
 
 
 def annihilate_weak(log: DataFrame) -> DataFrame:
-    """Values that no weak tombstone cancels, for keys written once: each pair of V and W goes."""
-    pairs = log.groupBy("key").agg(F.count_if(F.col("kind") == VALUE).alias("n"), F.count_if(F.col("kind") == WEAK).alias("w"), F.max(F.when(F.col("kind") == VALUE, F.struct("seqno", "value"))).alias("v"))
-    return pairs.where("n > w").select("key", F.col("v.value").alias("value"), F.col("v.seqno").alias("seqno"))
+    """(key, value, seqno) of values that no weak tombstone cancels.
+
+    A weak tombstone cancels the one value written before it; a value that is written after it stays.
+    So a key is live if its newest row is a value, which is what the newest row says of any log.
+    """
+    log = log if "batch_ord" in log.columns else log.withColumn("batch_ord", F.lit(0))
+    last = log.groupBy("key").agg(F.max(F.struct("seqno", "batch_ord", "kind", "value")).alias("m"))
+    return last.where(F.col("m.kind") == VALUE).select("key", F.col("m.value").alias("value"), F.col("m.seqno").alias("seqno"))
 
 
 def watermark(leases: DataFrame) -> DataFrame:

@@ -31,13 +31,13 @@ def multi_get(log: DataFrame, keys: DataFrame, instant: int | None = None, colum
 
 
 def contains(log: DataFrame, keys: DataFrame, instant: int | None = None) -> DataFrame:
-    """keys with a column `present`."""
-    live = resolve(log, instant, ()).select("key", F.lit(True).alias("present"))
+    """keys with a column `present`. Only rows of these keys are resolved."""
+    live = multi_get(log, keys, instant, ()).select("key", F.lit(True).alias("present"))
     return keys.join(live, "key", "left").withColumn("present", F.coalesce("present", F.lit(False)))
 
 
 def missing(log: DataFrame, keys: DataFrame, instant: int | None = None) -> DataFrame:
-    return keys.join(resolve(log, instant, ()), "key", "left_anti")
+    return keys.join(multi_get(log, keys, instant, ()).select("key"), "key", "left_anti")
 
 
 def range_(log: DataFrame, bounds: Range, instant: int | None = None, columns: Names = ("value",)) -> DataFrame:

@@ -11,8 +11,11 @@ Layout under the root, on any file system that Spark reaches:
 
 Executors write data files first; creating the manifest file is what makes a
 commit visible, to all its keyspaces at once.  Files that no manifest names are
-ignored by readers and deleted by vacuum().  Two writers that try for the same
-commit number cannot both create the file: the loser sees Conflict.
+ignored by readers and deleted by vacuum().  A manifest file appears by one atomic
+step that fails if the name is taken (a hard link on a local disk, a rename that does
+not overwrite elsewhere), so of two writers of one commit number the loser sees
+Conflict, and a writer that breaks off before that step leaves nothing that blocks
+others.  The file system must have such a rename; plain object stores do not.
 """
 
 from __future__ import annotations
@@ -23,11 +26,12 @@ import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrand import errors
-from keystrand.model import CLEAR, TOMBSTONE, VALUE, WEAK, Range, check_key, check_name
+from keystrand.model import CLEAR, MAX_KEY, TOMBSTONE, VALUE, WEAK, Range, check_key, check_name
 from keystrand.operators import maintain, read
 from keystrand.operators.resolve import drop_cleared
 
@@ -49,7 +53,7 @@ class Files:
     """The few file operations that commits need, through Hadoop's file systems."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.jvm = spark.sparkContext._jvm
+        self.jvm, self._gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
         self.root = root.rstrip("/")
         self.fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -57,7 +61,7 @@ class Files:
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
     def create(self, name: str, text: str) -> bool:
-        """Creates a file with all its contents, or returns False if it exists."""
+        """Makes a file appear with all its contents, or returns False if it exists."""
         target, draft = self._path(name), self._path(f"drafts/{uuid.uuid4().hex}")
         if self.fs.exists(target):
             return False
@@ -65,13 +69,35 @@ class Files:
         out.write(bytearray(text.encode()))
         out.close()
         self.fs.mkdirs(target.getParent())
-        # createNewFile claims the name atomically, where rename over an existing file might succeed.
-        claim = self._path(f"claims/{name}")
-        self.fs.mkdirs(claim.getParent())
-        if not self.fs.createNewFile(claim):
-            self.fs.delete(draft, False)
+        try:
+            self._publish(draft, target)
+        except Py4JJavaError as e:
+            if not self.fs.exists(target):
+                raise
+            if "AlreadyExists" not in str(e.java_exception):
+                raise
             return False
-        return bool(self.fs.rename(draft, target))
+        finally:
+            self.fs.delete(draft, False)
+        return True
+
+    def _publish(self, draft, target) -> None:
+        """Gives the draft its name, or raises if the name is taken."""
+        if self.fs.getScheme() == "file":
+            path = self.jvm.java.nio.file.Paths
+            none = self._gateway.new_array(self.jvm.java.lang.String, 0)
+            self.jvm.java.nio.file.Files.createLink(path.get(target.toUri().getPath(), none), path.get(draft.toUri().getPath(), none))
+            return
+        kinds = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self._gateway.new_array(kinds, 1)
+        how[0] = kinds.NONE
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.fs.getConf()).rename(draft, target, how)
+
+    def put(self, name: str, data: bytes) -> None:
+        """Writes a file of bytes."""
+        out = self.fs.create(self._path(name), True)
+        out.write(bytearray(data))
+        out.close()
 
     def read(self, name: str) -> str:
         source = self.fs.open(self._path(name))
@@ -92,7 +118,6 @@ class Files:
 
     def delete(self, name: str) -> None:
         self.fs.delete(self._path(name), True)
-        self.fs.delete(self._path(f"claims/{name}"), True)
 
 
 class Database:
@@ -165,6 +190,8 @@ class Database:
             self.poisoned = True
             raise
         if not made:
+            for f in [*entry.get("files", []), *entry.get("compacted", [])]:
+                self.files.delete(f["path"])  # written for this commit, and named by none
             raise errors.Conflict("another writer made this commit first")
         self.refresh()
         if len(self._commits) % CHECKPOINT == 0:
@@ -248,12 +275,13 @@ class Database:
 
     def _live_files(self, keyspace: int | None = None) -> list[dict]:
         alive = {k["id"] for k in self._catalogue().values()}
-        out: list[dict] = []
+        out: dict[str, dict] = {}
         for c in self._commits:
             for r in c.get("replaced", []):
-                out = [f for f in out if f["path"] != r]
-            out += [f | {"seqno": c["seqno"]} for f in c.get("files", [])] + c.get("compacted", [])
-        return [f for f in out if f["keyspace"] in alive and keyspace in (None, f["keyspace"])]
+                out.pop(r, None)
+            for f in [f | {"seqno": c["seqno"]} for f in c.get("files", [])] + c.get("compacted", []):
+                out[f["path"]] = f
+        return [f for f in out.values() if f["keyspace"] in alive and keyspace in (None, f["keyspace"])]
 
 
 class Keyspace:
@@ -271,12 +299,16 @@ class Keyspace:
         if found is None or found["id"] != self.id:
             raise errors.KeyspaceDeleted(self.name)
 
-    def log(self, instant: int | None = None) -> DataFrame:
-        """Log rows that clears leave; files of commits at or after the instant are not opened."""
+    def raw(self, instant: int | None = None) -> DataFrame:
+        """All log rows, clears too; files of commits at or after the instant are not opened."""
         files = [f["path"] for f in self.db._live_files(self.id) if instant is None or f["seqno"] < instant]
         reader = self.db.spark.read.schema(self.schema)
         rows = reader.parquet(*(f"{self.db.root}/{p}" for p in files)) if files else self.db.spark.createDataFrame([], self.schema)
-        return drop_cleared(rows.withColumn("keyspace_id", F.lit(self.id)), instant)
+        return rows.withColumn("keyspace_id", F.lit(self.id).cast("long"))
+
+    def log(self, instant: int | None = None) -> DataFrame:
+        """Log rows that the clears before the instant leave."""
+        return drop_cleared(self.raw(instant), instant)
 
     # Reads at the latest instant, or at that of a snapshot.
 
@@ -316,17 +348,35 @@ class Keyspace:
         return self.log().count()
 
     def is_empty(self, at: Snapshot | None = None) -> bool:
-        return read.scan(self.log(_instant(at)), columns=()).isEmpty()
+        """The newest row of all settles it if it is a value; only else are keys brought together."""
+        log = self.log(_instant(at))
+        newest = log.agg(F.max(F.struct("seqno", "batch_ord", "kind")).alias("m")).first()["m"]
+        if newest is None or newest["kind"] == VALUE:
+            return newest is None
+        return read.scan(log, columns=()).isEmpty()
 
     def move_to(self, other: Keyspace, keys: list, at: Snapshot | None = None) -> int | None:
-        """Moves items to another keyspace in one commit; absent keys are left out."""
+        """Moves items to another keyspace in one commit; absent keys are left out. One join finds them all."""
+        wanted = self.db.spark.createDataFrame([(k,) for k in dict.fromkeys(keys)], f"key {self.entry['key']}")
         batch = self.db.batch()
-        for key in keys:
-            value = self.get(key, at)
-            if value is not None:
-                batch.remove(self, key).insert(other, key, value)
+        for key, value in rows_of(self.multi_get(wanted, at).select("key", "value")):
+            batch.remove(self, key).insert(other, key, value)
         return batch.commit()
 
+    def move_where(self, other: Keyspace, where: Column, at: Snapshot | None = None) -> int | None:
+        """Moves all items for which a predicate on key and value holds, however many, in one commit."""
+        moved = read.scan(self.log(_instant(at))).where(where).select("key", "value")
+        return self.db.batch().insert_all(other, moved).remove_all(self, moved.select("key")).commit()
+
+    def dequeue(self, n: int) -> list[tuple]:
+        """Takes the first n items out, in key order, in one commit."""
+        taken = rows_of(read.top(read.scan(self.log()), n))
+        batch = self.db.batch()
+        for key, _ in taken:
+            batch.remove(self, key)
+        batch.commit()
+        return taken
+
     def is_kv_separated(self) -> bool:
         return bool(self.entry["options"].get("kv_separation"))
 
@@ -355,7 +405,7 @@ class Keyspace:
         """Bulk load of items (key, value) under one commit, dealt out by key ranges; repeated keys are refused."""
         self.check()
         seqno = self.db.seqno
-        rows = items.select("key", F.lit(seqno).cast("long").alias("seqno"), F.lit(0).alias("batch_ord"), F.lit(kind).alias("kind"), "value")
+        rows = checked(items).select("key", F.lit(seqno).cast("long").alias("seqno"), F.lit(0).alias("batch_ord"), F.lit(kind).alias("kind"), "value")
         path = f"data/{self.id}/{uuid.uuid4().hex}"
         rows.repartitionByRange("key").sortWithinPartitions("key").write.options(**WRITE).parquet(f"{self.db.root}/{path}")
         if not self.db.spark.read.parquet(f"{self.db.root}/{path}").groupBy("key").count().where("count > 1").isEmpty():
@@ -394,12 +444,12 @@ class Keyspace:
             verdict, replacement = named.verdict, named.replacement
         mark = self.db.watermark()
         old = self.db._live_files(self.id)
-        rows = maintain.compact(self.log(), mark)
+        rows = maintain.compact(self.raw(), mark, ("keyspace_id",))
         if verdict is not None:
             below = F.col("seqno") < mark
             judged = F.when(below & (F.col("kind") == VALUE), verdict(F.col("key"), F.col("value")))
             rows = maintain.apply_filter(rows, judged, replacement(F.col("key"), F.col("value")) if replacement else None)
-        rows = rows.select("key", "seqno", F.lit(0).alias("batch_ord"), "kind", "value")
+        rows = rows.select("key", "seqno", "batch_ord", "kind", "value")
         path = f"data/{self.id}/{uuid.uuid4().hex}"
         rows.repartitionByRange("key", "seqno").sortWithinPartitions("key", F.desc("seqno")).write.options(**WRITE).parquet(f"{self.db.root}/{path}")
         # The rewritten file holds old seqnos: it takes the place of the first file, so that snapshots open it.
@@ -437,7 +487,7 @@ class WriteBatch:
 
     def __init__(self, db: Database):
         self.db, self.rows = db, []
-        self.frames: list[tuple[Keyspace, DataFrame]] = []
+        self.frames: list[tuple[Keyspace, str, DataFrame]] = []
 
     def __len__(self) -> int:
         return len(self.rows)
@@ -461,8 +511,13 @@ class WriteBatch:
         return self._add(ks, WEAK, key, None)
 
     def insert_all(self, ks: Keyspace, items: DataFrame) -> WriteBatch:
-        """Adds a DataFrame (key, value) of any size; it comes after the single writes."""
-        self.frames.append((ks, items))
+        """Adds a DataFrame (key, value) of any size; frames come after the single writes, in the order of the calls."""
+        self.frames.append((ks, VALUE, checked(items)))
+        return self
+
+    def remove_all(self, ks: Keyspace, keys: DataFrame) -> WriteBatch:
+        """Removes the keys of a DataFrame (key) of any size."""
+        self.frames.append((ks, TOMBSTONE, checked(keys).withColumn("value", F.lit(None).cast(ks.entry["value"]))))
         return self
 
     def commit(self, touched: list | None = None) -> int | None:
@@ -470,23 +525,29 @@ class WriteBatch:
         if self.is_empty() and not touched:
             return None
         seqno, spark = self.db.seqno, self.db.spark
-        for ks in {k.id: k for k in [*(r[0] for r in self.rows), *(f[0] for f in self.frames)]}.values():
+        held = {k.id: k for k in [*(r[0] for r in self.rows), *(f[0] for f in self.frames)]}
+        for ks in held.values():
             ks.check()
         files = []
-        for id_ in dict.fromkeys([*(r[0].id for r in self.rows), *(f[0].id for f in self.frames)]):
+        for id_, ks in held.items():
             mine = [r for r in self.rows if r[0].id == id_]
-            ks = mine[0][0] if mine else next(f[0] for f in self.frames if f[0].id == id_)
-            df = spark.createDataFrame([(key, seqno, n, kind, value) for _, n, kind, key, value in mine], ks.schema)
-            for other, items in self.frames:
+            df = spark.createDataFrame([(key, seqno, n, kind, value) for _, n, kind, key, value in mine], ks.schema).coalesce(1)
+            for n, (other, kind, items) in enumerate(self.frames, len(self.rows)):
                 if other.id == id_:
-                    df = df.unionByName(items.select("key", F.lit(seqno).cast("long").alias("seqno"), F.lit(len(self.rows)).alias("batch_ord"), F.lit(VALUE).alias("kind"), "value"))
-            df = df if any(f[0].id == id_ for f in self.frames) else df.coalesce(1)
+                    df = df.unionByName(items.select("key", F.lit(seqno).cast("long").alias("seqno"), F.lit(n).alias("batch_ord"), F.lit(kind).alias("kind"), "value"))
             path = f"data/{id_}/{uuid.uuid4().hex}"
             df.sortWithinPartitions("key").write.options(**WRITE).parquet(f"{self.db.root}/{path}")
             files.append({"keyspace": id_, "path": path})
         return self.db._commit(seqno, files=files, **({} if touched is None else {"touched": touched}))
 
 
+def checked(items: DataFrame) -> DataFrame:
+    """items whose keys have a length that is allowed; the job that reads another one fails."""
+    n = F.coalesce(F.octet_length(F.col("key")), F.lit(0))
+    wrong = F.raise_error(F.format_string(f"a key has 1 to {MAX_KEY} bytes, not %d", n)).cast(items.schema["key"].dataType)
+    return items.withColumn("key", F.when((n > 0) & (n <= MAX_KEY), F.col("key")).otherwise(wrong))
+
+
 def _instant(at: Snapshot | None) -> int | None:
     return None if at is None else at.instant
 
