@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,13 +44,26 @@ def permuterm(items: DataFrame, term: str) -> DataFrame:
 
 
 def wildcard(index: DataFrame, pattern: str) -> DataFrame:
-    """Keys whose term matches a pattern with at most one inner star, or *a*: exact, a*, *a, a*b, *a*."""
-    if pattern.startswith("*") and pattern.endswith("*") and len(pattern) > 2:
-        return index.where(F.col("rotation").startswith(pattern[1:-1])).select("key").distinct()
+    """Keys whose term matches a pattern in which each star stands for any characters.
+
+    The ends of the pattern become a prefix of a rotation, which the index scan is asked for; what
+    stands between inner stars is looked for in the rotations found.
+    """
+    head, *inner, tail = pattern.split("*") if "*" in pattern else (pattern, "")
     if "*" not in pattern:
         return index.where(F.col("rotation") == pattern + END).select("key")
-    head, tail = pattern.split("*")
-    return index.where(F.col("rotation").startswith(tail + END + head)).select("key")
+    if not head and not tail:
+        # The first inner piece can begin a rotation; others must follow it before the term's end.
+        first, *inner = [x for x in inner if x] or [""]
+        ahead = index.where(F.col("rotation").startswith(first))
+    else:
+        first = tail + END + head
+        ahead = index.where(F.col("rotation").startswith(first))
+    inner = [x for x in inner if x]
+    if inner:
+        between = "[^" + END + "]*"
+        ahead = ahead.where(F.substr("rotation", F.lit(len(first) + 1)).rlike("^" + between + between.join(map(re.escape, inner))))
+    return ahead.select("key").distinct()
 
 
 def out_edges(triples: DataFrame, subject, verb: str) -> DataFrame:

@@ -8,7 +8,7 @@ a size reads nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,7 +36,43 @@ def range_conflicts(reads: DataFrame, writes: DataFrame, window: int, width: int
     return hit.select("tx", "writer").distinct()
 
 
-def outcomes(txs: DataFrame, conflicts: DataFrame) -> DataFrame:
-    """(tx, outcome), all judged in one pass: a conflicting transaction still counts as a writer."""
-    lost = conflicts.select("tx").distinct().withColumn("lost", F.lit(True))
-    return txs.select("tx").distinct().join(lost, "tx", "left").select("tx", F.when(F.col("lost"), "conflict").otherwise("ok").alias("outcome"))
+def outcomes(txs: DataFrame, conflicts: DataFrame, window: int, chunk: int = 1024) -> DataFrame:
+    """(tx, outcome) in commit order: a transaction fails only if a writer it meets has committed; one that fails writes nothing.
+
+    conflicts: (tx, writer), writer being one of the `window` (at most 16) commits before.  What a
+    transaction must know is which of those committed, one of 2 ** window states; so each chunk of
+    commits is a function from the state before it to the state after it.  The functions are
+    computed side by side, composed in order (one row for each chunk), and each chunk is then
+    gone through once more from its true state.
+    """
+    full = (1 << window) - 1
+    mask = conflicts.select("tx", "writer").distinct().groupBy("tx").agg(F.expr("bit_or(shiftleft(1, cast(tx - writer - 1 as int)))").alias("mask"))
+    met = txs.select("tx").distinct().join(mask, "tx", "left").select(F.floor(F.col("tx") / chunk).alias("c"), F.struct(F.col("tx").cast("long").alias("tx"), F.coalesce("mask", F.lit(0)).alias("mask")).alias("x"))
+    chunks = met.groupBy("c").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+
+    def later(state: Column, gap: Column) -> Column:
+        """The state when `gap` commit numbers more have passed without a commit."""
+        return F.when(gap >= window, F.lit(0)).otherwise(F.call_function("shiftleft", state, gap.cast("int")).bitwiseAND(F.lit(full)))
+
+    def after(a: Column, x: Column) -> Column:
+        now = later(a["state"], x["tx"] - a["last"] - 1)
+        ok = F.when(now.bitwiseAND(x["mask"]) == 0, 1).otherwise(0)
+        return F.struct(F.call_function("shiftleft", now, F.lit(1)).bitwiseOR(ok).bitwiseAND(F.lit(full)).alias("state"), x["tx"].alias("last"))
+
+    begin = lambda state: F.struct(state.cast("int").alias("state"), (F.col("c") * chunk - 1).alias("last"))
+    end = lambda a: later(a["state"], (F.col("c") + 1) * chunk - 1 - a["last"])
+    maps = chunks.select("c", F.array(*(F.aggregate("xs", begin(F.lit(s)), after, end) for s in range(full + 1))).alias("m")).orderBy("c")
+    rows, state, last = [], 0, None
+    for r in maps.toLocalIterator():
+        state = state if last is not None and r["c"] == last + 1 else 0
+        rows.append((r["c"], state))
+        state, last = r["m"][state], r["c"]
+    starts = txs.sparkSession.createDataFrame(rows, "c long, state int")
+    none = F.array().cast("array<struct<tx:bigint,ok:boolean>>")
+
+    def judged(a: Column, x: Column) -> Column:
+        now = after(a["a"], x)
+        return F.struct(now.alias("a"), F.concat(a["out"], F.array(F.struct(x["tx"].alias("tx"), (now["state"].bitwiseAND(F.lit(1)) == 1).alias("ok")))).alias("out"))
+
+    out = chunks.join(starts, "c").select(F.explode(F.aggregate("xs", F.struct(begin(F.col("state")).alias("a"), none.alias("out")), judged, lambda a: a["out"])).alias("o"))
+    return out.select("o.tx", F.when(F.col("o.ok"), "ok").otherwise("conflict").alias("outcome"))
