@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from keystrand.plans import catalogue
+from keystrand.plans import catalogue, engine  # noqa: F401  engine registers queries with the catalogue
 
 DIR = "/root/testdata/sf0.001"
 

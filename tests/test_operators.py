@@ -173,3 +173,36 @@ def test_compaction_keeps_nothing_else(spark):
 
 def test_newest_keeps_tombstones(spark):
     assert {r["key"]: r["kind"] for r in newest(log(spark, [("a", 0, 0, "V", "x"), ("a", 1, 0, "T", None)])).collect()} == {"a": "T"}
+
+
+def test_outcomes_in_commit_order(spark):
+    """A transaction that failed is no writer for those after it."""
+    from keystrand.operators import transactions
+
+    rng = random.Random(6)
+    for window, chunk in ((3, 4), (5, 16), (1, 1024)):
+        txs = sorted(rng.sample(range(60), 45))
+        pairs = [(t, w) for t in txs for w in txs if 0 < t - w <= window and rng.random() < 0.5]
+        ok: dict[int, bool] = {}
+        for t in txs:
+            ok[t] = not any(a == t and ok[w] for a, w in pairs)
+        got = transactions.outcomes(spark.createDataFrame([(t,) for t in txs], "tx long"), spark.createDataFrame(pairs, "tx long, writer long"), window, chunk)
+        assert {r["tx"]: r["outcome"] == "ok" for r in got.collect()} == ok
+
+
+def test_weak_deletes_follow_the_order(spark):
+    rows = [("a", 0, 0, "V", "1"), ("a", 1, 0, "W", None), ("a", 2, 0, "V", "2"), ("b", 0, 0, "V", "1"), ("b", 1, 0, "W", None), ("c", 0, 0, "V", "1")]
+    assert {r["key"]: r["value"] for r in maintain.annihilate_weak(log(spark, rows)).collect()} == {"a": "2", "c": "1"}
+
+
+def test_wildcards_against_patterns(spark):
+    import re
+
+    from keystrand.operators import index
+
+    rng = random.Random(11)
+    terms = sorted({"".join(rng.choice("ab.") for _ in range(rng.randrange(1, 8))) for _ in range(60)})
+    entries = index.permuterm(spark.createDataFrame([(t, t) for t in terms], "key string, term string"), "term").cache()
+    for pattern in ("ab", "a*", "*b", "a*b", "*a*", "*", "**", "a*.*b", "*a*b*", "*ab*a*", "a*b*a*b", ".*a", "*.*.*"):
+        wanted = re.compile(".*".join(map(re.escape, pattern.split("*"))))
+        assert sorted(r["key"] for r in index.wildcard(entries, pattern).collect()) == [t for t in terms if wanted.fullmatch(t)], pattern
