@@ -11,13 +11,13 @@ gives the longest verbatim match at each place.
 Nothing is shuffled: a shard is what one task reads at once, and whole documents
 lie in one shard.  The benchmark is sent to the executors in blocks of at most
 `block_bytes` of text, one pass over the documents for each block, so what is
-broadcast does not grow.
+broadcast does not grow; places found are handed on from pass to pass.
 
 Edge cases: null texts and items have no words; an item without words is never
-found; repeated items each count; an empty benchmark flags nothing; an empty
-documents table gives an empty table; other columns are left alone.  Repeated
-rows are reported row by row; when the benchmark takes several blocks, rows of
-one id are reported as one.
+found; items that share an id are one item; null ids are ids; an empty benchmark
+flags nothing; an empty documents table gives an empty table; repeated rows are
+reported row by row, whatever the benchmark's size; ties do not arise; a text of any
+length is one part of one shard; other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _scratch
 from . import _words as W
 
 WINDOW = 10
@@ -109,8 +110,8 @@ class Shard:
             hi[live[~up]] = mid[~up]
         return lo
 
-    def find(self) -> tuple[np.ndarray, np.ndarray]:
-        """(suffix of the benchmark, place in the shard) where the suffix's window occurs."""
+    def intervals(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(suffix of the benchmark, first, end): where in the suffix array the suffix's window occurs, if it does."""
         b, bits = self.bench, self.bench.bits
         at = b.suffix
         lo, hi = np.zeros(len(at), np.int64), np.full(len(at), len(self.suffix_array))
@@ -130,9 +131,18 @@ class Shard:
             lo = self._bisect(key, low, lo, hi, False)
             hi = self._bisect(key, high, lo, hi, True)
         live = hi > lo
-        at, lo, n = at[live], lo[live], (hi - lo)[live]
-        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(at, n), self.suffix_array[np.repeat(lo, n) + inner]
+        return at[live], lo[live], hi[live]
+
+    @staticmethod
+    def _spread(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For groups of n members each: the group and the number in it of every member."""
+        return np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+    def find(self) -> tuple[np.ndarray, np.ndarray]:
+        """(suffix of the benchmark, place in the shard) of every occurrence."""
+        at, lo, hi = self.intervals()
+        which, inner = self._spread(hi - lo)
+        return at[which], self.suffix_array[lo[which] + inner]
 
     def longest(self, suffix: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Words in which the suffix and the text agree from place on."""
@@ -149,17 +159,35 @@ class Shard:
     def document(self, place: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, place, "right") - 1
 
-    def hits(self, suffix: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each word lies in an occurrence of a window; (document, item) pairs."""
+    def hits(self) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each word lies in an occurrence of a window; distinct (document, item) pairs, as document * items + item.
+
+        Suffixes of several items that begin with one window share an interval: its places are gone
+        through once, and its distinct documents meet its distinct items.
+        """
+        at, lo, hi = self.intervals()
+        size = max(1, len(self.suffix_array))
+        # The end belongs to the key, as a short item's window is part of longer ones' intervals.
+        key, first, which = np.unique(lo * (size + 1) + hi, return_index=True, return_inverse=True)
+        lo, n, need = lo[first], (hi - lo)[first], self.bench.need[at]
+        longest = np.zeros(len(key), np.int64)
+        np.maximum.at(longest, which, need)
+        group, inner = self._spread(n)
+        place = self.suffix_array[lo[group] + inner]
         edge = np.zeros(len(self.ids) + 1, np.int64)
         np.add.at(edge, place, 1)
-        np.add.at(edge, place + self.bench.need[suffix], -1)
-        pairs = np.unique(self.document(place) * max(1, len(self.bench.item_ids)) + self.bench.item[suffix])
-        return np.cumsum(edge)[self.slot] > 0, pairs
+        np.add.at(edge, place + longest[group], -1)
+        docs = np.unique(group * (len(self.first) + 1) + self.document(place))
+        items = np.unique(which * max(1, len(self.bench.item_ids)) + self.bench.item[at])
+        of, item = np.divmod(items, max(1, len(self.bench.item_ids)))
+        of_doc, doc = np.divmod(docs, len(self.first) + 1)
+        begin, end = np.searchsorted(of, of_doc), np.searchsorted(of, of_doc, "right")
+        each, inner = self._spread(end - begin)
+        return np.cumsum(edge)[self.slot] > 0, np.unique(doc[each] * max(1, len(self.bench.item_ids)) + item[begin[each] + inner])
 
 
 def _digest(items: list) -> tuple[str, str]:
-    joined = ",".join(sorted(map(str, items)))
+    joined = ",".join(sorted(set(items)))
     return hashlib.sha256(joined.encode()).hexdigest(), joined
 
 
@@ -177,58 +205,72 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int)
     yield ids, texts
 
 
-def _pass(docs: DataFrame, bench, id_col: str, text_col: str, spans: bool) -> DataFrame:
-    """One pass of one block: the report's columns, or (spans) places and item ids to be united."""
-    kind = docs.schema[id_col].dataType.simpleString()
+_STATE = "places array<array<long>>, found array<string>"
+
+
+def _runs(s: Shard, hit: np.ndarray, n: int) -> list[list]:
+    """[first, end) of the runs of hit words of each document, in its own words."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+    base = np.concatenate([[0], np.cumsum(s.n_words)])
+    out: list[list] = [[] for _ in range(n)]
+    for x, y in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+        while x < y:  # a run of hits may go over from one document to the next
+            d = int(s.row[x])
+            z = min(y, int(base[d + 1]))
+            out[d].append([x - int(base[d]), z - int(base[d])])
+            x = z
+    return out
+
+
+def _pass(docs: DataFrame, bench, last: bool) -> DataFrame:
+    """One pass of one block over docs (id, text, places and items found so far): the same rows with more of both, or (last) the report's columns."""
     names = [x.split()[0] for x in COLUMNS.split(", ")]
+    kind = docs.schema[0].dataType.simpleString()
 
     def run(batches):
         b_ = bench.value
         for b in batches:
             for lo, t in W.parts(b.column(1)):
                 s = Shard(t, b_)
-                hit, pairs = s.hits(*s.find())
-                n_hit = np.bincount(s.row[hit], minlength=t.n)
-                items: list[list] = [[] for _ in range(t.n)]
+                hit, pairs = s.hits()
+                part = b.slice(lo, t.n)
+                before, found = part.column(2).to_pylist(), part.column(3).to_pylist()
+                base = np.concatenate([[0], np.cumsum(s.n_words)]).tolist()
+                for d, runs in enumerate(before):
+                    for x, y in runs:
+                        hit[base[d] + x : base[d] + y] = True
                 for p in pairs.tolist():
-                    items[p // len(b_.item_ids)].append(b_.item_ids[p % len(b_.item_ids)])
-                ids = b.column(0).slice(lo, t.n)
-                if spans:
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-                    base = np.concatenate([[0], np.cumsum(s.n_words)])
-                    places: list[list] = [[] for _ in range(t.n)]
-                    for x, y in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                        while x < y:  # a run of hits may go over from one document to the next
-                            d = int(s.row[x])
-                            z = min(y, int(base[d + 1]))
-                            places[d].append([x - int(base[d]), z - int(base[d])])
-                            x = z
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(s.n_words), pa.array(places, pa.list_(pa.list_(pa.int64()))), pa.array([[str(i) for i in x] for x in items], pa.list_(pa.string()))], [id_col, "n_words", "places", "found"])
+                    found[p // len(b_.item_ids)].append(str(b_.item_ids[p % len(b_.item_ids)]))
+                if not last:
+                    places = pa.array(_runs(s, hit, t.n), pa.list_(pa.list_(pa.int64())))
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), places, pa.array([sorted(set(x)) for x in found], pa.list_(pa.string()))], ["id", "text", "places", "found"])
                     continue
-                sha, joined = zip(*map(_digest, items), strict=True)
+                n_hit = np.bincount(s.row[hit], minlength=t.n)
+                sha, joined = zip(*map(_digest, found), strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(s.n_words), pa.array(n_hit), pa.array([len(set(x)) for x in items], pa.int64()), pa.array(sha), pa.array(n_hit > 0), pa.array(joined)], [id_col, *names]
+                    [part.column(0), pa.array(s.n_words), pa.array(n_hit), pa.array([len(set(x)) for x in found], pa.int64()), pa.array(sha), pa.array(n_hit > 0), pa.array(joined)], ["id", *names]
                 )
 
-    schema = f"`{id_col}` {kind}, n_words long, places array<array<long>>, found array<string>" if spans else f"`{id_col}` {kind}, {COLUMNS}"
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.mapInArrow(W.lean(run), f"id {kind}, {COLUMNS}" if last else f"id {kind}, text string, {_STATE}")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row for each row of docs: words, hit words, items and their digest."""
+    """One row for each row of docs: words, hit words, items and their digest.
+
+    Each block of the benchmark is one pass, which hands the rows on with what was found so far.
+    """
     spark = docs.sparkSession
-    sent = [spark.sparkContext.broadcast(Benchmark(i, t, window)) for i, t in blocks(benchmark, item_col, item_text_col, block_bytes)]
-    if len(sent) == 1:
-        return _pass(docs, sent[0], id_col, text_col, False)
-    # Several blocks: the covered places of a document are united over the passes.
-    out = None
-    for b in sent:
-        one = _pass(docs, b, id_col, text_col, True)
-        out = one if out is None else out.unionAll(one)
-    united = out.groupBy(id_col).agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("places"))).alias("p"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("f"))
-    covered = F.aggregate("p", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("e")), lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0).cast("long"), x[1] - F.greatest(a["e"], x[0]))).alias("n"), F.greatest(a["e"], x[1]).alias("e")))["n"]
-    joined = F.concat_ws(",", "f")
-    return united.select(id_col, "n_words", covered.alias("n_hit"), F.size("f").cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), (covered > 0).alias("contaminated"), joined.alias("items"))
+    none = [F.array().cast(x.split(" ", 1)[1]).alias(x.split(" ", 1)[0]) for x in _STATE.split(", ")]
+    rows, held, state = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *none), None, None
+    for ids, texts in blocks(benchmark, item_col, item_text_col, block_bytes):
+        if held is not None:
+            new = _scratch.write(_pass(rows, held, False), "found")
+            held.unpersist(blocking=False)
+            if state is not None:
+                _scratch.drop(state)
+            rows = state = new
+        held = spark.sparkContext.broadcast(Benchmark(ids, texts, window))
+    return _pass(rows, held, True).withColumnRenamed("id", id_col)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -258,7 +300,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
                         ["item", "item_word", "doc", "doc_word", "n_words"],
                     )
 
-        one = docs.select(id_col, text_col).mapInArrow(run, f"item {item_kind}, item_word long, doc {kind}, doc_word long, n_words long")
+        one = docs.select(id_col, text_col).mapInArrow(W.lean(run), f"item {item_kind}, item_word long, doc {kind}, doc_word long, n_words long")
         out = one if out is None else out.unionAll(one)
     return out
 
@@ -277,5 +319,5 @@ def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_c
                     dirty[s.document(s.find()[1])] = True
                     yield b.slice(lo, t.n).filter(pa.array(~dirty))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(W.lean(run), docs.schema)
     return docs
