@@ -8,11 +8,13 @@ the queries are answered by intersecting and uniting postings, and the
 candidate texts are verified with the expression itself.  A rule without a
 mandatory trigram reads all texts of the block.
 
-Postings are case-folded, which only ever adds candidates.
+Postings are case-folded, which only ever adds candidates; trigrams hold ASCII
+characters only, others in a rule's literals ask for nothing.
 
 Edge cases: null is an empty text; repeated rows are scanned row by row;
-overlapping spans of different kinds are all reported; an empty table gives an
-empty table.  Nothing is shuffled.
+overlapping spans of different kinds are all reported, those of one start in the
+order of the rules; a text of any length is scanned whole; columns other than the two
+named are not looked at; an empty table gives an empty table.  Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -93,10 +95,10 @@ def _exact_all(nodes) -> set[str] | None:
 
 
 def _needs(strings: set[str]) -> Query:
+    """The group that says that one of the strings occurs; empty if one of them has no trigram of ASCII characters."""
     folded = {x.lower() for x in strings}
-    if any(len(x) < 3 for x in folded):
-        return []
-    return [sorted({frozenset(x[i : i + 3] for i in range(len(x) - 2)) for x in folded}, key=sorted)]
+    some = {frozenset(x[i : i + 3] for i in range(len(x) - 2) if x[i : i + 3].isascii()) for x in folded}
+    return [sorted(some, key=sorted)] if frozenset() not in some else []
 
 
 def _query(nodes) -> Query:
@@ -122,14 +124,21 @@ def trigram_query(pattern: str) -> Query:
     return _query(_syntax.parse(pattern))
 
 
+def run_of(pattern: str, flags: int, group: int, least: int) -> re.Pattern | None:
+    """For a rule that asks for `least` characters of one class of ASCII characters, in either case if it ignores case: such a run, in bytes."""
+    if group or not least or not re.fullmatch(r"\[[A-Za-z0-9_-]+\]\+", pattern):
+        return None
+    return re.compile(pattern[:-1].encode() + b"{%d,}" % least, flags & re.I)
+
+
 def _code(t: str) -> int:
-    a, b, c = t.encode("latin-1")
+    a, b, c = t.encode("ascii")
     return a << 16 | b << 8 | c
 
 
 class Scanner:
     def __init__(self, rules=RULES):
-        self.rules = [(kind, re.compile(p, f), g, least, trigram_query(p)) for kind, p, f, g, least in rules]
+        self.rules = [(kind, re.compile(p, f), g, least, trigram_query(p), run_of(p, f, g, least)) for kind, p, f, g, least in rules]
         self.order = {r[0]: i for i, r in enumerate(self.rules)}
         codes = sorted({_code(t) for r in self.rules for group in r[4] for alt in group for t in alt})
         self.codes = np.array(codes, np.int64)
@@ -170,12 +179,12 @@ class Scanner:
         raw = t.raw.tobytes()
         texts: dict[int, str] = {}
         found: list[list] = [[] for _ in range(t.n)]
-        for kind, expression, group, least, query in self.rules:
+        for kind, expression, group, least, query, run in self.rules:
             if query:
                 rows = self.candidates(query, postings, t.n)
-            elif kind == "hex":
-                # Long runs of hexadecimal digits, on bytes: a full scan. A run may go over the end of a text.
-                ends = np.searchsorted(t.off, [x for m in _HEX.finditer(raw) for x in (m.start(), m.end() - 1)], "right") - 1
+            elif run is not None:
+                # A full scan of all texts at once, in bytes. A run may go over the end of a text.
+                ends = np.searchsorted(t.off, [x for m in run.finditer(raw) for x in (m.start(), m.end() - 1)], "right") - 1
                 rows = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in ends.reshape(-1, 2)] or [ends]))
             else:
                 rows = np.arange(t.n)
@@ -190,7 +199,6 @@ class Scanner:
         return found
 
 
-_HEX = re.compile(rb"[0-9a-f]{24,}")
 COLUMNS = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
@@ -213,7 +221,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=
                 yield pa.RecordBatch.from_arrays(arrays, [id_col, *(x.split()[0] for x in COLUMNS.split(", "))])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {COLUMNS}")
+    return docs.select(id_col, text_col).mapInArrow(W.lean(run), f"`{id_col}` {kind}, {COLUMNS}")
 
 
 def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", rules=RULES) -> DataFrame:
@@ -236,4 +244,4 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", rule
                         texts[d] = "".join(out) + texts[d][at:]
                 yield part.set_column(k, part.schema.field(k), pa.array(texts, part.schema.field(k).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(W.lean(run), docs.schema)
