@@ -8,7 +8,7 @@ _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 _SYM = "[^" + quality.SYMBOLS.replace("$", r"\$") + "]"
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PHRASES = " OR ".join(f"contains(low, '{p.decode()}')" for p in quality.BOILERPLATE)
-_TERMINAL = quality.TERMINAL.replace("'", "''")
+_TERMINAL = (quality.TERMINAL + quality.TERMINAL_WIDE).replace("'", "''")
 
 QUALITY = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -22,7 +22,7 @@ m AS (SELECT doc_id, j, line, translate(line, '{_CAPITALS}', '{_SMALL}') AS low,
 p AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY j) AS upto FROM m),
 k AS (SELECT p.doc_id, p.j, count(c.i) AS covered FROM p LEFT JOIN c ON c.doc_id = p.doc_id AND c.i <= p.upto AND c.i > p.upto - p.n GROUP BY ALL),
 b AS (SELECT p.*, n > 0 AND (sym * 10 > n OR (up + small >= 10 AND 2 * up > up + small)
-      OR (n <= {quality.SHORT_LINE} AND unicode(right(final, 1)) < 128 AND NOT contains('{_TERMINAL}', right(final, 1)))
+      OR (n <= {quality.SHORT_LINE} AND NOT contains('{_TERMINAL}', right(final, 1)))
       OR (n >= 10 AND 2 * covered > n) OR {_PHRASES}) AS bad FROM p JOIN k USING (doc_id, j)),
 s AS (SELECT doc_id, sum(n) AS n_words, sum(sym) AS n_symbols, count(*) FILTER (n > 0) AS n_lines, count(*) FILTER (bad) AS n_lines_removed, coalesce(sum(n) FILTER (bad), 0) AS n_words_removed,
       count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS n_dup_lines FROM b GROUP BY doc_id),

@@ -6,9 +6,10 @@ its words goes too.  A document that fails a base rule (fewer than 50 words, or
 over half of them in repeated three-word windows) is rejected in any case.
 
 Edge cases: a null text counts as empty; an empty text has no words and is
-rejected; repeated rows are judged row by row; other columns are passed through
-`filter_documents` untouched and never looked at; an empty table gives an empty
-table.  No row is shuffled, and a text is never cut.
+rejected; repeated rows are judged row by row; ties do not arise; other columns,
+whatever their names, are passed through `filter_documents` untouched and never
+looked at; an empty table gives an empty table.  No row is shuffled, and a text is
+never cut.
 """
 
 from __future__ import annotations
@@ -27,16 +28,22 @@ MAX_REPEATED = 50  # per cent of words
 MAX_LOST = 0.5  # share of words in removed lines
 SYMBOLS = "#*$%&|<>"
 TERMINAL = ".!?\"'):;]}"
+TERMINAL_WIDE = "«»’”“…。！？」』）"  # quotation marks and full stops outside of ASCII
 SHORT_LINE = 8  # words; shorter lines without terminal punctuation look like menu entries
 BOILERPLATE = (
     b"all rights reserved", b"licensed under", b"privacy policy", b"terms of use", b"terms of service",
     b"cookie policy", b"use of cookies", b"accept cookies", b"sign up for", b"subscribe to our", b"click here",
     b"share on facebook", b"skip to content", b"enable javascript", b"lorem ipsum", b"powered by",
+    *(x.encode() for x in (
+        "tous droits réservés", "politique de confidentialité", "mentions légales", "accepter les cookies", "cliquez ici", "abonnez-vous",
+        "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "cookies akzeptieren", "hier klicken", "newsletter abonnieren",
+        "todos los derechos reservados", "política de privacidad", "términos de uso", "aceptar cookies", "haga clic aquí", "suscríbete",
+    )),
 )
 
 _SYMBOL = W.byte_set(SYMBOLS)
 _END = W.byte_set(TERMINAL)
-_END[0x80:] = True  # quotation marks and full stops of other scripts
+_WIDE = sorted({x.encode() for x in TERMINAL_WIDE}, key=len)
 _UPPER = np.array([0x41 <= b <= 0x5A for b in range(256)])
 _SMALL = np.array([0x61 <= b <= 0x7A for b in range(256)])
 _PHRASE = re.compile(b"|".join(map(re.escape, BOILERPLATE)))
@@ -45,6 +52,17 @@ COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 _NAMES = [x.split()[0] for x in COLUMNS.split(", ")]
 
 
+def _ends(raw: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether the character that ends at each of these bytes is a terminal mark."""
+    out = _END[raw[last]]
+    for mark in _WIDE:
+        same = last >= len(mark) - 1
+        for k, x in enumerate(reversed(mark)):
+            same &= raw[np.maximum(last - k, 0)] == x
+        out |= same
+    return out
+
+
 def _judge(t: W.Text, max_lost: float) -> tuple[list[np.ndarray], dict]:
     row, start, stop = t.words(W.NOT_SPACE)
     h = t.hashes(start, stop)
@@ -76,7 +94,7 @@ def _judge(t: W.Text, max_lost: float) -> tuple[list[np.ndarray], dict]:
     bad = filled & (t.between(symbol, lo, hi) * 10 > in_line)
     bad |= filled & (upper + small >= 10) & (2 * upper > upper + small)
     if len(t.raw):
-        bad |= filled & (in_line <= SHORT_LINE) & ~_END[t.raw[last]]
+        bad |= filled & (in_line <= SHORT_LINE) & ~_ends(t.raw, last)
     bad |= filled & (in_line >= 10) & (2 * np.bincount(line[covered], minlength=len(lo)) > in_line)
     hits = np.array([m.span() for m in _PHRASE.finditer(W.LOWER[t.raw].tobytes())], np.int64).reshape(-1, 2)
     at = np.searchsorted(lo, hits[:, 0], "right") - 1
@@ -100,7 +118,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_l
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, t.n), *map(pa.array, out)], [id_col, *_NAMES])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {COLUMNS}")
+    return docs.select(id_col, text_col).mapInArrow(W.lean(run), f"`{id_col}` {kind}, {COLUMNS}")
 
 
 def filter_documents(docs: DataFrame, text_col: str = "text", max_lost: float = MAX_LOST, clean_lines: bool = False) -> DataFrame:
@@ -123,4 +141,4 @@ def filter_documents(docs: DataFrame, text_col: str = "text", max_lost: float =
                     part = part.set_column(k, part.schema.field(k), new.cast(part.schema.field(k).type))
                 yield part.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(W.lean(run), docs.schema)
