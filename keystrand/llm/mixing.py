@@ -4,16 +4,24 @@ Domains are what labels tell apart: toxic (toxic = 1), else low (quality = 0),
 else clean.  A naive Bayes classifier is fitted on a bounded sample of labelled
 documents.  Features are the words and a few marks of form (many symbols,
 capitals, repeated words); those frequent enough in a class and far more
-frequent than outside of it are typical of it.  The evidence for a class is
-whether a document has none, one or more of them.  It gives every document
+frequent than outside of it are typical of it.  A document's log-odds of a class
+against all others are the class's prior and a sum over its typical features: of
+log p / q for one that the document has, of log (1 - p) / (1 - q) for one that it has
+not, p and q being the shares of documents with it inside and outside of the class.
+As features were chosen for being rare outside, q is taken to be somewhat more than
+was seen (`STRAY`).  The odds of low and toxic, with 1 for clean, give every document
 posteriors over the domains.
 
 Document rates r >= 0 are fitted by projected gradient descent to
 
-    sum over domains k of ((sum_d r_d t_d p_dk - b_k) / m_k)^2
+    sum over domains k of m_k e_k ^ 2, e_k = (sum_d r_d t_d p_dk - b_k) / m_k,
         + ridge * (departure of the rates from 1, by tokens),
 
-t being tokens, p posteriors, b the targets and m a domain's present tokens.
+t being tokens, p posteriors, b the targets and m a domain's present tokens.  A step
+takes sum_k p_dk e_k + ridge * (r_d - 1) off each rate; as the posteriors of a document
+add up to 1, a step of 1 / (1 + ridge) never overshoots.  Steps end when every domain is
+within `CLOSE` of its target (of the whole, for a target of 0), when a step changes no e_k
+by `STILL`, or after `STEPS`.
 Documents with equal posteriors have equal rates throughout, so the tokens are
 first summed up by posterior vector; each step is one aggregate of that table,
 of which the driver sees one number for each domain.
@@ -22,13 +30,16 @@ Targets are shares of the mixture; its size is such that the clean domain's
 present tokens meet the clean share (all tokens, if that share is 0).
 
 The sample is the `MAX_LABELLED` labelled ids of least hash, and the model has
-at most `MAX_FEATURES` features for each class: both bounds are parameters.
+at most `MAX_FEATURES` features for each class: both bounds are parameters of the
+classifier; all documents are scored, weighed and drawn.
 
 Edge cases: null texts have no words and get the prior; documents without a
 label are scored like others; several labels of one id count as toxic or low if
 any says so, null labels are left out; labels without a document are ignored;
-without labels every document is clean; repeated rows each get their rate; an
-empty table gives an empty table.
+without labels every document is clean; repeated rows each get their rate; features
+of equal rank are taken in the order of their bytes; a text of any length is taken
+whole; other columns, whatever their names, are passed through; an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -44,8 +55,8 @@ DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.98, "low": 0.02, "toxic": 0.0}
 MAX_LABELLED, MAX_FEATURES = 20_000, 256
 LEAST_SHARE, LEAST_DOCS, LIFT = 0.015, 3, 30.0
-STRAY = (0.98, 0.0196, 0.0004)  # shares of documents with 0, 1, more features of a class that is not theirs
-STEP, RIDGE, STEPS = 0.6, 0.01, 40
+STRAY = 0.02  # documents of other classes that have one of a class's features, at least
+RIDGE, STEPS, CLOSE, STILL = 1e-4, 60, 0.002, 1e-4
 CLEAN = 0.9  # posterior from which draw() takes a document once
 MOST_BROADCAST = 4_000_000  # rows of 16 bytes
 CAPITALS, SYMBOLS = "[A-Z]", "[#*$%&|<>]"
@@ -67,29 +78,24 @@ def _features(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 class Classifier:
-    """Prior log weights and, for a class's typical features, log weights of the domains by how many a document has (0, 1, more)."""
+    """For each class but the first: log-odds without any typical feature, and what each one that a document has adds."""
 
-    def __init__(self, prior: list[float], evidence: list[tuple[list[str], list[list[float]]]]):
-        self.prior, self.evidence = prior, evidence
-
-    def hits(self, words: Column) -> list[Column]:
-        """0, 1 or 2 (and more) for each class with evidence, from one column of a document's typical features."""
-        own = lambda names: F.filter(words, lambda w: w.isin(names))
-        return [F.least(F.size(own(names)), F.lit(2)) for names, _ in self.evidence]
+    def __init__(self, base: list[float], weights: list[dict[str, float]]):
+        self.base, self.weights = base, weights
 
     def features(self) -> list[str]:
-        return sorted({x for names, _ in self.evidence for x in names})
+        return sorted({x for w in self.weights for x in w})
+
+    def odds(self, hits: Column) -> list[Column]:
+        """Odds against the first class, from the column of a document's typical features."""
+
+        def total(base: float, weights: dict[str, float]) -> Column:
+            if not weights:
+                return F.lit(base)
+            table = F.create_map(*(F.lit(x) for f, w in sorted(weights.items()) for x in (f, w)))
+            return F.aggregate(hits, F.lit(base), lambda a, f: a + F.coalesce(F.try_element_at(table, f), F.lit(0.0)))
 
-    def table(self) -> list[list[float]]:
-        """Posteriors for every combination of hits, the first class's hits first."""
-        rows = [self.prior]
-        for _, weights in self.evidence:
-            rows = [[a + b for a, b in zip(r, w, strict=True)] for r in rows for w in weights]
-        out = []
-        for r in rows:
-            odds = [math.exp(x - max(r)) for x in r]
-            out.append([round(x / sum(odds), 6) for x in odds])
-        return out
+        return [F.exp(F.least(total(*x), F.lit(50.0))) for x in zip(self.base, self.weights, strict=True)]
 
 
 def _having(words: Column, names: list[str]) -> Column:
@@ -105,29 +111,26 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     have = {r["k"]: r["count"] for r in rows.groupBy("k").count().collect()}
     size = [have.get(k, 0) for k in range(len(DOMAINS))]
     total = sum(size)
-    prior = [math.log((n + 0.5) / (total + 0.5 * len(DOMAINS))) for n in size] if total else [0.0, -30.0, -30.0]
     counts = rows.select("k", F.explode("words").alias("f")).groupBy("f").agg(*(F.sum(F.when(F.col("k") == k, 1).otherwise(0)).alias(f"n{k}") for k in range(len(DOMAINS))))
-    counts = _scratch.write(counts.where(f"n0 + n1 + n2 >= {LEAST_DOCS}"), "features")
-    evidence = []
+    counts = _scratch.write(counts.where(f"n0 + n1 + n2 >= {LEAST_DOCS}"), "features", small=True)
+    base, every = [], []
     for k in range(1, len(DOMAINS)):
         mine, rest = F.col(f"n{k}"), F.col("n0") + F.col("n1") + F.col("n2") - F.col(f"n{k}")
         lift = (mine + 0.5) / (size[k] + 1) / ((rest + 0.5) / (total - size[k] + 1))
         best = counts.where((mine >= max(LEAST_DOCS, LEAST_SHARE * size[k])) & (lift >= LIFT)).orderBy(F.desc(mine * F.log(lift)), "f").limit(max_features)
-        names = [r["f"] for r in best.select("f").collect()]
-        if not names:
-            continue
-        hits = F.least(F.size(_having(F.col("words"), names)), F.lit(2)).alias("hits")
-        seen = {(r["k"], r["hits"]): r["count"] for r in rows.groupBy("k", hits).count().collect()}
-        table = []
-        for h in range(3):
-            # The features were chosen on the same sample for being rare in the other classes, which are
-            # therefore held to have them a little more often than was seen.
-            p = [(seen.get((j, h), 0) + 0.5) / (size[j] + 1.5) if j == k else (seen.get((j, h), 0) / max(1, size[j]) + STRAY[h]) / 2 for j in range(len(DOMAINS))]
-            table.append([math.log(x / p[0]) for x in p])
-        evidence.append((names, table))
+        found = best.select("f", mine.alias("mine"), rest.alias("rest")).collect()
+        odds = math.log((size[k] + 0.5) / (size[0] + 0.5)) if total else -30.0
+        weights = {}
+        for f, n, other in found:
+            p = (n + 0.5) / (size[k] + 1)
+            q = (other + 0.5) / (total - size[k] + 1) + STRAY / len(found)
+            odds += math.log((1 - p) / (1 - q))
+            weights[f] = math.log(p / (1 - p)) - math.log(q / (1 - q))
+        base.append(odds)
+        every.append(weights)
     _scratch.drop(rows)
     _scratch.drop(counts)
-    return Classifier(prior, evidence)
+    return Classifier(base, every)
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *keep: str) -> DataFrame:
@@ -136,14 +139,15 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     model = fit(named, labels.select(F.col(id_col).alias("id"), "quality", "toxic"))
     all_ = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(keep)))
     kept = ["id", *(f"_{i}" for i in range(len(keep)))]
-    out = _features(all_, *kept).select(*kept, "n_tokens", (_having(F.col("words"), model.features()) if model.evidence else F.array().cast("array<string>")).alias("hits"))
-    place = F.lit(0)
-    for h in model.hits(F.col("hits")):
-        place = place * 3 + h
-    out = out.select(*kept, "n_tokens", place.alias("place"))
-    table = model.table()
-    p = [F.get(F.array(*(F.lit(r[k]) for r in table)), F.col("place")).alias(f"p_{d}") for k, d in enumerate(DOMAINS)]
-    return out.select(F.col("id").alias(id_col), *(F.col(f"_{i}").alias(c) for i, c in enumerate(keep)), "n_tokens", *p)
+    names = model.features()
+    out = _features(all_, *kept).select(*kept, "n_tokens", (_having(F.col("words"), names) if names else F.array().cast("array<string>")).alias("hits"))
+    # Most documents have no typical feature; the odds are worked out for the others.
+    odds = F.when(F.size("hits") == 0, F.array(*(F.lit(math.exp(x)) for x in model.base))).otherwise(F.array(*model.odds(F.col("hits"))))
+    out = out.select(*kept, "n_tokens", odds.alias("odds"))
+    whole = F.lit(1.0) + sum((F.get("odds", F.lit(k)) for k in range(1, len(model.base))), F.get("odds", F.lit(0)))
+    p = [F.round(F.get("odds", F.lit(k)) / whole, 4) for k in range(len(model.base))]
+    p = [F.round(F.lit(1.0) - sum(p[1:], p[0]), 4), *p]
+    return out.select(F.col("id").alias(id_col), *(F.col(f"_{i}").alias(c) for i, c in enumerate(keep)), "n_tokens", *(x.alias(f"p_{d}") for x, d in zip(p, DOMAINS, strict=True)))
 
 
 def _rate(history: list[list[float]]) -> Column:
@@ -155,14 +159,14 @@ def _rate(history: list[list[float]]) -> Column:
 
     def step(r: Column, e: Column) -> Column:
         slope = sum((p[k] * F.get(e, F.lit(k)) for k in range(1, len(p))), p[0] * F.get(e, F.lit(0)))
-        return F.greatest(F.lit(0.0), r - F.lit(STEP) * (slope + F.lit(RIDGE) * (r - 1)))
+        return F.greatest(F.lit(0.0), r - (slope + F.lit(RIDGE) * (r - 1)) / F.lit(1 + RIDGE))
 
     return F.aggregate(steps, F.lit(1.0), step)
 
 
 def fit_rates(scored: DataFrame, targets: dict[str, float] = TARGETS, steps: int = STEPS) -> list[list[float]]:
     """The gradient of every step; scored has n_tokens and the posteriors."""
-    groups = _scratch.write(scored.groupBy(*(f"p_{d}" for d in DOMAINS)).agg(F.sum("n_tokens").alias("n_tokens")), "posteriors")
+    groups = _scratch.write(scored.groupBy(*(f"p_{d}" for d in DOMAINS)).agg(F.sum("n_tokens").alias("n_tokens")), "posteriors", small=True)
     totals = lambda h: [float(x or 0) for x in groups.select("n_tokens", *(f"p_{d}" for d in DOMAINS), _rate(h).alias("r")).agg(*(F.sum(F.col("n_tokens") * F.col("r") * F.col(f"p_{d}")) for d in DOMAINS)).first()]
     present = totals([])
     share = [targets.get(d, 0.0) / (sum(targets.values()) or 1.0) for d in DOMAINS]
@@ -171,8 +175,10 @@ def fit_rates(scored: DataFrame, targets: dict[str, float] = TARGETS, steps: int
     history: list[list[float]] = []
     for _ in range(steps):
         now = totals(history) if history else present
+        if all(abs(a - b) <= CLOSE * (b or size) for a, b, m in zip(now, goal, present, strict=True) if m > 0):
+            break
         slope = [(a - b) / m if m > 0 else 0.0 for a, b, m in zip(now, goal, present, strict=True)]
-        if max(map(abs, slope)) < 1e-4:
+        if history and max(abs(x - y) for x, y in zip(slope, history[-1], strict=True)) < STILL:
             break
         history.append(slope)
     _scratch.drop(groups)
@@ -202,14 +208,12 @@ def draw(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     other = _scratch.write(scored.select("_key", copies).where("_copies <> 1").distinct(), "copies")
     _scratch.release(since, other)
     other = F.broadcast(other) if other.count() <= MOST_BROADCAST else other.hint("merge")
-    out = docs.withColumn("_key", key).join(other, "_key", "left")
-    return out.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.coalesce("_copies", F.lit(1)))).alias("_copy")).select(docs.columns)
+    out = docs.alias("d").join(other.alias("o"), F.xxhash64(F.col(f"d.`{id_col}`"), F.col(f"d.`{text_col}`")) == F.col("o._key"), "left")
+    every = F.struct(*(F.col(f"d.`{c}`") for c in docs.columns))
+    return out.select(F.explode(F.array_repeat(every, F.coalesce("o._copies", F.lit(1)))).alias("d")).select("d.*")
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, float] = TARGETS, least: float = 0.4) -> DataFrame:
-    """The rows of docs, all columns, whose rate is `least` at least, once each: a filter that does not meet the targets, as draw() does."""
-    since = _scratch.mark()
-    scored = _scratch.write(posteriors(docs, labels, id_col, text_col), "scored")
-    gone = _scratch.write(scored.withColumn("rate", _rate(fit_rates(scored, targets))).where(F.col("rate") < least).select(id_col).distinct(), "left-out")
-    _scratch.release(since, gone)
-    return _scratch.by_ids(docs, id_col, gone, "left_anti").select(docs.columns)
+def shares(rated: DataFrame) -> list[float]:
+    """Expected shares of the domains in the mixture; rated: what rates() returns."""
+    sums = [float(x or 0) for x in rated.agg(*(F.sum(F.col("n_tokens") * F.col("rate") * F.col(f"p_{d}")) for d in DOMAINS)).first()]
+    return [x / (sum(sums) or 1.0) for x in sums]
