@@ -15,8 +15,10 @@ The id stream is the concatenation of the documents in ascending doc_id order;
 `start` is a document's place in it.
 
 Edge cases: a null text is an empty one and holds the end id alone; repeated
-doc_ids stay separate rows, ordered among themselves by their root; an empty
-table gives an empty store.
+doc_ids stay separate rows, ordered among themselves by their root (rows that agree in
+both are equal); null ids come first; a text of any length is one document of many
+chunks; columns other than the two named are not looked at; an empty table gives an
+empty store.
 """
 
 from __future__ import annotations
@@ -40,7 +42,8 @@ MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK = 128, 1024, 8192
 PART = 1 << 16  # documents under one Merkle root below that of their file
 _ROLL = 16  # ids under the rolling hash
 _TABLE = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 1 << 16, dtype=np.uint64)
-_MEMO = 3_000_000  # distinct words that a worker remembers
+_MEMO = 1_000_000  # distinct words that a worker remembers, some 50 bytes each
+_SEEN = 1 << 17  # chunk names that a task remembers
 
 
 class Memo:
@@ -208,7 +211,7 @@ def _encode(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame
                 ids, bounds = encode(t)
                 doc_ids = b.column(0).slice(lo, t.n).to_pylist()
                 rows: list[tuple] = []
-                if len(seen) > 1_000_000:
+                if len(seen) > _SEEN:
                     seen.clear()
                 for d, ends in enumerate(cuts(ids, bounds)):
                     at, shas = int(bounds[d]), []
@@ -225,7 +228,7 @@ def _encode(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(a, b.schema.field(0).type), pa.array(s, pa.binary()), pa.array(n, pa.int64()), pa.array(p, pa.binary()), pa.array(m, pa.binary())], [id_col, "sha", "n", "payload", "root"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, sha binary, n long, payload binary, root binary")
+    return docs.select(id_col, text_col).mapInArrow(W.lean(run), f"`{id_col}` {kind}, sha binary, n long, payload binary, root binary")
 
 
 def save(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -235,8 +238,8 @@ def save(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", tex
     # Most chunks came from one task only and are written without a shuffle; of the others one copy is kept.
     chunks = raw.where("payload is not null").select("sha", "n", "payload")
     shared = _scratch.write(chunks.groupBy("sha").agg(F.count("*").alias("c")).where("c > 1").select("sha"), "shared")
-    once = _scratch.by_ids(chunks, "sha", shared, "left_anti", 1_000_000)
-    again = _scratch.by_ids(chunks, "sha", shared, "left_semi", 1_000_000).dropDuplicates(["sha"])
+    once = _scratch.by_ids(chunks, "sha", shared, "left_anti")
+    again = _scratch.by_ids(chunks, "sha", shared, "left_semi").dropDuplicates(["sha"])
     once.unionByName(again).write.option("compression", "none").parquet(f"{path}/chunks")
     _scratch.drop(shared)
     # Recipes in ascending order. The range exchange is written down before places are summed up,
@@ -257,15 +260,20 @@ def save(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", tex
     placed = placed.withColumn("part", F.floor((F.row_number().over(order) - 1) / PART).cast("int"))
     placed = placed.join(F.broadcast(places.select("file", F.col("start").alias("base"))), "file")
     placed.select("doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "shas", "root", "file", "part").write.option("compression", "zstd").parquet(f"{path}/recipes")
-    # Merkle roots of parts of a file, then of files: no group is larger than PART documents.
-    roots = spark.read.parquet(f"{path}/recipes").groupBy("file", "part").agg(F.array_sort(F.collect_list(F.struct("start", "root"))).alias("r"))
+    by_file = _file_roots(spark.read.parquet(f"{path}/recipes"))
+    root = spark.createDataFrame(list(by_file.items()), "file int, root binary")
+    places.join(F.broadcast(root), "file").coalesce(1).write.parquet(f"{path}/manifest")
+    _scratch.drop(staged)
+
+
+def _file_roots(recipes: DataFrame) -> dict[int, bytes]:
+    """Merkle root of each recipe file, over the roots of its parts: no group is larger than PART documents."""
+    roots = recipes.groupBy("file", "part").agg(F.array_sort(F.collect_list(F.struct("start", "root"))).alias("r"))
     roots = roots.select("file", "part", F.transform("r", lambda x: x["root"]).alias("r")).mapInArrow(_part_roots, "file int, part int, root binary")
     by_file: dict[int, list[bytes]] = {}
     for f, _, r in sorted((x["file"], x["part"], bytes(x["root"])) for x in roots.collect()):
         by_file.setdefault(f, []).append(r)
-    root = spark.createDataFrame([(f, merkle(r)) for f, r in by_file.items()], "file int, root binary")
-    places.join(F.broadcast(root), "file").coalesce(1).write.parquet(f"{path}/manifest")
-    _scratch.drop(staged)
+    return {f: merkle(r) for f, r in by_file.items()}
 
 
 def _part_roots(batches):
@@ -329,12 +337,32 @@ def _recipe_chunks(path: str, spark: SparkSession, chunks: DataFrame, *columns:
     return joined.groupBy("start").agg(F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), F.first("root").alias("root"), F.array_sort(F.collect_list(F.struct("seq", "sha", *columns))).alias("c"))
 
 
+def verify(spark: SparkSession, path: str) -> None:
+    """Holds the recipes against the manifest: each file's Merkle root, documents, ids and place in the stream."""
+    recipes, manifest = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/manifest")
+    roots = _file_roots(recipes)
+    # One row for each file: bounded by the number of partitions.
+    files = recipes.groupBy("file").agg(F.count("*"), F.sum("n_tokens"), F.min("start"), F.max(F.col("start") + F.col("n_tokens")))
+    found = {f: (n, ids, start, end, roots[f]) for f, n, ids, start, end in files.collect()}
+    named, at = {}, 0
+    for r in manifest.orderBy("file").collect():
+        if r["start"] != at:
+            raise ValueError(f"file {r['file']} begins at id {r['start']}, not {at}")
+        at += r["n_tokens"]
+        named[r["file"]] = (r["n_docs"], r["n_tokens"], r["start"], at, bytes(r["root"]))
+    for f in named.keys() | found.keys():
+        if named.get(f) != found.get(f):
+            raise ValueError(f"the recipes of file {f} do not agree with the manifest")
+
+
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and CRC-32 of the ids of each document, from the files of the store.
 
-    Every chunk is decompressed and held against its name, every document against its Merkle root.
+    The recipes are held against the manifest first; then every chunk is decompressed and held
+    against its name, every document against its Merkle root.
     """
-    chunks = spark.read.parquet(f"{path}/chunks").select("sha", "n", "payload").mapInArrow(_check_chunks, "sha binary, n long, crc long")
+    verify(spark, path)
+    chunks = spark.read.parquet(f"{path}/chunks").select("sha", "n", "payload").mapInArrow(W.lean(_check_chunks), "sha binary, n long, crc long")
 
     def run(batches):
         for b in batches:
@@ -350,7 +378,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), b.column(2), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     out = _recipe_chunks(path, spark, chunks, "n", "crc").select("start", "doc_id", "n_tokens", "root", "c")
-    return out.mapInArrow(run, f"doc_id {out.schema['doc_id'].dataType.simpleString()}, start long, n_tokens long, ids_crc32 long")
+    return out.mapInArrow(W.lean(run), f"doc_id {out.schema['doc_id'].dataType.simpleString()}, start long, n_tokens long, ids_crc32 long")
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
@@ -369,8 +397,17 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """Saves docs and returns the digests that are read back."""
+    """Saves docs and returns the digests that are read back; without a path the store is deleted when they have been read."""
     spark = docs.sparkSession
+    since, own = _scratch.mark(), path is None
     path = path or f"{_scratch.shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     save(docs, path, tokenizer, id_col, text_col)
-    return digests(spark, path)
+    _scratch.tidy(spark)
+    if not own:
+        return digests(spark, path)
+    try:
+        out = _scratch.write(digests(spark, path), "digests")
+    finally:
+        _scratch.delete(spark, path)
+    _scratch.release(since, out)
+    return out
