@@ -15,26 +15,35 @@ SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
 
 
-def quality_kept(x):
+def bad_lines(x):
+    """For each line whether it fails a rule; words in all, in failing lines and in repeated windows."""
     w = SPACE.findall(x)
     grams = collections.Counter(zip(w, w[1:], w[2:]))
     covered = {i + k for i in range(len(w) - 2) for k in range(3) if grams[tuple(w[i : i + 3])] > 1}
-    if len(w) < 50 or 100 * len(covered) > 50 * len(w):
-        return False
-    at = lost = 0
+    at, lost, out = 0, 0, []
     for line in x.split("\n"):
         v = SPACE.findall(line)
         n, up, small = len(v), len(re.findall("[A-Z]", line)), len(re.findall("[a-z]", line))
         bad = n and (
             10 * len(re.findall(r"[#*$%&|<>]", line)) > n
             or (up + small >= 10 and 2 * up > up + small)
-            or (n <= quality.SHORT_LINE and v[-1][-1] < "\x80" and v[-1][-1] not in quality.TERMINAL)
+            or (n <= quality.SHORT_LINE and v[-1][-1] not in quality.TERMINAL + quality.TERMINAL_WIDE)
             or (n >= 10 and 2 * sum(i in covered for i in range(at, at + n)) > n)
             or any(p.decode() in line.translate(LOWER) for p in quality.BOILERPLATE)
         )
         lost += n if bad else 0
         at += n
-    return lost <= quality.MAX_LOST * len(w)
+        out.append(bool(bad))
+    return out, len(w), lost, len(covered)
+
+
+def quality_kept(x):
+    _, n, lost, covered = bad_lines(x)
+    return n >= 50 and 100 * covered <= 50 * n and lost <= quality.MAX_LOST * n
+
+
+def without_bad_lines(x):
+    return "\n".join(s for s, bad in zip(x.split("\n"), bad_lines(x)[0]) if not bad)
 
 
 def one_of_each(rows, k=5, percent=80):
@@ -94,38 +103,51 @@ def mixed(rows, labels):
         if i in known:
             for w in f:
                 counts[w][known[i]] += 1
-    evidence = []
+    base, weights = [], []
     for k in (1, 2):
         scored = []
         for w, c in counts.items():
             lift = (c[k] + 0.5) / (size[k] + 1) / ((sum(c) - c[k] + 0.5) / (total - size[k] + 1))
             if sum(c) >= mixing.LEAST_DOCS and c[k] >= max(mixing.LEAST_DOCS, mixing.LEAST_SHARE * size[k]) and lift >= mixing.LIFT:
                 scored.append((-c[k] * math.log(lift), w.encode()))
-        names = {w.decode() for _, w in sorted(scored)[: mixing.MAX_FEATURES]}
-        if names:
-            seen = collections.Counter((known[i], min(2, len(f & names))) for i, (_, f) in have.items() if i in known)
-            table = []
-            for h in range(3):
-                p = [(seen[j, h] + 0.5) / (size[j] + 1.5) if j == k else (seen[j, h] / max(1, size[j]) + mixing.STRAY[h]) / 2 for j in range(3)]
-                table.append([math.log(v / p[0]) for v in p])
-            evidence.append((names, table))
+        names = [w.decode() for _, w in sorted(scored)[: mixing.MAX_FEATURES]]
+        odds, mine = math.log((size[k] + 0.5) / (size[0] + 0.5)), {}
+        for w in names:
+            p = (counts[w][k] + 0.5) / (size[k] + 1)
+            q = (sum(counts[w]) - counts[w][k] + 0.5) / (total - size[k] + 1) + mixing.STRAY / len(names)
+            odds += math.log((1 - p) / (1 - q))
+            mine[w] = math.log(p / (1 - p)) - math.log(q / (1 - q))
+        base.append(odds)
+        weights.append(mine)
     post = {}
     for i, (n, f) in have.items():
-        logs = list(prior)
-        for names, table in evidence:
-            logs = [a + b for a, b in zip(logs, table[min(2, len(f & names))])]
-        odds = [math.exp(v - max(logs)) for v in logs]
-        post[i] = n, [round(v / sum(odds), 6) for v in odds]
+        odds = [math.exp(min(50, b + sum(w.get(x, 0) for x in f))) for b, w in zip(base, weights)]
+        p = [round(o / (1 + sum(odds)), 4) for o in odds]
+        post[i] = n, [round(1 - sum(p), 4), *p]
     rate = dict.fromkeys(post, 1.0)
     mass = [sum(n * p[k] for n, p in post.values()) for k in range(3)]
     goal = [mass[0] / 0.98 * s for s in (0.98, 0.02, 0.0)]
+    slope: list[float] = []
     for _ in range(mixing.STEPS):
         now = [sum(n * rate[i] * p[k] for i, (n, p) in post.items()) for k in range(3)]
-        slope = [(a - b) / m if m > 0 else 0.0 for a, b, m in zip(now, goal, mass)]
-        if max(map(abs, slope)) < 1e-4:
+        if all(abs(a - b) <= mixing.CLOSE * (b or mass[0] / 0.98) for a, b, m in zip(now, goal, mass) if m > 0):
+            break
+        slope, last = [(a - b) / m if m > 0 else 0.0 for a, b, m in zip(now, goal, mass)], slope
+        if last and max(abs(x - y) for x, y in zip(slope, last)) < mixing.STILL:
             break
-        rate = {i: max(0.0, r - mixing.STEP * (sum(e * v for e, v in zip(slope, post[i][1])) + mixing.RIDGE * (r - 1))) for i, r in rate.items()}
-    return [(i, x) for i, x in rows if rate[i] >= 0.4]
+        rate = {i: max(0.0, r - (sum(e * v for e, v in zip(slope, post[i][1])) + mixing.RIDGE * (r - 1)) / (1 + mixing.RIDGE)) for i, r in rate.items()}
+    else:
+        raise AssertionError("the rates do not settle")
+    return {i: 1.0 if post[i][1][0] >= mixing.CLEAN else r for i, r in rate.items()}
+
+
+def drawn(spark, rows, rate):
+    """Each row as often as its rate and the hash of id and text say."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    share = F.pmod(F.xxhash64(F.lit("copies"), F.xxhash64("doc_id", "text")), F.lit(1 << 32)) / (1 << 32)
+    return sorted((r["doc_id"], r["text"]) for r in df.withColumn("u", share).collect() for _ in range(int(rate[r["doc_id"]] + r["u"])))
 
 
 def test_pipeline(spark):
@@ -133,16 +155,17 @@ def test_pipeline(spark):
 
     read = lambda t, *c: [tuple(r) for r in queries.table(spark, DIR, t).select(*c).collect()]
     rows = sorted(read("documents", "doc_id", "text"))
-    want = [[(i, x) for i, x in rows if quality_kept(x)]]
+    want = [[(i, without_bad_lines(x)) for i, x in rows if quality_kept(x)]]
     want.append(one_of_each(want[-1]))
     want.append(clean_of(want[-1], [x for (x,) in read("benchmark", "text")]))
-    want.append(mixed(want[-1], read("labels", "doc_id", "quality", "toxic")))
+    want.append(drawn(spark, want[-1], mixed(want[-1], read("labels", "doc_id", "quality", "toxic"))))
     docs = queries.table(spark, DIR, "documents")
     columns = docs.columns
     for (name, stage), expected in zip(corpus_pipeline.STAGES[:-1], want):
         docs = stage(spark, docs, DIR)
         assert docs.columns == columns
         assert sorted((r["doc_id"], r["text"]) for r in docs.collect()) == expected, name
+        assert docs.where("n_chars <> length(text)").isEmpty()
     tokenizer, at, last = Tokenizer.from_file(queries.tokenizer("word_bpe_49k.json")), 0, []
     for i, x in want[-1]:
         ids = [*tokenizer.encode(x, add_special_tokens=False).ids, 1]
