@@ -8,13 +8,14 @@ the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from keystrand.llm import _scratch, decontaminate, mixing, ngram_join, quality, queries, token_store
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality.filter_documents(docs)
+    """Documents that the quality rules keep, without the lines that fail them."""
+    return quality.filter_documents(docs, clean_lines=True).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
