@@ -5,6 +5,9 @@ A batch is a start record (number of records, sequence number), its records
 records' bytes and a trailer.  A batch without a proper end, or one that runs
 into the next start, is the torn tail of a broken-off write and is left out
 with all that follows; a complete batch with a wrong hash is an error.
+
+A writer keeps one journal open and starts the next when it has grown; journals
+whose batches have all reached a database can be evicted.
 """
 
 from __future__ import annotations
@@ -97,3 +100,66 @@ def read_journals(spark: SparkSession, path: str, trailer: bytes = TRAILER) -> D
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, SCHEMA)
+
+
+class JournalWriter:
+    """Journals in a folder of `files` (a store.Files), each named for the sequence number of its first batch.
+
+    What was written is safe once persist() (or close) has returned: the open journal is then written
+    under its name as a whole, as not every file system can append.
+    """
+
+    def __init__(self, files, folder: str, rotate_at: int = 64 << 20, trailer: bytes = TRAILER):
+        self.files, self.folder, self.rotate_at, self.trailer = files, folder, rotate_at, trailer
+        self.first, self.open, self.dirty = None, bytearray(), False
+
+    def write(self, seqno: int, rows: list[tuple]) -> None:
+        """Adds a batch of rows (keyspace_id, kind, key, value); a batch is never in two journals."""
+        if self.first is None:
+            self.first = seqno
+        self.open += encode_batch(seqno, rows, trailer=self.trailer)
+        self.dirty = True
+        if len(self.open) >= self.rotate_at:
+            self.rotate()
+
+    def persist(self) -> None:
+        if self.dirty:
+            self.files.put(f"{self.folder}/{self.first:020d}", bytes(self.open))
+            self.dirty = False
+
+    def rotate(self) -> None:
+        """Seals the open journal; the next batch begins another."""
+        self.persist()
+        self.first, self.open = None, bytearray()
+
+    def evict(self, below: int) -> list[str]:
+        """Deletes sealed journals all of whose batches have sequence numbers under `below`; their names."""
+        names = self.files.list(self.folder)
+        gone = [name for name, after in zip(names, [*names[1:], None], strict=True) if int(name) != self.first and after is not None and int(after) <= below]
+        for name in gone:
+            self.files.delete(f"{self.folder}/{name}")
+        return gone
+
+    def __enter__(self) -> JournalWriter:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.persist()
+
+
+def replay(db, path: str, keyspaces: dict[int, str], trailer: bytes = TRAILER) -> int | None:
+    """Brings the state after all whole batches of the journals under path into a database, in one commit.
+
+    keyspaces: names by the journals' keyspace ids; those not named are left out.  Keys and values are bytes.
+    """
+    from keystrand.operators.maintain import latest
+
+    log, batch = read_journals(db.spark, path, trailer), db.batch()
+    for id_, name in keyspaces.items():
+        ks = db.keyspace(name)
+        rows = latest(log.where(log["keyspace_id"] == id_).drop("file"))
+        batch.remove_all(ks, rows.where(rows["kind"].isin(TOMBSTONE, WEAK)).select("key"))
+        batch.insert_all(ks, rows.where(rows["kind"] == VALUE).select("key", "value"))
+        if not rows.where(rows["kind"] == CLEAR).isEmpty():
+            batch.clear(ks)
+    return batch.commit()

@@ -399,7 +399,7 @@ class Keyspace:
         self.db.batch().remove_weak(self, key).commit()
 
     def clear(self) -> None:
-        self.db.batch()._add(self, CLEAR, None, None).commit()
+        self.db.batch().clear(self).commit()
 
     def ingest(self, items: DataFrame, kind: str = VALUE) -> None:
         """Bulk load of items (key, value) under one commit, dealt out by key ranges; repeated keys are refused."""
@@ -510,6 +510,10 @@ class WriteBatch:
     def remove_weak(self, ks: Keyspace, key) -> WriteBatch:
         return self._add(ks, WEAK, key, None)
 
+    def clear(self, ks: Keyspace) -> WriteBatch:
+        """Empties the keyspace; what the batch writes to it later stays."""
+        return self._add(ks, CLEAR, None, None)
+
     def insert_all(self, ks: Keyspace, items: DataFrame) -> WriteBatch:
         """Adds a DataFrame (key, value) of any size; frames come after the single writes, in the order of the calls."""
         self.frames.append((ks, VALUE, checked(items)))

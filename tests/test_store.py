@@ -445,3 +445,27 @@ def test_codecs(spark):
     got = df.select(codecs.year_index_key(F.col("year"), F.col("id")).alias("i"), codecs.try_json(F.col("j"), "ttl int")["ttl"].alias("t"), codecs.split_compound(F.col("k"), 1).alias("v"), codecs.encode_json(F.col("id")).alias("e"), codecs.compound(F.col("id"), F.col("k")).alias("c")).collect()
     assert [bytes(r["i"]) for r in got] == [(1994).to_bytes(8, "big") + b"\0id-1", (300).to_bytes(8, "big") + b"\0b"]
     assert [r["t"] for r in got] == [5, None] and [r["v"] for r in got] == ["v", None] and got[1]["e"] == '{"id":"b"}' and got[1]["c"] == "b\0x"
+
+
+def test_journal_writer_rotation_eviction_and_replay(db, spark):
+    from keystrand.sources.journal import JournalWriter, replay
+
+    with JournalWriter(db.files, "journal", rotate_at=200) as w:
+        for n in range(10):
+            w.write(n, [(1, "V", f"k{n % 4}".encode(), f"v{n}".encode()), (2, "V", b"x", b"y")])
+        w.write(10, [(1, "T", b"k0", None), (2, "C", None, None), (2, "V", b"z", b"1")])
+    names = db.files.list("journal")
+    assert len(names) > 2 and names[0] == f"{0:020d}"
+    old = db.keyspace("two")
+    old.insert(b"before", b"gone")
+    replay(db, f"{db.root}/journal", {1: "one", 2: "two"})
+    assert dict(rows_of(db.keyspace("one").iter())) == {b"k1": b"v9", b"k2": b"v6", b"k3": b"v7"}
+    assert dict(rows_of(old.iter())) == {b"z": b"1"}
+    assert w.evict(int(names[2])) == names[:2] and db.files.list("journal") == names[2:]
+    assert w.evict(100) == names[2:-1]  # the open one stays
+    torn = JournalWriter(db.files, "torn")
+    torn.write(0, [(1, "V", b"a", b"1")])
+    torn.write(1, [(1, "V", b"b", b"2")])
+    db.files.put("torn/0", bytes(torn.open[:-3]))
+    replay(db, f"{db.root}/torn", {1: "three"})
+    assert dict(rows_of(db.keyspace("three").iter())) == {b"a": b"1"}
