@@ -5,21 +5,20 @@ and b shingles link when their intersection reaches T = ceil(t (a + b) / (1 + t)
 
 * Divide.  The shingles of all sets stand in one order: first those whose inverted
   lists are short, then the long ones (of shingles that many sets hold).  A set of n
-  leaves out its last lists, `left` of them, and merges the others.  Two linked sets
-  share T - left or more of the lists that both merge, left being the greater of
-  the two.  Also, they share one of the first n - ceil(t n) + 1 lists of each, so
-  sets need to meet in those only.  Which lists count as long only decides the work.
-* Merge.  The postings of each of those first lists are brought together by a
-  shuffle that sorts by list; lists with the same members are one.  A list is
-  dealt into blocks of at most `BLOCK` members, with a few pivots of the list in
-  every block, so no list has to fit one task.  A block makes inverted lists of all
-  that its members merge and counts for each pair in how many of them it occurs:
-  those that reach T - left are candidates.
-* Skip.  Of the candidates of a block a spanning forest is proposed, those that
-  share most first; pairs within one component are never listed.  The lists that
-  were left out are not merged: a proposed pair is verified by binary-probing all
-  shingles of the smaller set in the sorted larger one, which asks of each list
-  whether it holds the other set, and links if T is reached.
+  leaves out its last L = ceil(t n) - 1 lists, which are fewer than any partner
+  must share, and merges the others.  Which lists count as long only decides the work.
+* Merge.  The postings of each merged list are brought together by a shuffle
+  that sorts by list; lists with the same members are one.  A list is dealt into
+  blocks of at most `BLOCK` members, with a few pivots of the list in every block, so
+  no list has to fit one task.  With so many lists left out, one occurrence in the
+  merged ones makes a candidate.
+* Skip.  Of the candidates in a block that a size bound and a bound on the symmetric
+  difference (parity bitmaps) leave, a spanning forest is proposed, nearest
+  pairs first; pairs within one component are never listed.  For a proposed pair the
+  short lists of the smaller set are merged with those of the larger; if the
+  occurrences and the number of its long lists reach T together, the long lists are
+  probed, by binary search for their shingles in the larger set, which asks of each
+  list whether it holds that set.  The pair links if T is reached.
 * Rounds.  Verified links are contracted to components and refused pairs are
   remembered.  A list of one block all of whose proposals link is settled.  The
   others propose again: each member its nearest partners in other components,
@@ -55,8 +54,7 @@ LONG = 64  # sets that hold a shingle, from which on its list is long
 MOST_LONG = 2_000_000  # long lists that are broadcast (16 MB); beyond, the longest
 BLOCK, PIVOTS = 512, 32
 TRIES = 8  # partners that a member proposes in a later round
-MERGED = 1.5  # lists that a set merges, times those in which it meets others
-SMALL = 32  # members up to which a block's pairs are counted list by list
+BITS = 1024  # least width of a parity bitmap
 #: Hashes are this wide, so that a row of a block, the kind of list and the hash fit 64 bits.
 HASH_BITS, ROWS = 52, 2048
 
@@ -125,57 +123,48 @@ def needed(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-def merged(bounds: np.ndarray, sizes: np.ndarray, values: np.ndarray, at_once: int = 1 << 21):
-    """(i, j, c) arrays: pairs of members of one group, and in how many of the lists that they merge both occur.
+def map_bits(n: np.ndarray, percent: int) -> np.ndarray:
+    """Width of the bitmap of a set of n: a power of two, 2.4 times the greatest symmetric difference of a link or more."""
+    want = 2.4 * n * 2 * (100 - percent) / (100 + percent)
+    return np.maximum(BITS, 1 << np.ceil(np.log2(np.maximum(1, want))).astype(np.int64))
+
+
+def parity_maps(r: np.ndarray, g: np.ndarray, n: np.ndarray, percent: int) -> list[bytes]:
+    """For each set, whether the number of elements at each place is odd. The distance of two maps bounds the symmetric difference from below."""
+    bits = map_bits(n, percent)
+    out: list[bytes] = [b""] * len(n)
+    spot = W.mix(g ^ _SALT)
+    for b in np.unique(bits).tolist():
+        rows = np.flatnonzero(bits == b)
+        number = np.full(len(n), -1)
+        number[rows] = np.arange(len(rows))
+        mine = number[r] >= 0
+        place = number[r[mine]] * b + (spot[mine] & np.uint64(b - 1)).astype(np.int64)
+        odd = np.bincount(place, minlength=len(rows) * b).astype(np.uint8) & 1
+        for i, x in zip(rows.tolist(), np.packbits(odd.reshape(-1, b), axis=1), strict=True):
+            out[i] = x.tobytes()
+    return out
 
-    bounds: of the groups among the members; sizes and values: each member's lists.
-    """
-    m = np.diff(bounds)
-    first = np.concatenate([[0], np.cumsum(sizes)])
-    work = (first[bounds[1:]] - first[bounds[:-1]]) * np.minimum(m, SMALL)
-    total = np.concatenate([[0], np.cumsum(work)])
-    lo = 0
-    while lo < len(m):
-        if m[lo] > SMALL:
-            yield _dense(bounds[lo], sizes[bounds[lo] : bounds[lo + 1]], values[first[bounds[lo]] : first[bounds[lo + 1]]])
-            lo += 1
-            continue
-        hi = min(max(lo + 1, int(np.searchsorted(total, total[lo] + at_once, "right")) - 1), lo + (1 << (64 - HASH_BITS)) - 1)
-        large = np.flatnonzero(m[lo:hi] > SMALL)
-        hi = lo + int(large[0]) if len(large) else hi
-        members = np.arange(bounds[lo], bounds[hi])
-        member = np.repeat(members, sizes[bounds[lo] : bounds[hi]])
-        group = np.repeat(np.repeat(np.arange(hi - lo), m[lo:hi]), sizes[bounds[lo] : bounds[hi]])
-        key = group.astype(np.uint64) << np.uint64(HASH_BITS) | values[first[bounds[lo]] : first[bounds[hi]]]
-        order = np.argsort(key, kind="stable")  # so that the members of a list ascend
-        key, member = key[order], member[order]
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        length = np.diff(np.concatenate([start, [len(key)]]))
-        pairs = [np.zeros(0, np.int64)]
-        for n in np.unique(length[length > 1]).tolist():
-            held = member[start[length == n][:, None] + np.arange(n)]
-            a, b = np.triu_indices(n, 1)
-            pairs.append(((held[:, a] - bounds[lo]) * len(members) + held[:, b] - bounds[lo]).ravel())
-        code, c = np.unique(np.concatenate(pairs), return_counts=True)
-        yield bounds[lo] + code // max(1, len(members)), bounds[lo] + code % max(1, len(members)), c
-        lo = hi
 
+def folded(maps: list[bytes]) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Width of each map in bytes, and for each width the maps that are as wide or wider, folded to it (numbers of rows, words).
 
-def _dense(base: int, sizes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """merged() of one group by a product of the matrix of members and lists, some lists at a time."""
-    n = len(sizes)
-    _, which, times = np.unique(values, return_inverse=True, return_counts=True)
-    number = np.cumsum(times > 1) - 1
-    keep = times[which] > 1
-    row, column = np.repeat(np.arange(n), sizes)[keep], number[which][keep]
-    both = np.zeros((n, n), np.float32)
-    for lo in range(0, int(column.max(initial=-1)) + 1, 4096):
-        some = (column >= lo) & (column < lo + 4096)
-        x = np.zeros((n, 4096), np.float32)
-        x[row[some], column[some] - lo] = 1
-        both += x @ x.T
-    i, j = np.nonzero(np.triu(both, 1))
-    return base + i, base + j, both[i, j].astype(np.int64)
+    Two halves of a map, one laid over the other by exclusive or, are the map of half the width.
+    """
+    width = np.fromiter(map(len, maps), np.int64, len(maps))
+    out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    rows, words = np.zeros(0, np.int64), np.zeros((0, 0), np.uint64)
+    for w in sorted(set(width.tolist()), reverse=True):
+        while len(rows) and words.shape[1] * 8 > w:
+            half = words.shape[1] // 2
+            words = words[:, :half] ^ words[:, half:]
+        own = np.flatnonzero(width == w)
+        data = np.frombuffer(b"".join(maps[i] for i in own.tolist()), np.uint64).reshape(len(own), -1)
+        rows, words = np.concatenate([rows, own]), np.concatenate([words.reshape(len(rows), w // 8), data])
+        number = np.full(len(maps), -1)
+        number[rows] = np.arange(len(rows))
+        out[w] = (number, words)
+    return width, out
 
 
 def _long_lists(docs: DataFrame, k: int, long: int) -> LongLists:
@@ -207,7 +196,7 @@ def _long_lists(docs: DataFrame, k: int, long: int) -> LongLists:
 
 
 def _sketches(docs: DataFrame, id_kind: str, k: int, percent: int, long: LongLists) -> DataFrame:
-    """id, name, size, the lists to merge, and how many of them to meet others in, of each document."""
+    """id, name, size, the lists to merge and the parity bitmap of each document."""
     sent = docs.sparkSession.sparkContext.broadcast(long)
 
     def run(batches):
@@ -217,29 +206,46 @@ def _sketches(docs: DataFrame, id_kind: str, k: int, percent: int, long: LongLis
                 r, g = shingle_sets(t, k, long)
                 bounds, names = _names(r, g, t.n)
                 n = np.diff(bounds)
-                meet = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
-                take = np.minimum(n, np.ceil(MERGED * meet).astype(np.int64))
+                take = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
                 inner = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
                 lists = g[np.repeat(bounds[:-1], take) + inner]
+                maps = parity_maps(r, g, n, percent)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, t.n), pa.array(names, pa.binary()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]), pa.int32()), pa.array(lists.view(np.int64))), pa.array(meet, pa.int32())],
-                    ["id", "name", "n", "lists", "meet"],
+                    [b.column(0).slice(lo, t.n), pa.array(names, pa.binary()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]), pa.int32()), pa.array(lists.view(np.int64))), pa.array(maps, pa.binary())],
+                    ["id", "name", "n", "lists", "map"],
                 )
 
-    return docs.mapInArrow(W.lean(run), f"id {id_kind}, name binary, n long, lists array<long>, meet int")
+    return docs.mapInArrow(W.lean(run), f"id {id_kind}, name binary, n long, lists array<long>, map binary")
 
 
-def candidates(bounds: np.ndarray, n: np.ndarray, comps: np.ndarray, sizes: np.ndarray, values: np.ndarray, percent: int):
-    """(i, j, missing) arrays of pairs of one group each that may link and lie in different components; missing: lists of the one that merges fewer that the other does not have.
+def block_pairs(sizes: np.ndarray, maps: list[bytes], comps: np.ndarray, groups: np.ndarray, percent: int, at_once: int = 1 << 17):
+    """(i, j, distance) arrays of the pairs of one group each that may link and lie in different components.
 
-    n: the members' set sizes; sizes and values: the lists that they merge.
+    groups: bounds of the groups; pairs of all groups are enumerated together, `at_once` at a time.
     """
-    left = n - sizes
-    for i, j, c in merged(bounds, sizes, values):
-        least = needed(n[i] + n[j], 0, percent)
-        keep = (c >= least - np.maximum(left[i], left[j])) & (np.minimum(n[i], n[j]) >= least) & (comps[i] != comps[j])
-        i, j, c = i[keep], j[keep], c[keep]
-        yield i, j, np.minimum(sizes[i], sizes[j]) - c
+    width, by_width = folded(maps)
+    m = np.diff(groups)
+    last = np.repeat(groups[1:], m)
+    mates = last - np.arange(len(sizes)) - 1  # members after each in its group
+    total = np.concatenate([[0], np.cumsum(mates)])
+    lo = 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + at_once, "right")) - 1)
+        n = mates[lo:hi]
+        i = np.repeat(np.arange(lo, hi), n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        sum_, least_size = sizes[i] + sizes[j], np.minimum(sizes[i], sizes[j])
+        least = needed(sum_, 0, percent)
+        keep = np.flatnonzero((least_size >= least) & (comps[i] != comps[j]))
+        i, j, room = i[keep], j[keep], (sum_ - 2 * least)[keep]
+        apart = np.zeros(len(i), np.int64)
+        narrow = np.minimum(width[i], width[j])
+        for w, (number, words) in by_width.items():
+            at = np.flatnonzero(narrow == w)
+            apart[at] = np.bitwise_count(words[number[i[at]]] ^ words[number[j[at]]]).sum(axis=1, dtype=np.int64)
+        keep = apart <= room
+        yield i[keep], j[keep], apart[keep]
+        lo = hi
 
 
 def _propose(members: DataFrame, id_kind: str, percent: int, later: bool) -> DataFrame:
@@ -271,11 +277,8 @@ def _propose(members: DataFrame, id_kind: str, percent: int, later: bool) -> Dat
             ids, h = g.column("id").to_numpy(), g.column("h").to_numpy()
             rank = np.unique(ids, return_inverse=True)[1]  # ids may be of any ordered type
             sizes, comps = g.column("n").to_numpy(), g.column("comp").to_numpy()
-            lists = g.column("lists").combine_chunks()
-            lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
-            ends = lists.offsets.to_numpy()
-            held = lists.values.to_numpy()[ends[0] : ends[-1]].view(np.uint64)
-            got = [x for x in candidates(bounds, sizes, comps, np.diff(ends).astype(np.int64), held, percent) if len(x[0])]
+            maps = g.column("map").to_pylist()
+            got = [x for x in block_pairs(sizes, maps, comps, bounds, percent) if len(x[0])]
             if not got:
                 continue
             i, j, apart = (np.concatenate(c) for c in zip(*got, strict=True))
@@ -320,32 +323,54 @@ def forest(rank: np.ndarray, bounds: np.ndarray, i: np.ndarray, j: np.ndarray, a
     return np.array(picked, np.int64)
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, id_kind: str, k: int, percent: int) -> DataFrame:
-    """pairs with `linked`: whether probing the smaller set in the larger reaches the needed overlap."""
+def overlap(x: np.ndarray, y: np.ndarray, x_long: int, y_long: int, percent: int) -> int:
+    """Size of the intersection of two sets, or less if it does not reach what a link needs.
+
+    Both have their short lists first and as many long ones last as the numbers say, each part ascending.
+    """
+    if len(x) > len(y):
+        x, y, x_long, y_long = y, x, y_long, x_long
+    least = needed(len(x), len(y), percent)
+    both = _common(x[: len(x) - x_long], y[: len(y) - y_long])
+    if both + min(x_long, y_long) < least:
+        return both
+    return both + _common(x[len(x) - x_long :], y[len(y) - y_long :])
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many elements of x binary search finds in y; both ascend."""
+    if not len(x) or not len(y):
+        return 0
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return int((y[at] == x).sum())
+
+
+def _verify(docs: DataFrame, pairs: DataFrame, id_kind: str, k: int, percent: int, long: LongLists) -> DataFrame:
+    """pairs with `linked`: whether merging the short lists and probing the long ones reaches the needed overlap."""
+    sent = docs.sparkSession.sparkContext.broadcast(long)
 
     def sets(batches):
         for b in batches:
             for lo, t in W.parts(b.column(1), 1 << 20, ROWS):
-                r, g = shingle_sets(t, k)
+                r, g = shingle_sets(t, k, sent.value)
                 bounds = np.searchsorted(r, np.arange(t.n + 1)).tolist()
+                n_long = np.bincount(r[sent.value.holds(g)], minlength=t.n)
                 data = g.tobytes()
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, t.n), pa.array([data[8 * x : 8 * y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, t.n), pa.array([data[8 * x : 8 * y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()), pa.array(n_long, pa.int32())], ["id", "shingles", "n_long"])
 
     def probe(batches):
         for b in batches:
             linked = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                small, large = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
-                at = np.minimum(np.searchsorted(large, small), max(0, len(large) - 1))
-                both = int((large[at] == small).sum()) if len(large) else 0
-                linked.append(len(small) > 0 and both >= needed(len(small), len(large), percent))
+            for x, y, i, j in zip(*(b.column(k).to_pylist() for k in range(2, 6)), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                linked.append(len(x) > 0 and len(y) > 0 and overlap(x, y, i, j, percent) >= needed(len(x), len(y), percent))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
     ids = _scratch.write(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "proposed")
-    held = _scratch.by_ids(docs, "id", ids, "left_semi").mapInArrow(W.lean(sets), f"id {id_kind}, shingles binary").dropDuplicates(["id", "shingles"])
+    held = _scratch.by_ids(docs, "id", ids, "left_semi").mapInArrow(W.lean(sets), f"id {id_kind}, shingles binary, n_long int").dropDuplicates(["id", "shingles"])
     held = _scratch.write(held, "sets")
-    joined = pairs.join(held.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(held.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    out = _scratch.write(joined.select("a", "b", "x", "y").mapInArrow(W.lean(probe), f"a {id_kind}, b {id_kind}, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked")), "verified")
+    joined = pairs.join(held.select(F.col("id").alias("a"), F.col("shingles").alias("x"), F.col("n_long").alias("i")), "a").join(held.select(F.col("id").alias("b"), F.col("shingles").alias("y"), F.col("n_long").alias("j")), "b")
+    out = _scratch.write(joined.select("a", "b", "x", "y", "i", "j").mapInArrow(W.lean(probe), f"a {id_kind}, b {id_kind}, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked")), "verified")
     _scratch.drop(held)
     _scratch.drop(ids)
     return out
@@ -394,11 +419,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     since = _scratch.mark()
     id_kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    every = _scratch.write(_sketches(docs, id_kind, k, percent, _long_lists(docs, k, long)), "sketches")
+    lists = _long_lists(docs, k, long)
+    every = _scratch.write(_sketches(docs, id_kind, k, percent, lists), "sketches")
     # One member for each set; its id is the smallest of its copies.
-    member = _scratch.write(every.where("n > 0 and id is not null").groupBy("name").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("lists").alias("lists"), F.first("meet").alias("meet")), "members")
-    shared = _postings(member.select(F.explode(F.slice("lists", F.lit(1), F.col("meet"))).alias("h"), "id"), block)
-    facts = member.select("id", "n", "lists")
+    member = _scratch.write(every.where("n > 0 and id is not null").groupBy("name").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("lists").alias("lists"), F.first("map").alias("map")), "members")
+    shared = _postings(member.select(F.explode("lists").alias("h"), "id"), block)
+    facts = member.select("id", "n", "map")
     comps, refused, links, active = None, None, None, None
     while True:
         if active is None:
@@ -420,11 +446,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
             columns = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda i: F.struct(i.alias("i"), own_out.alias("j")))
             at = F.explode(F.array_distinct(F.when(F.col("comp") == F.col("top"), rows).otherwise(F.concat(rows, columns))))
             dealt = left.select("h", "id", "comp", at.alias("at")).select("h", "id", "comp", "at.i", "at.j").join(facts, "id").join(refused, "id", "left")
-        proposed = _scratch.write(_propose(dealt.select("h", "i", "j", "id", "n", "lists", "comp", "refused"), id_kind, percent, active is not None), "pairs")
+        proposed = _scratch.write(_propose(dealt.select("h", "i", "j", "id", "n", "map", "comp", "refused"), id_kind, percent, active is not None), "pairs")
         pairs = proposed.select("a", "b").distinct()
         if proposed.isEmpty():
             break
-        verified = _verify(docs, pairs, id_kind, k, percent)
+        verified = _verify(docs, pairs, id_kind, k, percent, lists)
         links = verified if links is None else links.union(verified)
         # Unsettled: in the first round lists with a refused pair or of several blocks, later all that proposed.
         if active is None:
