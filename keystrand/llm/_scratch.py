@@ -40,13 +40,14 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def write(df: DataFrame, name: str, path: str | None = None, small: bool = False, **options) -> DataFrame:
+def write(df: DataFrame, name: str, path: str | None = None, small: bool = False, files: int = 0, **options) -> DataFrame:
     """Writes df to the shared folder and reads it back with the same schema.
 
     small: for what is small beside the work that makes it; it is brought together into as few files as its size asks for.
+    files: for tables of bounded size, into that many files.
     """
     spark = df.sparkSession
-    df = df.hint("rebalance") if small else df
+    df = df.repartition(files) if files else df.hint("rebalance") if small else df
     path = path or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -107,12 +107,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0)
     known = labels.where("id is not null and quality is not null and toxic is not null").groupBy("id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality")).select("id", domain.alias("k"))
     sample = known.orderBy(F.xxhash64("id"), "id").limit(max_labelled)  # bounded, so it can be broadcast
-    rows = _scratch.write(_features(docs.join(F.broadcast(sample), "id"), "k"), "labelled")
+    rows = _scratch.write(_features(docs.join(F.broadcast(sample), "id"), "k"), "labelled", files=8)
     have = {r["k"]: r["count"] for r in rows.groupBy("k").count().collect()}
     size = [have.get(k, 0) for k in range(len(DOMAINS))]
     total = sum(size)
     counts = rows.select("k", F.explode("words").alias("f")).groupBy("f").agg(*(F.sum(F.when(F.col("k") == k, 1).otherwise(0)).alias(f"n{k}") for k in range(len(DOMAINS))))
-    counts = _scratch.write(counts.where(f"n0 + n1 + n2 >= {LEAST_DOCS}"), "features", small=True)
+    counts = _scratch.write(counts.where(f"n0 + n1 + n2 >= {LEAST_DOCS}"), "features", files=8)
     base, every = [], []
     for k in range(1, len(DOMAINS)):
         mine, rest = F.col(f"n{k}"), F.col("n0") + F.col("n1") + F.col("n2") - F.col(f"n{k}")
@@ -166,7 +166,7 @@ def _rate(history: list[list[float]]) -> Column:
 
 def fit_rates(scored: DataFrame, targets: dict[str, float] = TARGETS, steps: int = STEPS) -> list[list[float]]:
     """The gradient of every step; scored has n_tokens and the posteriors."""
-    groups = _scratch.write(scored.groupBy(*(f"p_{d}" for d in DOMAINS)).agg(F.sum("n_tokens").alias("n_tokens")), "posteriors", small=True)
+    groups = _scratch.write(scored.groupBy(*(f"p_{d}" for d in DOMAINS)).agg(F.sum("n_tokens").alias("n_tokens")), "posteriors", files=1)
     totals = lambda h: [float(x or 0) for x in groups.select("n_tokens", *(f"p_{d}" for d in DOMAINS), _rate(h).alias("r")).agg(*(F.sum(F.col("n_tokens") * F.col("r") * F.col(f"p_{d}")) for d in DOMAINS)).first()]
     present = totals([])
     share = [targets.get(d, 0.0) / (sum(targets.values()) or 1.0) for d in DOMAINS]
