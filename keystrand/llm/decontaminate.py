@@ -306,12 +306,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs, all columns, that hold no window of any item."""
-    k = docs.columns.index(text_col)
-    for ids, texts in blocks(benchmark, item_col, item_text_col, block_bytes):
-        bench = docs.sparkSession.sparkContext.broadcast(Benchmark(ids, texts, window))
+    """The rows of docs, all columns, that hold no window of any item; each block's pass leaves fewer for the next."""
+    k, held, state = docs.columns.index(text_col), None, None
 
-        def run(batches, bench=bench):
+    def clean(rows: DataFrame, bench) -> DataFrame:
+        def run(batches):
             for b in batches:
                 for lo, t in W.parts(b.column(k)):
                     s = Shard(t, bench.value)
@@ -319,5 +318,14 @@ def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_c
                     dirty[s.document(s.find()[1])] = True
                     yield b.slice(lo, t.n).filter(pa.array(~dirty))
 
-        docs = docs.mapInArrow(W.lean(run), docs.schema)
-    return docs
+        return rows.mapInArrow(W.lean(run), rows.schema)
+
+    for ids, texts in blocks(benchmark, item_col, item_text_col, block_bytes):
+        if held is not None:
+            new = _scratch.write(clean(docs, held), "clean")
+            held.unpersist(blocking=False)
+            if state is not None:
+                _scratch.drop(state)
+            docs = state = new
+        held = docs.sparkSession.sparkContext.broadcast(Benchmark(ids, texts, window))
+    return clean(docs, held)

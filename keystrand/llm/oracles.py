@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality
+import re
+
+from . import quality, secrets
 
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 _SYM = "[^" + quality.SYMBOLS.replace("$", r"\$") + "]"
@@ -61,3 +63,27 @@ r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM r GROUP BY a) USING (doc_id)
 """
+
+
+def _either_case(pattern: str) -> str:
+    """A pattern whose letters outside of classes and escapes match either case of ASCII."""
+    parts = re.split(r"(\[[^\]]*\]|\\x[0-9A-Fa-f]{2}|\\.)", pattern)
+    return "".join(x if k % 2 else re.sub("[A-Za-z]", lambda m: f"[{m[0].upper()}{m[0].lower()}]", x) for k, x in enumerate(parts))
+
+
+def _matches(k: int, kind: str, pattern: str, flags: int, group: int, least: int) -> str:
+    pattern = (_either_case(pattern) if flags & re.I else pattern).replace(r"\s", r"\s\x0B\x1C-\x1F\x{85}\x{A0}").replace("'", "''")
+    return f"SELECT doc_id, {k} AS ord, '{kind}' AS kind, {least} AS least, regexp_extract_all(t, '{pattern}') AS ms, regexp_extract_all(t, '{pattern}', {group}) AS gs, string_split_regex(t, '{pattern}') AS ps FROM d"
+
+
+#: A match begins after all pieces between matches, and matches, before it.
+SECRETS = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(_matches(k, *rule) for k, rule in enumerate(secrets.RULES))}),
+u AS (SELECT doc_id, ord, kind, least, unnest(ms) AS hit, unnest(gs) AS part, unnest(ps[1:len(ms)]) AS before, generate_subscripts(ms, 1) AS i FROM m WHERE len(ms) > 0),
+s AS (SELECT *, sum(length(before) + length(hit)) OVER (PARTITION BY doc_id, ord ORDER BY i) AS stop FROM u),
+k AS (SELECT doc_id, ord, kind, stop - length(hit) AS start, kind || ':' || CAST(stop - length(hit) AS BIGINT) || ':' || CAST(stop AS BIGINT) AS span FROM s WHERE length(part) >= least)
+SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+       sha256(coalesce(string_agg(span, ',' ORDER BY start, ord) FILTER (ord < {len(secrets.BASE)}), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY start, ord), '') AS spans
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id GROUP BY d.doc_id
+"""

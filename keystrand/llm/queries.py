@@ -72,4 +72,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_html, op3_token_counts, op4_mixing, op5_secrets, op6_token_ids, op7_lm_score, op8_ngram_join, op9_line_dedup, op10_quality, pipeline)}
-ORACLE_SQL = {"op1_decontaminate": oracles.DECONTAMINATION, "op8_ngram_join": oracles.JOIN, "op10_quality": oracles.QUALITY}
+ORACLE_SQL = {"op1_decontaminate": oracles.DECONTAMINATION, "op5_secrets": oracles.SECRETS, "op8_ngram_join": oracles.JOIN, "op10_quality": oracles.QUALITY}

@@ -689,43 +689,45 @@ def test_repeated_substrings_against_brute_force():
             assert got.tolist() == want
 
 
-@pytest.mark.parametrize("at_once", [1 << 21, 1])
-def test_merged_lists_against_counting(at_once):
-    """Groups of few members, of many, and of one; every pair that shares a list, with how many."""
+def test_parity_maps_bound_the_difference():
     import numpy as np
 
     rng = np.random.default_rng(5)
-    groups = [2, 1, 40, 33, 3, 32, 90]
-    sets = [np.sort(rng.choice(60, rng.integers(1, 30), replace=False)).astype(np.uint64) << np.uint64(40) for n in groups for _ in range(n)]
-    bounds = np.concatenate([[0], np.cumsum(groups)])
-    got = {}
-    for i, j, c in ngram_join.merged(bounds, np.array([len(x) for x in sets]), np.concatenate(sets), at_once):
-        got.update({(int(a), int(b)): int(n) for a, b, n in zip(i, j, c)})
-    want = {(i, j): len(np.intersect1d(sets[i], sets[j])) for lo, hi in zip(bounds[:-1], bounds[1:]) for i in range(lo, hi) for j in range(i + 1, hi)}
-    assert got == {k: v for k, v in want.items() if v}
+    sets = [np.unique(rng.integers(0, 1 << 52, n, dtype=np.uint64)) for n in (3, 300, 5000, 9000, 9100, 30_000)]
+    sets.append(np.unique(np.concatenate([sets[3][:8800], rng.integers(0, 1 << 52, 300, dtype=np.uint64)])))
+    r = np.concatenate([np.full(len(s), i) for i, s in enumerate(sets)])
+    n = np.array([len(s) for s in sets])
+    maps = ngram_join.parity_maps(r, np.concatenate(sets), n, 90)
+    width, by_width = ngram_join.folded(maps)
+    for i in range(len(sets)):
+        for j in range(i):
+            number, w = by_width[min(width[i], width[j])]
+            apart = int(np.bitwise_count(w[number[i]] ^ w[number[j]]).sum())
+            assert apart <= len(np.setxor1d(sets[i], sets[j]))
+    pairs = [(i, j) for a, b, _ in ngram_join.block_pairs(n, maps, np.arange(len(n)), np.array([0, len(n)]), 90) for i, j in zip(a.tolist(), b.tolist())]
+    assert pairs == [(3, 6)]
 
 
 @pytest.mark.parametrize("percent", [80, 90])
-def test_no_link_misses_the_merge(percent):
-    """Pairs at and around the threshold, by brute force: every link is a candidate of some list in which both meet others."""
+def test_merging_and_probing_count_the_overlap(percent):
+    """Pairs at and around the threshold: links have their whole overlap counted and meet in a merged list; others never reach it."""
     import numpy as np
 
     rng = np.random.default_rng(percent)
-    base = np.unique(rng.integers(0, 1 << 52, 300, dtype=np.uint64))
+    long = ngram_join.LongLists(rng.integers(0, 1 << 52, 200, dtype=np.uint64))
+    base = np.unique(np.concatenate([rng.integers(0, 1 << 52, 200, dtype=np.uint64), long.hashes[:100]]))
     sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(230, len(base))], rng.integers(0, 1 << 52, rng.integers(0, 40), dtype=np.uint64)])) for _ in range(40)]
     sets += [base[:n] for n in (1, 2, 3, 5, 9, 10, 11, 19, 20, 21)]
-    n = np.array([len(x) for x in sets])
-    meet = n - -(-percent * n // 100) + 1
-    take = np.minimum(n, np.ceil(ngram_join.MERGED * meet).astype(int))
-    lists = [x[:t] for x, t in zip(sets, take)]
-    found = set()
-    for i, j, _ in ngram_join.candidates(np.array([0, len(sets)]), n, np.arange(len(sets)), take, np.concatenate(lists), percent):
-        found |= set(zip(i.tolist(), j.tolist()))
-    for i in range(len(sets)):
-        for j in range(i + 1, len(sets)):
-            both = len(np.intersect1d(sets[i], sets[j]))
-            if 100 * both >= percent * (n[i] + n[j] - both):
-                assert (i, j) in found and len(np.intersect1d(sets[i][: meet[i]], sets[j][: meet[j]]))
+    parts = [(np.concatenate([x[~long.holds(x)], x[long.holds(x)]]), int(long.holds(x).sum())) for x in sets]
+    for i, (x, p) in enumerate(parts):
+        for y, q in parts[:i]:
+            both = len(np.intersect1d(x, y))
+            linked = 100 * both >= percent * (len(x) + len(y) - both)
+            counted = ngram_join.overlap(x, y, p, q, percent)
+            assert (counted >= ngram_join.needed(len(x), len(y), percent)) == linked and counted <= both
+            if linked:
+                ahead = [z[: len(z) - -(-percent * len(z) // 100) + 1] for z in (x, y)]
+                assert counted == both and len(np.intersect1d(*ahead))
 
 
 def test_document_that_repeats_itself(spark):
