@@ -3,6 +3,13 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's docs.  All but the last return
 the columns of documents.
+
+Edge cases, for every stage: a null text counts as empty, so the first stage rejects
+it; rows that repeat an id are judged each by its own text, but are one node among near
+duplicates, of which all stay or go; of a group of near duplicates the smallest id
+stays; null ids are never duplicates of others; a text of any length is taken whole;
+columns besides doc_id, text and n_chars, whatever their names, pass through; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -14,7 +21,7 @@ from keystrand.llm import _scratch, decontaminate, mixing, ngram_join, quality,
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, without the lines that fail them."""
+    """Documents that the quality rules keep, without the lines that fail them; n_chars is counted anew."""
     return quality.filter_documents(docs, clean_lines=True).withColumn("n_chars", F.length("text").cast("long"))
 
 
@@ -54,9 +61,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = queries.table(spark, sf_dir, "documents")
+    docs, before = queries.table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = _scratch.write(docs, "stage")
+            if before is not None:
+                _scratch.drop(before)  # each stage reads its predecessor only
+            before = docs
     return docs
