@@ -2,7 +2,7 @@
 
 A transaction conflicts if a commit between its start and its own commit wrote
 a key that it read.  Writing the same key is no conflict by itself.  Reads are
-points or ranges; scans, first and last read the whole keyspace, and asking for
+points or ranges of any ordered keys; scans, first and last read the whole keyspace, and asking for
 a size reads nothing.
 """
 
@@ -36,6 +36,25 @@ def range_conflicts(reads: DataFrame, writes: DataFrame, window: int, width: int
     return hit.select("tx", "writer").distinct()
 
 
+def ordered_range_conflicts(reads: DataFrame, writes: DataFrame, window: int, cells: int = 64, sample: int = 4096) -> DataFrame:
+    """(tx, writer) for reads(tx, lo, hi) over keys of any ordered type; a null bound is open, both others are included.
+
+    The cells of the equi-join lie between quantiles of a bounded sample of the written keys (those of
+    least hash), so that they hold about as many writes each; the bounds are few and part of the plan.
+    """
+    seen = sorted(r["key"] for r in writes.select("key").where("key is not null").distinct().orderBy(F.xxhash64("key")).limit(sample).collect())
+    bounds = sorted({seen[len(seen) * k // cells] for k in range(1, cells)}) if seen else []
+    edges = F.array(*map(F.lit, bounds)) if bounds else None
+    cell = lambda key: F.size(F.filter(edges, lambda e: e <= key)) if bounds else F.lit(0)
+    first, last = F.when(F.col("lo").isNull(), 0).otherwise(cell(F.col("lo"))), F.when(F.col("hi").isNull(), len(bounds)).otherwise(cell(F.col("hi")))
+    r = reads.where(F.coalesce(F.col("lo") <= F.col("hi"), F.lit(True))).withColumn("cell", F.explode(F.sequence(first, last)))
+    r = r.withColumn("bucket", F.explode(F.array(F.floor(F.col("tx") / window), F.floor(F.col("tx") / window) - 1)))
+    w = writes.select(F.col("tx").alias("writer"), "key").distinct().withColumn("cell", cell(F.col("key"))).withColumn("bucket", F.floor(F.col("writer") / window))
+    inside = F.coalesce(F.col("key") >= F.col("lo"), F.lit(True)) & F.coalesce(F.col("key") <= F.col("hi"), F.lit(True))
+    hit = r.join(w, ["cell", "bucket"]).where(inside & (F.col("writer") < F.col("tx")) & (F.col("writer") >= F.col("tx") - window))
+    return hit.select("tx", "writer").distinct()
+
+
 def outcomes(txs: DataFrame, conflicts: DataFrame, window: int, chunk: int = 1024) -> DataFrame:
     """(tx, outcome) in commit order: a transaction fails only if a writer it meets has committed; one that fails writes nothing.
 

@@ -352,6 +352,18 @@ def occ_conflicts_range(spark, d):
     return transactions.range_conflicts(reads, writes, 3, 4).groupBy("tx").agg(F.count("*").alias("n_writers"))
 
 
+_TEXT = "w AS (SELECT DISTINCT CAST(floor(event_id / 50.0) AS BIGINT) AS tx, lpad(CAST(user_id AS VARCHAR), 8, '0') AS key FROM events), r AS (SELECT tx, min(key) AS lo, CASE WHEN tx % 4 = 0 THEN NULL ELSE lpad(CAST(CAST(min(key) AS BIGINT) + 2 AS VARCHAR), 8, '0') END AS hi FROM w GROUP BY tx)"
+
+
+@query(f"WITH {_TEXT}, c AS (SELECT DISTINCT r.tx, w.tx AS writer FROM r JOIN w ON w.key >= r.lo AND (r.hi IS NULL OR w.key <= r.hi) AND w.tx < r.tx AND w.tx >= r.tx - 3) SELECT tx, count(*) AS n_writers FROM c GROUP BY tx")
+def occ_conflicts_text_range(spark, d):
+    """Ranges of text keys, every fourth of them open above."""
+    writes = Tables(spark, d).events.select(F.floor(F.col("event_id") / 50).alias("tx"), user_key("user_id").alias("key"))
+    low = writes.groupBy("tx").agg(F.min("key").alias("lo"))
+    reads = low.withColumn("hi", F.when(F.col("tx") % 4 != 0, F.lpad((F.col("lo").cast("long") + 2).cast("string"), 8, "0")))
+    return transactions.ordered_range_conflicts(reads, writes, 3).groupBy("tx").agg(F.count("*").alias("n_writers"))
+
+
 @query(f"WITH RECURSIVE {_RANGES}, m AS (SELECT r.tx, CAST(coalesce(bit_or(1 << CAST(r.tx - c.writer - 1 AS INTEGER)), 0) AS INTEGER) AS mask FROM r LEFT JOIN c ON c.tx = r.tx GROUP BY r.tx), "
        "o AS (SELECT min(tx) - 1 AS tx, 0 AS state, false AS ok FROM m UNION ALL "
        "SELECT o.tx + 1, ((o.state << 1) | CASE WHEN m.tx IS NOT NULL AND (o.state & m.mask) = 0 THEN 1 ELSE 0 END) & 7, coalesce((o.state & m.mask) = 0, false) FROM o LEFT JOIN m ON m.tx = o.tx + 1 WHERE o.tx < (SELECT max(tx) FROM m)) "
