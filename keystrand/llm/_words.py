@@ -17,8 +17,8 @@ import functools
 import numpy as np
 import pyarrow as pa
 
-# Text that is handled at once; a single longer text is still taken whole.
-CHUNK_BYTES = 2 << 20
+# Text that is handled at once, with some 80 bytes of arrays for each; a single longer text is still taken whole.
+CHUNK_BYTES = 1 << 19
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _WEIGHT = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
