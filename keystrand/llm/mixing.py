@@ -36,7 +36,8 @@ classifier; all documents are scored, weighed and drawn.
 Edge cases: null texts have no words and get the prior; documents without a
 label are scored like others; several labels of one id count as toxic or low if
 any says so, null labels are left out; labels without a document are ignored;
-without labels every document is clean; repeated rows each get their rate; features
+a class without labelled documents has no members, so without labels every document
+is clean; repeated rows each get their rate; features
 of equal rank are taken in the order of their bytes; a text of any length is taken
 whole; other columns, whatever their names, are passed through; an empty table gives
 an empty table.
@@ -119,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
         lift = (mine + 0.5) / (size[k] + 1) / ((rest + 0.5) / (total - size[k] + 1))
         best = counts.where((mine >= max(LEAST_DOCS, LEAST_SHARE * size[k])) & (lift >= LIFT)).orderBy(F.desc(mine * F.log(lift)), "f").limit(max_features)
         found = best.select("f", mine.alias("mine"), rest.alias("rest")).collect()
-        odds = math.log((size[k] + 0.5) / (size[0] + 0.5)) if total else -30.0
+        odds = math.log((size[k] + 0.5) / (size[0] + 0.5)) if size[k] else -30.0  # no labelled document, no members
         weights = {}
         for f, n, other in found:
             p = (n + 0.5) / (size[k] + 1)

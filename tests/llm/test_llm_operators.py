@@ -751,7 +751,7 @@ def test_null_ids_and_text_ids(spark):
     assert got == [(4, 4), (5, 4), (6, 6), (None, None), (None, None), (None, None)]
     assert ngram_join.deduplicate(df).count() == 5 and line_dedup.deduplicate(df).count() == 6
     labels = spark.createDataFrame([(4, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
-    assert mixing.rates(df, labels).count() == 6 and mixing.sample(df, labels).count() == 6
+    assert mixing.rates(df, labels).count() == 6 and mixing.draw(df, labels).count() == 6
     named = df.where("doc_id is not null").withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id")))
     assert {r["doc_id"]: r["component_id"] for r in ngram_join.join(named).collect()} == {"d4": "d4", "d5": "d4", "d6": "d6"}
     assert token_store.round_trip(named, queries.tokenizer("word_bpe_49k.json")).count() == 3

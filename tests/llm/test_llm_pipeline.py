@@ -111,7 +111,7 @@ def mixed(rows, labels):
             if sum(c) >= mixing.LEAST_DOCS and c[k] >= max(mixing.LEAST_DOCS, mixing.LEAST_SHARE * size[k]) and lift >= mixing.LIFT:
                 scored.append((-c[k] * math.log(lift), w.encode()))
         names = [w.decode() for _, w in sorted(scored)[: mixing.MAX_FEATURES]]
-        odds, mine = math.log((size[k] + 0.5) / (size[0] + 0.5)), {}
+        odds, mine = math.log((size[k] + 0.5) / (size[0] + 0.5)) if size[k] else -30.0, {}
         for w in names:
             p = (counts[w][k] + 0.5) / (size[k] + 1)
             q = (sum(counts[w]) - counts[w][k] + 0.5) / (total - size[k] + 1) + mixing.STRAY / len(names)
