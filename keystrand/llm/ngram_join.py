@@ -436,9 +436,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
             dealt = dealt.join(facts, "id").withColumn("comp", F.col("id")).withColumn("refused", F.lit(None).cast(f"array<{id_kind}>"))
         else:
             # Later rounds: the members of lists that are not settled against those outside the list's largest component.
-            held = shared.join(active, "h", "left_semi").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+            held = _scratch.by_ids(shared, "h", active, "left_semi").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
             part = held.groupBy("h", "comp").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), F.max("c").alias("most"))
-            left = held.join(part, "h").where(F.col("most") < F.col("m"))
+            part = _scratch.write(part, "parts", small=True)  # a row for each list, which goes to its members while they are few
+            left = held.join(F.broadcast(part) if part.count() <= MOST_LONG // 2 else part.hint("merge"), "h").where(F.col("most") < F.col("m"))
             n_blocks, n_out = F.ceil(F.col("m") / block).cast("int"), F.ceil((F.col("m") - F.col("most")) / block).cast("int")
             own = F.pmod(F.xxhash64("id"), n_blocks.cast("long")).cast("int")
             own_out = F.pmod(F.xxhash64("id", F.lit(1)), n_out.cast("long")).cast("int")
