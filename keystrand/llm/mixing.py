@@ -8,6 +8,8 @@ frequent than outside of it are typical of it.  A document's log-odds of a class
 against all others are the class's prior and a sum over its typical features: of
 log p / q for one that the document has, of log (1 - p) / (1 - q) for one that it has
 not, p and q being the shares of documents with it inside and outside of the class.
+Features go together, so the absence of all of them says more than that sum: documents
+without any have the odds that the labelled ones without any have.
 As features were chosen for being rare outside, q is taken to be somewhat more than
 was seen (`STRAY`).  The odds of low and toxic, with 1 for clean, give every document
 posteriors over the domains.
@@ -79,10 +81,10 @@ def _features(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 class Classifier:
-    """For each class but the first: log-odds without any typical feature, and what each one that a document has adds."""
+    """For each class but the first: log-odds without any typical feature, those from which the others start, and what each feature that a document has adds."""
 
-    def __init__(self, base: list[float], weights: list[dict[str, float]]):
-        self.base, self.weights = base, weights
+    def __init__(self, none: list[float], base: list[float], weights: list[dict[str, float]]):
+        self.none, self.base, self.weights = none, base, weights
 
     def features(self) -> list[str]:
         return sorted({x for w in self.weights for x in w})
@@ -90,13 +92,14 @@ class Classifier:
     def odds(self, hits: Column) -> list[Column]:
         """Odds against the first class, from the column of a document's typical features."""
 
-        def total(base: float, weights: dict[str, float]) -> Column:
+        def total(none: float, base: float, weights: dict[str, float]) -> Column:
             if not weights:
-                return F.lit(base)
+                return F.lit(none)
             table = F.create_map(*(F.lit(x) for f, w in sorted(weights.items()) for x in (f, w)))
-            return F.aggregate(hits, F.lit(base), lambda a, f: a + F.coalesce(F.try_element_at(table, f), F.lit(0.0)))
+            found = F.array_compact(F.transform(hits, lambda f: F.try_element_at(table, f)))
+            return F.when(F.size(found) == 0, F.lit(none)).otherwise(F.aggregate(found, F.lit(base), lambda a, w: a + w))
 
-        return [F.exp(F.least(total(*x), F.lit(50.0))) for x in zip(self.base, self.weights, strict=True)]
+        return [F.exp(F.least(total(*x), F.lit(50.0))) for x in zip(self.none, self.base, self.weights, strict=True)]
 
 
 def _having(words: Column, names: list[str]) -> Column:
@@ -114,24 +117,27 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     total = sum(size)
     counts = rows.select("k", F.explode("words").alias("f")).groupBy("f").agg(*(F.sum(F.when(F.col("k") == k, 1).otherwise(0)).alias(f"n{k}") for k in range(len(DOMAINS))))
     counts = _scratch.write(counts.where(f"n0 + n1 + n2 >= {LEAST_DOCS}"), "features", files=8)
-    base, every = [], []
+    none, base, every = [], [], []
     for k in range(1, len(DOMAINS)):
         mine, rest = F.col(f"n{k}"), F.col("n0") + F.col("n1") + F.col("n2") - F.col(f"n{k}")
         lift = (mine + 0.5) / (size[k] + 1) / ((rest + 0.5) / (total - size[k] + 1))
         best = counts.where((mine >= max(LEAST_DOCS, LEAST_SHARE * size[k])) & (lift >= LIFT)).orderBy(F.desc(mine * F.log(lift)), "f").limit(max_features)
         found = best.select("f", mine.alias("mine"), rest.alias("rest")).collect()
-        odds = math.log((size[k] + 0.5) / (size[0] + 0.5)) if size[k] else -30.0  # no labelled document, no members
+        odds = prior = math.log((size[k] + 0.5) / (size[0] + 0.5)) if size[k] else -30.0  # no labelled document, no members
         weights = {}
         for f, n, other in found:
             p = (n + 0.5) / (size[k] + 1)
             q = (other + 0.5) / (total - size[k] + 1) + STRAY / len(found)
             odds += math.log((1 - p) / (1 - q))
             weights[f] = math.log(p / (1 - p)) - math.log(q / (1 - q))
+        without = {r["k"]: r["count"] for r in rows.where(F.size(_having(F.col("words"), list(weights))) == 0).groupBy("k").count().collect()} if weights else have
+        p, q = (without.get(k, 0) + 0.5) / (size[k] + 1), (sum(without.values()) - without.get(k, 0) + 0.5) / (total - size[k] + 1)
+        none.append(prior + math.log(p / q))
         base.append(odds)
         every.append(weights)
     _scratch.drop(rows)
     _scratch.drop(counts)
-    return Classifier(base, every)
+    return Classifier(none, base, every)
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *keep: str) -> DataFrame:
@@ -143,7 +149,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     names = model.features()
     out = _features(all_, *kept).select(*kept, "n_tokens", (_having(F.col("words"), names) if names else F.array().cast("array<string>")).alias("hits"))
     # Most documents have no typical feature; the odds are worked out for the others.
-    odds = F.when(F.size("hits") == 0, F.array(*(F.lit(math.exp(x)) for x in model.base))).otherwise(F.array(*model.odds(F.col("hits"))))
+    odds = F.when(F.size("hits") == 0, F.array(*(F.lit(math.exp(x)) for x in model.none))).otherwise(F.array(*model.odds(F.col("hits"))))
     out = out.select(*kept, "n_tokens", odds.alias("odds"))
     whole = F.lit(1.0) + sum((F.get("odds", F.lit(k)) for k in range(1, len(model.base))), F.get("odds", F.lit(0)))
     p = [F.round(F.get("odds", F.lit(k)) / whole, 4) for k in range(len(model.base))]

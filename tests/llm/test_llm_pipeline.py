@@ -103,7 +103,7 @@ def mixed(rows, labels):
         if i in known:
             for w in f:
                 counts[w][known[i]] += 1
-    base, weights = [], []
+    none, base, weights = [], [], []
     for k in (1, 2):
         scored = []
         for w, c in counts.items():
@@ -112,6 +112,9 @@ def mixed(rows, labels):
                 scored.append((-c[k] * math.log(lift), w.encode()))
         names = [w.decode() for _, w in sorted(scored)[: mixing.MAX_FEATURES]]
         odds, mine = math.log((size[k] + 0.5) / (size[0] + 0.5)) if size[k] else -30.0, {}
+        lacking = collections.Counter(known[i] for i, (_, f) in have.items() if i in known and not f & set(names))
+        p, q = (lacking[k] + 0.5) / (size[k] + 1), (sum(lacking.values()) - lacking[k] + 0.5) / (total - size[k] + 1)
+        none.append(odds + math.log(p / q))
         for w in names:
             p = (counts[w][k] + 0.5) / (size[k] + 1)
             q = (sum(counts[w]) - counts[w][k] + 0.5) / (total - size[k] + 1) + mixing.STRAY / len(names)
@@ -121,7 +124,7 @@ def mixed(rows, labels):
         weights.append(mine)
     post = {}
     for i, (n, f) in have.items():
-        odds = [math.exp(min(50, b + sum(w.get(x, 0) for x in f))) for b, w in zip(base, weights)]
+        odds = [math.exp(min(50, b + sum(w.get(x, 0) for x in f) if f & w.keys() else a)) for a, b, w in zip(none, base, weights)]
         p = [round(o / (1 + sum(odds)), 4) for o in odds]
         post[i] = n, [round(1 - sum(p), 4), *p]
     rate = dict.fromkeys(post, 1.0)
