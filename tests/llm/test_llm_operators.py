@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -672,6 +673,58 @@ def test_html_repeats_on_few_pages_of_a_large_host(spark):
     assert {got[i] for i in (0, 2000, 4000)} == {f"own text {i} of page" for i in (0, 2000, 4000)}
 
 
+def test_html_repeats_count_all_pages_of_the_host(spark):
+    """A notice on one page without an article, and on pages with one: beside it, in a menu, or quoted in it, where it stays."""
+    shared = " ".join(f"boiler{i}" for i in range(12))
+    rows = [(1, "http://h.example/1", f"<div>{shared}</div><div>own text of page</div>"), (2, "http://h.example/2", f"<div>{shared}</div><article>second <p>{shared}</article>")]
+    rows += [(3, "http://h.example/3", f"<aside>{shared}</aside><article>third</article>"), (4, "http://g.example/4", f"<div>{shared}</div>"), (4, "http://g.example/5", f"<div>{shared}</div><p>x")]
+    rows += [(5, "http://g.example/6", f"<article>fifth</article><div>{shared}</div>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = sorted((r["page_id"], r["text"]) for r in html.extract(df).collect())
+    assert got == [(1, "own text of page"), (2, f"second {shared}"), (3, "third"), (4, shared), (4, f"{shared} x"), (5, "fifth")]
+
+
+def test_html_repeats_against_brute_force(spark):
+    """Pages with and without articles, menus, repeated ids: what repeats on all pages of a host goes where the structure leaves it open."""
+    rng = random.Random(23)
+    pool = [" ".join(rng.choice("abcdef") + str(rng.randrange(3)) for _ in range(rng.randrange(1, 30))) for _ in range(30)]
+    rows = []
+    for i in range(60):
+        parts = [rng.choice(pool) if rng.random() < 0.5 else " ".join(f"w{rng.randrange(4000)}" for _ in range(rng.randrange(1, 25))) for _ in range(rng.randrange(1, 6))]
+        rows.append((i % 50, f"http://h{i % 50 % 4}.example/{i}", "".join(f"<{t}>{x}</{t}>" for x in parts for t in [rng.choice(["div", "p", "nav", "article"] if i % 3 else ["div", "p", "nav"])])))
+    held, keys = collections.defaultdict(set), lambda s: [(k, tuple(s[k : k + html.MIN_TOKENS])) for k in range(max(1, len(s) - html.MIN_TOKENS + 1))]
+    for i, url, x in rows:
+        for s, _ in html.streams(x):
+            for _, key in keys(s.split(" ")):
+                held[url[:9], key].add(i)
+    want = []
+    for i, url, x in rows:
+        out = []
+        for s, inside in html.blocks(x):
+            words = s.split(" ")
+            gone = {j for k, key in keys(words) if not inside and len(held[url[:9], key]) >= html.MIN_PAGES for j in range(k, k + len(key))}
+            out += [w for j, w in enumerate(words) if j not in gone]
+        want.append((i, url, " ".join(out)))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    assert sorted((r["page_id"], r["url"], r["text"]) for r in html.extract(df).collect()) == sorted(want)
+    assert any(html.settled(html.blocks(x)) for _, _, x in rows) and any(len(t) < len(" ".join(s for s, _ in html.blocks(x))) for (_, _, x), (_, _, t) in zip(rows, want))
+
+
+def test_html_entries_of_several_arrays():
+    """Entries of the suffix arrays of parts of the pages add up to those of one array, and survive being sent."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("ab") for _ in range(rng.randrange(1, 40))) for _ in range(60)]
+    host, page = np.repeat(np.arange(3, dtype=np.uint64), 20), np.arange(60) // 2
+    whole = html._entries(texts, host, page)
+    parts = []
+    for lo in range(0, 60, 12):
+        batch = html._sent(*html._entries(texts[lo : lo + 12], host[lo : lo + 12], page[lo : lo + 12])).to_pylist()
+        found = [(html._received(r["_n"], r["_coded"]), r["_bucket"]) for r in batch]
+        parts.append((np.concatenate([x | np.uint64(b << html.HASH_BITS - html.BUCKET_BITS) for (x, _), b in found]), np.concatenate([n for (_, n), _ in found])))
+    got = html._summed(*map(list, zip(*parts)))
+    assert np.array_equal(got[0], whole[0]) and np.array_equal(got[1], whole[1]) and 0 < (whole[1] == html.MIN_PAGES).sum() < len(whole[0])
+
+
 def test_repeated_substrings_against_brute_force():
     rng = random.Random(1)
     streams = [[rng.choice("abcd") for _ in range(rng.randrange(0, 60))] for _ in range(12)]
