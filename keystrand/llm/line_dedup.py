@@ -24,7 +24,8 @@ GRAM_WORDS words are left alone on purpose, as short lines repeat
 without being copies; between that and GRAM_WORDS + WINDOW_WORDS words a run goes if an
 anchor falls into it.
 
-All state is keyed by (id, hash of the text).  An anchor's key can be hot; its
+All state is keyed by (id, hash of the text).  Only anchors whose gram occurs more than
+once are looked at further.  An anchor's key can be hot; its
 first place comes from a pre-aggregated minimum, and the joins with it are plain
 equi-joins with one row on one side, which the engine splits where they are
 skewed.
@@ -95,15 +96,22 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, th, pos, w): the lines to delete, th being xxhash64 of the text."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     lines = _scratch.write(_anchors(_lines(docs), gram, window), "lines")
-    anchors = lines.where("keys is not null").select(F.explode("keys").alias("g"), "id", "th", "i")
+    _scratch.tidy(docs.sparkSession)
+    # A key occurs again only where its gram, the first key of its anchor, does; most grams are in the table once.
+    held = lines.where("keys is not null").select(F.col("keys")[0].alias("gram"), "keys", "id", "th", "i")
+    many = _scratch.write(held.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "many", small=True)
     own = Window.partitionBy("id", "th", "g").orderBy("i")
-    anchors = anchors.withColumn("prev", F.lag("i").over(own))
+    anchors = _scratch.by_ids(held, "gram", many, "left_semi", MOST_BROADCAST // 4).select(F.explode("keys").alias("g"), "id", "th", "i")
+    anchors = _scratch.write(anchors.withColumn("prev", F.lag("i").over(own)), "anchors")
     first = anchors.groupBy("g").agg(F.min(F.struct("id", "th", "i")).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n")
     again = anchors.where("prev is not null").select("id", "th", F.col("id").alias("id0"), F.col("th").alias("th0"), (F.col("prev") - F.col("i")).alias("d"), "i")
     later = anchors.where("prev is null").join(first, "g").where(~F.struct("id", "th", "i").eqNullSafe(F.col("f")))
     later = later.select("id", "th", F.col("f.id").alias("id0"), F.col("f.th").alias("th0"), (F.col("f.i") - F.col("i")).alias("d"), "i")
     # A diagonal: a later document, an earlier one (or itself) and the distance of the two places; `at` are the anchors on it.
     diagonals = _scratch.write(later.union(again).groupBy("id", "th", "id0", "th0", "d").agg(F.collect_set("i").alias("at")), "diagonals")
+    for used in (many, anchors):
+        _scratch.drop(used)
+    _scratch.tidy(docs.sparkSession)
     found = _scratch.write(_runs(lines, diagonals, reach), "runs")
     out, open_ = found.where("not open"), found.where("open")
     while not open_.isEmpty():

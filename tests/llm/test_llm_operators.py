@@ -561,6 +561,22 @@ def test_line_dedup_of_a_long_run(spark):
     assert got == {1: rows[0][1], 2: "x\ny"}
 
 
+def test_line_dedup_shuffles_little_for_grams_that_occur_once(spark):
+    """Texts with 12,000 anchors of which two are equal: hardly more than the lines is shuffled; and the same result if the equal ones are too many to be broadcast."""
+    rng = random.Random(41)
+    rows = [(i, "\n".join(" ".join(f"{rng.randrange(10**6)}" for _ in range(30)) for _ in range(20))) for i in range(600)]
+    rows += [(600, rows[5][1].split("\n")[3]), (601, rows[7][1].split("\n")[9] + "\nend")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    out = line_dedup.repeated_lines(df).collect()
+    assert sorted((r["id"], r["pos"]) for r in out) == [(600, 0), (601, 0)]
+    assert written() - before < 100 * 12002
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(line_dedup, "MOST_BROADCAST", 0)
+        assert sorted(line_dedup.repeated_lines(df).collect()) == sorted(out)
+
+
 def test_line_dedup_guarantee(spark):
     """Every repeated run of 50 words goes, nothing below 25 words does, and one copy of each line stays."""
     rng = random.Random(9)
